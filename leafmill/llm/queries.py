@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, secrets_ledger
+from . import bpe, fingerprints, html_extract, langid, minmax_dedup, mixing, secrets_ledger
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op3_html_extract": html_extract.op3_html_extract,
     "op5_secret_scan": secrets_ledger.op5_secret_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_minhash_dedup": minmax_dedup.op7_minhash_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_language_id": langid.op10_language_id,
 }
 
 #: Where SQL can express the result.
