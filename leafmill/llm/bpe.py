@@ -219,11 +219,16 @@ def checked(encode_piece: Callable[[bytes], list[int]], tokens: list[bytes], pie
     return encode_piece(piece) == plain
 
 
-def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, from the ids and the bytes decoded from them."""
     import public_tokenizers
     from pyspark.sql import functions as F
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, public_tokenizers.PATTERN)
+    encoded = encode(docs, vocabulary, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return decode(encoded, vocabulary).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -116,7 +116,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(i):
             continue
         links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        label = np.arange(len(ids))
         order = np.argsort(ids)
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))

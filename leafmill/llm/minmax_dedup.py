@@ -129,5 +129,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component; of rows with one id all or none."""
+    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, html_extract, langid, minmax_dedup, mixing, secrets_ledger
+from . import bpe, embedding_dedup, fingerprints, html_extract, langid, line_dedup, minmax_dedup, mixing, pii, secrets_ledger
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_personal_data": pii.op2_personal_data,
     "op3_html_extract": html_extract.op3_html_extract,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_secret_scan": secrets_ledger.op5_secret_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_minhash_dedup": minmax_dedup.op7_minhash_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_language_id": langid.op10_language_id,
 }
 
