@@ -143,8 +143,8 @@ question("win_dense_rank", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_
 question("win_ntile", "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS quartile FROM customer")
 question("win_lag", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, lag(o_orderkey, 2, 0) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS two FROM orders")
 question("win_lead", "SELECT o_orderkey, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_price FROM orders")
-question("win_first", "SELECT l_orderkey, l_linenumber, first_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS f FROM lineitem")
-question("win_last", "SELECT l_orderkey, l_linenumber, last_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM lineitem")
+question("win_first", "SELECT l_orderkey, l_linenumber, first_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS f FROM lineitem")
+question("win_last", "SELECT l_orderkey, l_linenumber, last_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM lineitem")
 question("win_running_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders")
 question("win_rows_frame", "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving FROM orders")
 question("win_range_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near_sizes FROM part")
