@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix64, n_parts, written
-from .graph import components
+from .graph import components, groups, local_components
 
 COSINE, TABLES, PROJECTIONS, WIDTH, BLOCK, SEED = 0.95, 28, 16, 2.0, 256, 7
 
@@ -71,30 +71,10 @@ def hashed(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Runs of rows with equal first ``n_keys`` columns; holds one run at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_keys)], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(keys[a])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks -> id, links (with copies) and the smallest id that it is connected with here."""
     ids_out, links_out, low_out = [], [], []
-    for group in _groups(batches, 3):
+    for group in groups(batches, 3):
         if group.num_rows < 2:
             continue
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
@@ -116,20 +96,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(i):
             continue
         links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        order = np.argsort(ids)
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        label = rank.copy()
-        while True:
-            before = label.copy()
-            np.minimum.at(label, i, label[j])
-            np.minimum.at(label, j, label[i])
-            if (before == label).all():
-                break
+        low, _ = local_components(ids, i, j)
         touched = np.flatnonzero(links > 0)
         ids_out.append(ids[touched])
         links_out.append(links[touched].astype(np.int64))
-        low_out.append(ids[order[label[touched]]])
+        low_out.append(low[touched])
         if sum(map(len, ids_out)) > 100_000:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ids_out, links_out, low_out)], names=["id", "links", "low"])
             ids_out, links_out, low_out = [], [], []

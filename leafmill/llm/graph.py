@@ -1,41 +1,72 @@
-"""Distributed union-find, and components over candidate buckets without all pairs of a bucket."""
+"""Distributed union-find, and components over candidate buckets without a row for every pair of a bucket."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import n_parts, written
 
 #: Buckets up to this size are compared pair by pair; larger ones through pivots first.
 SMALL = 6
-#: Rounds of pivots before what is still apart in a large bucket is compared pair by pair.
-ROUNDS = 4
+#: Rounds of pivots before what is still apart in a large bucket is compared block by block, and a block's size.
+ROUNDS, BLOCK = 2, 256
+#: Edges that one task of the union-find holds at most (16 MB).
+EDGES = 1 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (its smallest id) of every id in ``edges`` (a, b) that is not its component's smallest.
 
-    Alternating large and small stars (Kiveris et al., 2014): every step replaces edges by edges to the
-    smallest neighbour, with sums and joins on ids only; a hub's edges are split by AQE. Ends when a step
-    changes nothing.
+    Distributed union-find in rounds. First, tasks of at most EDGES edges, dealt evenly and not by key, each
+    reduce their edges to stars around the smallest id. One task has then seen everything, and is done, or a
+    large and a small star step (Kiveris et al., 2014) joins the tasks' stars, by sums and joins on ids in which AQE
+    splits a hub's edges, and the next round follows, until a round changes nothing.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = written(edges.where("a <> b").select("a", "b"), "edges")
     state = None
     while True:
-        count, check = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if not count or (count, check) == state:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        state = (count, check)
-        both = now.union(now.select("b", "a"))
+        count = now.count()
+        parts = -(-count // EDGES)
+        stars = written(now.repartition(max(1, parts)).mapInArrow(_stars, "a long, b long"), "stars")
+        if parts <= 1:
+            return stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        both = stars.union(stars.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         near = large.join(least, large["a"] == least["u"])
         small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
         now = written(small, "edges")
+        before, state = state, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if state == before:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task -> an edge from each id to the smallest one that the task's edges connect it with."""
+    a, b = [], []
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+    if a:
+        ids, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+        i, j = np.split(at, 2)
+        label = np.arange(len(ids))
+        while True:
+            before = label.copy()
+            low = np.minimum(label[i], label[j])
+            np.minimum.at(label, label[i], low)
+            np.minimum.at(label, label[j], low)
+            label = label[label]
+            if (label == before).all():
+                break
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[label[moved]], pa.int64())], names=["a", "b"])
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -47,45 +78,142 @@ def crowded(rows: DataFrame) -> DataFrame:
     return rows.join(count, "bucket")
 
 
-def linked(members: DataFrame, may_link: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components over the pairs that share a bucket and that ``verify`` confirms: ``id, component`` as above.
+def linked(members: DataFrame, sets: DataFrame, percent: int, may_link: Callable, verify: Callable[[DataFrame], DataFrame], as_arrays: Callable[[list], list[np.ndarray]]) -> DataFrame:
+    """Components over the pairs that share a bucket and whose sets overlap enough: ``id, component`` as above.
 
-    ``members`` has bucket, id, size, crowd; ids are distinct within a bucket. ``may_link(size_a, size_b)`` is
-    a condition that every link meets; ``verify`` gets pairs (a, b), each once, and returns the linked ones.
+    ``members`` has bucket, id, size, crowd; ids are distinct within a bucket. ``sets`` has id and set.
+    ``may_link(size_a, size_b)`` is a condition that every link meets; ``verify`` gets pairs (a, b), each once,
+    and returns the linked ones; ``as_arrays`` turns values of ``set`` into arrays of whole numbers.
 
-    Which pairs of a bucket are compared does not matter to the result as long as every pair that is left
-    out lies within one component. So a large bucket is compared with one pivot a round, skipping what is
-    already joined to it; when all rounds are over, the pairs of a bucket that are still in different
-    components are compared, all of them. A bucket of m copies of one text costs about m pairs.
+    Which pairs are compared does not matter to the result as long as every pair of a bucket that is left out
+    lies within one component. Buckets up to SMALL are compared pair by pair. A larger one is compared with
+    one pivot a round, skipping what is already joined to it: m copies of one text cost about m pairs. What is
+    then still apart in a bucket is compared block by block (see ``compare_blocks``), without a row for a pair.
     """
     members = written(members.select("bucket", "id", "size", "crowd"), "members")
 
-    def compared(a: DataFrame, b: DataFrame, more=None) -> DataFrame:
+    def compared(a: DataFrame, b: DataFrame, more) -> DataFrame:
         """Linked ones among the pairs that a and b (bucket, id, size, ...) form in their buckets."""
-        x, y = a.alias("x"), b.alias("y")
-        on = (F.col("x.bucket") == F.col("y.bucket")) & may_link(F.col("x.size"), F.col("y.size"))
-        pairs = x.join(y, on & (F.col("x.id") < F.col("y.id") if more is None else more))
+        on = (F.col("x.bucket") == F.col("y.bucket")) & may_link(F.col("x.size"), F.col("y.size")) & more
+        pairs = a.alias("x").join(b.alias("y"), on)
         return verify(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
     large = members.where(F.col("crowd") > SMALL)
     few = members.where(F.col("crowd") <= SMALL)
-    links = [written(compared(few, few), "links")]
-    labels = components(links[0])
+    links = written(compared(few, few, F.col("x.id") < F.col("y.id")), "links")
+    labels = components(links)
     for turn in range(ROUNDS + 1):
         named = large.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        apart = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "size", "label"), F.xxhash64("id", F.lit(turn))).alias("pivot")).where("low < high")
-        left = written(named.select("bucket", "id", "size", "label").join(apart.select("bucket", "pivot"), "bucket"), "apart")
+        pivot = F.min_by(F.struct("id", "size", "label"), F.xxhash64("id", F.lit(turn)))
+        apart = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("first"), pivot.alias("pivot")).where("low < high")
+        left = written(named.select("bucket", "id", "size", "label").join(apart.select("bucket", "first", "pivot"), "bucket"), "apart")
         if left.isEmpty():
-            break
+            return labels
         if turn < ROUNDS:
             pivots = left.select("bucket", F.col("pivot.id").alias("id"), F.col("pivot.size").alias("size"), F.col("pivot.label").alias("label")).distinct()
-            found = compared(pivots, left.drop("pivot"), F.col("x.label") != F.col("y.label"))
+            found = compared(pivots, left, F.col("x.label") != F.col("y.label"))
         else:
-            rest = left.drop("pivot")
-            found = compared(rest, rest, (F.col("x.label") < F.col("y.label")))
-        links.append(written(found, "links"))
-        both = links[0]
-        for more in links[1:]:
-            both = both.union(more)
-        labels = components(both)
+            found = compare_blocks(left, sets, percent, as_arrays)
+        links = links.union(written(found, "links"))
+        labels = components(links)
     return labels
+
+
+def compare_blocks(left: DataFrame, sets: DataFrame, percent: int, as_arrays: Callable[[list], list[np.ndarray]]) -> DataFrame:
+    """Links (a, b) between ids of different labels, from buckets (bucket, first, id, label).
+
+    Buckets that share ids form a family, in which every id is compared with all of other labels, once,
+    however many buckets they share. A family's ids are dealt into blocks of about BLOCK, those of a large label
+    into blocks of their own, which are never compared with each other. A task holds two blocks and counts
+    all intersections by matrix products; it returns at most one link for each id.
+    """
+    spark = left.sparkSession
+    family = components(left.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
+    ids = left.select("id", "label").distinct().join(family, "id", "left").select(F.coalesce("component", "id").alias("family"), "id", "label")
+    ids = written(ids, "families")
+    by_label = ids.groupBy("family", "label").agg(F.count("*").alias("n"))
+    small = by_label.where(F.col("n") < BLOCK // 2).groupBy("family").agg(F.sum("n").alias("mixed"))
+    own = F.col("n") >= BLOCK // 2
+    split = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / BLOCK))
+    dealt = ids.join(by_label, ["family", "label"]).join(small, "family", "left")
+    dealt = dealt.select("family", "id", "label", F.when(own, F.col("label")).alias("owner"), F.when(own, split(F.col("n"))).otherwise(split(F.col("mixed"))).alias("part"))
+    dealt = dealt.withColumn("block", F.xxhash64("family", "owner", "part"))
+    blocks = dealt.groupBy("family", "block").agg(F.first("owner").alias("owner")).groupBy("family").agg(F.collect_list(F.struct("block", "owner")).alias("blocks"))  # one entry for BLOCK ids
+    other = F.explode(F.filter("blocks", lambda b: F.col("owner").isNull() | b["owner"].isNull() | (b["owner"] != F.col("owner"))))
+    met = dealt.join(blocks, "family").select("family", "id", "label", "block", other.alias("other"))
+    met = met.select("family", F.least("block", "other.block").alias("lo"), F.greatest("block", "other.block").alias("hi"), "block", "id", "label")
+    rows = met.join(sets, "id").select("family", "lo", "hi", "block", "id", "label", "set")
+    rows = rows.repartition(n_parts(spark), "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            ids, label, block = (group.column(c).to_numpy() for c in ("id", "label", "block"))
+            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+            a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            if not len(a) or not len(b):
+                continue
+            i, j = overlapping(as_arrays(group.column("set").to_pylist()), a, b, percent)
+            new = (label[i] != label[j]) & (i != j)
+            if new.any():
+                low, touched = local_components(ids, i[new], j[new])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[touched], pa.int64()), pa.array(low[touched], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def overlapping(arrays: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of a, one of b) with 100 * intersection >= percent * union, by matrix products over the numbers that occur twice."""
+    size = np.array([len(x) for x in arrays], np.int64)
+    values, inverse, count = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(arrays)), size)
+    shared = count[inverse] > 1
+    column = (np.cumsum(count > 1) - 1)[inverse[shared]]
+    row, both = row[shared], np.zeros((len(a), len(b)), np.int64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    place_a, place_b = np.full(len(arrays), -1), np.full(len(arrays), -1)
+    place_a[a], place_b[b] = np.arange(len(a)), np.arange(len(b))
+    width = 8192
+    for at in range(0, int((count > 1).sum()), width):
+        s, e = np.searchsorted(column, [at, at + width])
+        r, c = row[s:e], column[s:e] - at
+        m, n = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        of_a, of_b = place_a[r] >= 0, place_b[r] >= 0
+        m[place_a[r[of_a]], c[of_a]] = 1
+        n[place_b[r[of_b]], c[of_b]] = 1
+        both += np.rint(m @ n.T).astype(np.int64)
+    i, j = np.nonzero(both * 100 >= (size[a][:, None] + size[b][None, :] - both) * percent)
+    return a[i], b[j]
+
+
+def local_components(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row is connected with by the links (i, j), and the rows that have a link."""
+    order = np.argsort(ids, kind="stable")
+    label = np.empty(len(ids), np.int64)
+    label[order] = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        if (before == label).all():
+            return ids[order[label]], np.unique(np.r_[i, j])
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal first ``n_keys`` columns (whole numbers), from sorted batches; holds one run at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_keys)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            key = tuple(keys[s])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

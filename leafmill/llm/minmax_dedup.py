@@ -65,8 +65,8 @@ def bands(hashes: np.ndarray) -> np.ndarray:
             low, high = y.min(1), y.max(1)
             v = values[start : start + 25]
             v[:, 0], v[:, 1] = (low, high) if not part else (np.minimum(v[:, 0], low), np.maximum(v[:, 1], high))
-    rows = values.reshape(-1, BAND)
-    return mix64((mix64(rows) * _PLACE).sum(1, dtype=np.uint64) + np.arange(len(rows), dtype=np.uint64)).view(np.int64)
+    table = values.reshape(-1, BAND)
+    return mix64((mix64(table) * _PLACE).sum(1, dtype=np.uint64) + np.arange(len(table), dtype=np.uint64)).view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -88,15 +88,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """``id, hashes`` (array of long) of every row."""
+    """``id, set`` (array of long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             sets = [shingles(t or "").view(np.int64) for t in batch.column(1).to_pylist()]
             offsets = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["id", "set"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, hashes array<long>")
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, set array<long>")
 
 
 def may_link(a: Column, b: Column) -> Column:
@@ -106,8 +106,8 @@ def may_link(a: Column, b: Column) -> Column:
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= PERCENT * union; stays in the JVM."""
-    a = sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b"))
+    a = sets.select(F.col("id").alias("a"), F.col("set").alias("of_a"))
+    b = sets.select(F.col("id").alias("b"), F.col("set").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * PERCENT).select("a", "b")
 
@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     one = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     sets = written(full_sets(one), "sets")
-    labels = linked(members, may_link, lambda pairs: confirm(pairs, sets))
+    labels = linked(members, sets, PERCENT, may_link, lambda pairs: confirm(pairs, sets), lambda rows: [np.array(x, np.int64) for x in rows])
     named = classes.select("key", "id", "copies").join(labels, "id", "left").where("copies > 1 or component is not null")
     named = named.select("key", F.coalesce("component", "id").alias("component"))
     component = F.coalesce("component", "doc_id")
