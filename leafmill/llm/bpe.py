@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import pieces, rows
 
 #: Entries of the per-worker memory of words and of token pairs; emptied when full.
-MEMO = 600_000
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -173,10 +173,15 @@ def _tables(spark: SparkSession, path: str):
     return _TABLES[app, path]
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def decode_ids(ids: list[int], tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids))
+
+
+def encode(df: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False) -> DataFrame:
     """``id_column`` and ``token_ids`` (array of int) of every row; nothing is shuffled.
 
-    ``vocabulary`` is the path of a rank file on the driver; its tables go to the workers once.
+    ``vocabulary`` is the path of a rank file on the driver; its tables go to the workers once. With
+    ``decoded`` the ids are also decoded again, in the same pass, into a column of that name.
     """
     tables = _tables(df.sparkSession, vocabulary)
 
@@ -185,16 +190,18 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_i
             _ENCODERS[vocabulary, pattern] = Encoder(*tables.value, pattern)
         encoder = _ENCODERS[vocabulary, pattern]
         for batch in pieces(batches, text_column, 4 << 20):
-            values, offsets = array.array("i"), [0]
+            values, offsets, back = array.array("i"), [0], []
             for text in batch.column(1).to_pylist():
-                if text:
-                    values.extend(encoder.encode(text))
+                ids = encoder.encode(text) if text else ()
+                values.extend(ids)
                 offsets.append(len(values))
+                if decoded:
+                    back.append(decode_ids(ids, encoder.tokens))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_column, "token_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *([pa.array(back, pa.binary())] if decoded else [])], names=schema.fieldNames())
 
-    schema = T.StructType([df.schema[id_column], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return df.select(id_column, text_column).mapInArrow(run, schema)
+    schema = T.StructType([df.schema[id_column], T.StructField("token_ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.BinaryType())] if decoded else [])])
+    return rows(df, id_column, text_column).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", ids_column: str = "token_ids") -> DataFrame:
@@ -202,14 +209,13 @@ def decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", ids_column
     tables = _tables(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = tables.value[0].__getitem__
         for batch in batches:
             lists = batch.column(1)
-            out = [b"".join(map(of, lists[i].values.to_numpy(zero_copy_only=False).tolist())) if lists[i].is_valid else b"" for i in range(len(lists))]
+            out = [decode_ids(ids or (), tables.value[0]) for ids in lists.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], names=[id_column, ids_column, "decoded"])
 
     schema = T.StructType([df.schema[id_column], df.schema[ids_column], T.StructField("decoded", T.BinaryType())])
-    return df.select(id_column, ids_column).mapInArrow(run, schema)
+    return rows(df, id_column, ids_column).mapInArrow(run, schema)
 
 
 def checked(encode_piece: Callable[[bytes], list[int]], tokens: list[bytes], piece: bytes) -> bool:
@@ -225,9 +231,9 @@ def digests(docs: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(docs, vocabulary, public_tokenizers.PATTERN)
+    encoded = encode(docs, vocabulary, public_tokenizers.PATTERN, decoded=True)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
-    return decode(encoded, vocabulary).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, the separators of words in every operator here (fixed values).
 WHITE = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{WHITE}]+"
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows(df: DataFrame, *columns) -> DataFrame:
+    """The given columns of ``df``, on their way to Python in batches of a few megabytes.
+
+    Spark's own bound of 64 MB a batch is held several times over by the JVM and by Python for each task.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.select(*columns)
+
+
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, n_parts, pieces
+from .common import mix64, n_parts, pieces, rows
 
 #: Characters of the compact passage codes.
 CODE = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_", np.uint8)
@@ -158,7 +158,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
             out = [fingerprint(t or "")[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_column, "fingerprint"])
 
-    return df.select(id_column, text_column).mapInArrow(run, T.StructType([df.schema[id_column], T.StructField("fingerprint", T.StringType())]))
+    return rows(df, id_column, text_column).mapInArrow(run, T.StructType([df.schema[id_column], T.StructField("fingerprint", T.StringType())]))
 
 
 EDITED = T.StructType(
@@ -176,24 +176,24 @@ EDITED = T.StructType(
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, halo) in order -> a row for each that is not halo, compared with the row after it."""
-    last, rows, held = None, [], 0
+    last, out, held = None, [], 0
     for batch in pieces(batches, "text"):
         for doc_id, text, halo in zip(*(batch.column(k).to_pylist() for k in range(3))):
             text = text or ""
             tree, bag = fingerprint(text)
             if last is not None:
-                rows.append(_compared(*last, text, tree, bag))
-                held += len(rows[-1][3]) + len(rows[-1][4])
+                out.append(_compared(*last, text, tree, bag))
+                held += len(out[-1][3]) + len(out[-1][4])
             last = None if halo else (doc_id, text, tree, bag)
             if halo:
                 break  # one row of the next part is enough; ties follow it
         if held > 8 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=EDITED.fieldNames())
-            rows, held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=EDITED.fieldNames())
+            out, held = [], 0
         if last is None:
             break
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()])], names=EDITED.fieldNames())
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()])], names=EDITED.fieldNames())
 
 
 def _compared(doc_id, text: str, tree: str, bag: Counter, next_text: str, next_tree: str, next_bag: Counter) -> tuple:
@@ -231,7 +231,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         .repartitionById(last + 1, F.col("part"))
         .sortWithinPartitions(F.col("halo"), F.col("doc_id").desc_nulls_last(), F.col("text"))
     )
-    return dealt.select("doc_id", "text", "halo").mapInArrow(_in_order, EDITED)
+    return rows(dealt, "doc_id", "text", "halo").mapInArrow(_in_order, EDITED)
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pieces
+from .common import mix64, pieces, rows
 
 #: Hashed features; labelled documents that the weights are fitted on at most; passes over them.
 FEATURES, SAMPLE, PASSES = 1 << 14, 2000, 3
@@ -101,14 +101,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(sample: list[tuple[str, str]], frequency: np.ndarray, n_docs: int) -> Model:
     """FTRL-proximal with elastic net over (text, lang) rows; every fifth row only sets the temperature."""
-    rows = [(found, lang) for text, lang in sample if (found := features(text)) is not None]
-    langs = sorted({lang for _, lang in rows})
+    known = [(found, lang) for text, lang in sample if (found := features(text)) is not None]
+    langs = sorted({lang for _, lang in known})
     idf = np.log((1.0 + n_docs) / (1.0 + frequency)) + 1.0
     k = len(langs)
     model = Model(langs, idf, np.zeros((FEATURES, k)), np.zeros(k))
     if k == 0:
         return model
-    data = [(at, model.vector(at, counts), langs.index(lang)) for (at, counts), lang in rows]
+    data = [(at, model.vector(at, counts), langs.index(lang)) for (at, counts), lang in known]
     held = data[::5] if len(data) >= 50 else data
     train = [x for i, x in enumerate(data) if i % 5] if len(data) >= 50 else data
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
@@ -165,7 +165,7 @@ def train(docs: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int64()), pa.array(np.r_[total[at], n], pa.int64())], names=["feature", "n"])
 
     # at most FEATURES + 1 rows reach the driver, and SAMPLE documents
-    counted = labelled.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    counted = rows(labelled, "text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     frequency, n_docs = np.zeros(FEATURES), 0
     for feature, n in counted:
         if feature < 0:
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out = [m.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("lang_pred string, score double").fields]))
+    return rows(docs, "doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("lang_pred string, score double").fields]))
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -203,7 +203,7 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
             keep = [lang != UNKNOWN and score >= least for lang, score in map(m.predict, batch.column(names.index("text")).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows(docs, *names).mapInArrow(run, docs.schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pieces, written
+from .common import mix64, pieces, rows, written
 from .fingerprints import _powers
 from .graph import crowded, linked
 
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(buckets), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n", "key", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, key binary, bands array<long>").fields]))
+    return rows(docs, "doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, key binary, bands array<long>").fields]))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["id", "set"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, set array<long>")
+    return rows(docs, F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, set array<long>")
 
 
 def may_link(a: Column, b: Column) -> Column:
