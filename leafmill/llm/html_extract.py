@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import pieces, rows
 
 # Names of HTML elements and of usual classes, ids and roles.
 NEVER = frozenset("script style nav footer aside form noscript template iframe svg button select textarea object canvas dialog menu head title".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert menu nav navbar navigation topbar toolbar sidebar side rail footer foot comment comments reply replies discussion disqus share sharing social related recommended newsletter subscribe signup popup modal overlay breadcrumb breadcrumbs widget login search pagination pager complementary contentinfo copyright".split())
 CONTENT = frozenset("content article post entry story main body text maincontent articlebody postbody".split())
 
@@ -100,7 +100,7 @@ def tokens(page: str) -> list[tuple[str, object, str]]:
         if mark == -2:
             mark = 0 if content else -1
         if not cut:
-            out.append(["cut", 1, "\0"] if mark < 0 else [tag, 1, "\0" if tag in BLOCKS else " " if tag == "br" else ""])
+            out.append(["cut" if mark < 0 else tag, 1, "\0" if tag in BLOCKS else " " if tag == "br" else ""])
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -213,7 +213,7 @@ def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType())])
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return rows(pages, "page_id", "url", "html").mapInArrow(run, schema)
 
 
 def op3_html_extract(spark, sf_dir: str) -> DataFrame:
