@@ -147,7 +147,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("doc_id", tx.file_name(p).alias("name"), tx.extension(p).alias("ext"), tx.file_kind(p).alias("kind"))
 
 
-@query("SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0) ELSE printf('%.1f MB', s / 1048576.0) END AS size FROM (SELECT doc_id, n_chars * 4 AS s FROM documents)")
+@query("SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', round(s / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round(s / 1048576.0::DOUBLE, 1)) END AS size FROM (SELECT doc_id, n_chars * 4 AS s FROM documents)")
 def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tx.format_bytes(F.col("n_chars") * 4).alias("size"))
 
