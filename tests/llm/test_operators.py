@@ -215,6 +215,16 @@ def test_line_cases(spark):
     assert got == {1: (f"{base}\nShort.\n\nKept", 1), 2: ("", 0), 3: ("own words of mine entirely", 26), 4: (None, None), 5: ("\n\n", 2)}
 
 
+def test_lines_of_repeats(spark):
+    """Lines with equal sets of shingles are linked whatever their lengths, in small and in crowded buckets."""
+    few = ["-" * 10, "-" * 30, "| --- | --- |", "|" + " --- |" * 9, "ha " * 5, "ha " * 50]
+    many = ["=" * n for n in (7, 8, 12, 20, 35, 60, 100, 180, 300, 1000)] + ["ab" * n for n in (5, 9, 20, 40, 90, 200, 500, 900)]
+    rows = [(i, f"{line}\nown words of text number {i * i * 7919} alone", None, None, 1) for i, line in enumerate([*few, *many])]
+    want = plain_lines([r[:2] for r in rows])
+    assert sum("\n" not in t for t in want.values()) == 3 + 9 + 7
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == want
+
+
 # 5 ----------------------------------------------------------------------------------------------
 
 
