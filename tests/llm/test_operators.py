@@ -140,6 +140,23 @@ def test_windows_do_not_cut_spans(spark):
     assert len(whole) > 0.8 * text.count(" und ")
 
 
+def test_stretches_hold_every_form():
+    for value in ("name(at)host.com", "name[at]host.com", f"{'long.local.' * 20}part @ host.com", f"name @ {'host-' * 30}name . example . com", f"AB12 {'ABCD EFGH ' * 3}", f"A{' ' * 40}B 12{'x' * 30}"):
+        assert len(value.strip()) < 34 or pii.REACH < len(value)
+        text = f"{'only words here ' * 9}{value.strip()}{' and here' * 9}"
+        a = text.index(value.strip())
+        assert any(x <= a - pii.REACH and a + len(value.strip()) + pii.REACH <= y for x, y in pii.stretches(text))
+
+
+def test_addresses_without_digits(spark):
+    tagger = pii.trained(spark)
+    addresses = ["name(at)host.com", "karla(at)verein.org", "a.local.part.longer.than.chars @ host.com", "anna @ averylonghostnamewithoutend.com"]
+    for address in addresses:
+        text = f"please write to the office und {address} for more"
+        a = text.index(address)
+        assert pii.added(text, [], pii.decoded(tagger, [text])[0]) == [("email", a, a + len(address))]
+
+
 # 3 ----------------------------------------------------------------------------------------------
 
 
