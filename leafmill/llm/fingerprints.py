@@ -215,13 +215,20 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = n_parts(spark)
     ids = docs.select("doc_id", "text")
-    top = ids.agg(F.max("doc_id")).first()[0]
-    cuts = sorted({*ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts), top} - {None}, reverse=True) if top is not None else []
-    # one number for each part, not for documents; approxQuantile gives values that occur
-    cuts = [int(c) for c in cuts]
+    low, top = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    place = lambda cuts: F.size(F.filter(cuts, lambda c: c >= F.coalesce(F.col("doc_id"), F.lit(-(2**63))))) - 1
+    cuts = []
+    if top is not None:
+        # quantiles are doubles, near ids but not equal to large ones; they only say about where to cut
+        offset = (F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")).cast("double").alias("offset")
+        near = {min(top, low + int(c)) for c in ids.select(offset).approxQuantile("offset", [i / parts for i in range(1, parts)], 0.25 / parts)}
+        bounds = F.array(*[F.lit(c).cast("long") for c in sorted(near | {top}, reverse=True)])
+        # the first id of each part that has rows: one number for each part, not for documents
+        maxima = ids.where("doc_id is not null").groupBy(place(bounds).alias("part")).agg(F.max("doc_id").alias("first_id"))
+        cuts = sorted((r.first_id for r in maxima.collect()), reverse=True)
     firsts = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     last = max(0, len(cuts) - 1)
-    own = F.greatest(F.lit(0), F.size(F.filter(firsts, lambda c: c >= F.coalesce(F.col("doc_id"), F.lit(-(2**63))))) - 1)
+    own = F.greatest(F.lit(0), place(firsts))
     before = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1)
     is_first = F.col("doc_id") == F.element_at(firsts, F.col("own") + 1) if cuts else F.lit(True)
     dealt = (

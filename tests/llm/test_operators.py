@@ -97,6 +97,15 @@ def test_next_document_goes_round(spark):
     assert got[1].edited_sha256 == hashlib.sha256(b"abcxy").hexdigest() and got[3].edited_sha256 == hashlib.sha256(b"x").hexdigest() and got[2].n_chars == 0
 
 
+def test_large_ids_keep_every_row(spark):
+    """Ids that a double cannot hold, close together and far apart, over several parts."""
+    for ids in ([2**60 + 3 * i for i in range(40)], [(i * 0x9E3779B97F4A7C15 + 1) % 2**64 - 2**63 for i in range(40)], [-(2**63), 2**63 - 1, 5]):
+        got = {r.doc_id: r.edited_sha256 for r in fingerprints.compare_with_edits(frame(spark, [(i, f"text {i}", None, None, 0) for i in ids])).collect()}
+        order = sorted(ids, reverse=True)
+        halves = [(f"text {i}", f"text {j}") for i, j in zip(order, [*order[1:], order[0]])]
+        assert got == {i: hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for i, (a, b) in zip(order, halves)}
+
+
 # 2 ----------------------------------------------------------------------------------------------
 
 
