@@ -5,9 +5,11 @@ the contiguous run with the largest sum, found by one linear scan. The weights a
 labelled pages: for a word by where it stands (in an element marked as content; outside one, on a page that
 has such; on a page without marks; in a link), for a tag by its name.
 
-Elements that never belong to an article (scripts, styles, menus, forms, elements marked as adverts,
-notices, comments and so on) are not searched: each is one strongly negative token, wherever it stands, and
-one that lies within the chosen run is left out of the text.
+Elements that never belong to an article (scripts, styles, menus, forms, elements that classes, ids or roles
+name as adverts, notices, comments and so on) are not searched: each is one strongly negative token, wherever it
+stands, and one that lies within the chosen run is left out of the text. A name alone does not remove a page's
+article: names of a state (``with-sidebar``, ``share-enabled``) do not count, a content name beside it decides,
+and an element that holds the page's content (see ``_wrappers``) is searched like any other.
 
 The text joins the run's blocks in page order by a blank line. Within a block, character references are
 decoded, white space becomes one space and inline markup disappears; ``<br>`` is white space. Null and
@@ -43,32 +45,91 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?
 NAMES = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
+#: Names that tell a state or a layout, not what an element is.
+STATE = re.compile(r"(?:has|with|without|no|is|show|hide)(?:[-_A-Z].*)|.*[-_](?:enabled|disabled|open|closed|on|off|allowed)", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 @lru_cache(maxsize=4096)
 def marked(tag: str, attributes: str) -> int:
-    """-1: not content, 1: content, 0: neither, -2: a header, which is content only inside of it."""
+    """-1: not content, 1: content, 0: neither, -2: a header, which is content only inside of it; -3 and -4: named like
+    one that is not content or like a header, unless it holds the page's content."""
     if tag in NEVER:
         return -1
-    names: set[str] = set()
+    good = bad = head = False
     for key, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         value = "".join(values)
         if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value.lower() == "true"):
             return -1
-        names.update(x.lower() for x in NAMES.findall(value))
-        names.update(x.lower() for x in re.split(r"[\s_-]+", value))
-    if tag not in ("html", "body", "main", "article") and names & NOT_CONTENT:
-        return -1
-    if tag == "header" or names & {"header", "masthead"}:
+        for name in value.split():
+            if STATE.fullmatch(name):
+                continue
+            names = {x.lower() for x in NAMES.findall(name)} | {x.lower() for x in re.split(r"[_-]+", name)}
+            if names & NOT_CONTENT:
+                bad = True
+            elif names & {"header", "masthead"}:
+                head = True
+            elif names & CONTENT:
+                good = True
+    if tag == "header":
         return -2
-    return 1 if tag in ("article", "main") or names & CONTENT else 0
+    if good or tag in ("article", "main"):
+        return 1
+    return 0 if tag in ("html", "body") else -3 if bad else -4 if head else 0
+
+
+class _Node:
+    """A named element: its words outside links and outside named elements in it, those of them in content, its headings and paragraphs, its largest content element."""
+
+    def __init__(self, parent: _Node | None):
+        self.parent, self.shown = parent, parent is None
+        self.free = self.inside = self.h1 = self.prose = self.largest = 0
+
+
+def _wrappers(nodes: list[_Node]) -> None:
+    """Show the named elements that hold the page's content, from the outside in.
+
+    Such is one with a content element of more words than all content elsewhere on the page, or, on a page without
+    words in content elements, one with the only ``<h1>`` and more words than are outside; or,
+    where there is no other text at all, the longest one with paragraphs.
+    """
+    whole = [[n.free, n.h1, n.prose, n.largest] for n in nodes]
+    at = {id(n): k for k, n in enumerate(nodes)}
+    children: list[list[int]] = [[] for _ in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        up = at[id(nodes[k].parent)]
+        children[up].append(k)
+        mine, theirs = whole[k], whole[up]
+        whole[up] = [mine[0] + theirs[0], mine[1] + theirs[1], mine[2] + theirs[2], max(mine[3], theirs[3])]
+    free, inside, h1, level = nodes[0].free, nodes[0].inside, nodes[0].h1, children[0]
+    while level:
+        found = []
+        for k in level:
+            words, titles, _, largest = whole[k]
+            if largest > inside if largest else titles and not inside and not h1 and words > free:
+                found.append(k)
+        if not found and not free:
+            found = sorted((k for k in level if whole[k][2]), key=lambda k: -whole[k][0])[:1]
+        for k in found:
+            nodes[k].shown = True
+        free, inside, h1 = (x + sum(getattr(nodes[k], name) for k in found) for x, name in ((free, "free"), (inside, "inside"), (h1, "h1")))
+        level = [c for k in found for c in children[k]]
 
 
 def tokens(page: str) -> list[tuple[str, object, str]]:
     """(class, count of words or 1, text) of each token, in order. Text tokens keep their raw text; block
     borders have the text ``\\0`` and white space from ``<br>`` has a space."""
     out: list[list] = []
-    stack: list[tuple[str, int]] = []  # open elements and their marks
+    stack: list[tuple[str, int, _Node, int]] = []  # open elements: marks, named element around, words before
+    node = _Node(None)
+    nodes, content_in, total = [node], [], 0
     cut = content = link = 0  # how many of them are not content, content, links
-    seen = False
+
+    def leave(mark: int, around: _Node, before: int) -> _Node:
+        if mark > 0:
+            node.largest = max(node.largest, total - before)
+        return around
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -80,7 +141,11 @@ def tokens(page: str) -> list[tuple[str, object, str]]:
             if not cut:
                 words = len(text.split())
                 kind = "word:in" if content else "word:link" if link else "word:out"
-                out.append([kind if words else "space", words, text])
+                out.append([kind if words else "space", words, text, node, False])
+                if kind != "word:link":
+                    total += words
+                    node.free += words
+                    node.inside += words if content else 0
             continue
         if tag is None:
             continue
@@ -89,38 +154,59 @@ def tokens(page: str) -> list[tuple[str, object, str]]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
             if k < 0:
                 continue
-            was = cut
-            for name, mark in stack[k:]:
-                cut, content, link = cut - (mark < 0), content - (mark > 0), link - (name == "a")
+            was, inner = cut, node
+            for name, mark, around, before in reversed(stack[k:]):
+                cut, content, link = cut - (mark == -1), content - (mark > 0), link - (name == "a")
+                node = leave(mark, around, before)
             del stack[k:]
             if not cut and not was:
-                out.append([f"/{tag}", 1, "\0" if tag in BLOCKS else ""])
+                out.append([f"/{tag}", 1, "\0" if tag in BLOCKS else "", inner, False])
             continue
         mark = marked(tag, attributes)
         if mark == -2:
             mark = 0 if content else -1
+        elif mark == -4:
+            mark = 0 if content else -3
+        single = tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS
+        if tag == "p" and not single:  # a paragraph ends where the next one starts
+            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span") and any(x[0] == "p" for x in stack):
+                name, old, outer, before = stack.pop()
+                cut, content = cut - (old == -1), content - (old > 0)
+                node = leave(old, outer, before)
+                if name == "p":
+                    break
+        named = mark == -3 and not single
+        around = node
+        if named and not cut:
+            node = _Node(around)
+            nodes.append(node)
         if not cut:
-            out.append(["cut" if mark < 0 else tag, 1, "\0" if tag in BLOCKS else " " if tag == "br" else ""])
+            node.h1 += tag == "h1"
+            node.prose += tag == "p" or tag in HEADINGS
+            out.append(["cut" if mark == -1 or mark == -3 and single else tag, 1, "\0" if tag in BLOCKS else " " if tag == "br" else "", node, named])
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
+        if single:
             continue
-        if tag == "p":  # a paragraph ends where the next one starts
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span") and any(x == "p" for x, _ in stack):
-                name, old = stack.pop()
-                cut, content = cut - (old < 0), content - (old > 0)
-                if name == "p":
-                    break
-        stack.append((tag, mark))
-        cut, content, link = cut + (mark < 0), content + (mark > 0), link + (tag == "a")
-        seen = seen or (mark > 0 and not cut)
-    if not seen:
+        stack.append((tag, mark, around, total))
+        cut, content, link = cut + (mark == -1), content + (mark > 0), link + (tag == "a")
+        if mark > 0 and not cut:
+            content_in.append(node)
+    for _, mark, around, before in reversed(stack):
+        node = leave(mark, around, before)
+    if len(nodes) > 1:
+        _wrappers(nodes)
+        for t in out:
+            if t[4] and not t[3].shown:  # the element itself is one token of what is around it
+                t[0], t[3] = "cut", t[3].parent
+        out = [t for t in out if t[3].shown]
+    if not any(c.shown for c in content_in):
         for t in out:
             if t[0] == "word:out":
                 t[0] = "word:free"
-    return [tuple(t) for t in out]
+    return [tuple(t[:3]) for t in out]
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:

@@ -189,6 +189,20 @@ def test_layouts():
     assert html_extract.extract("just some plain words", weights) == "just some plain words"
 
 
+def test_named_wrappers():
+    """A class or id round the whole article does not remove it; what is named inside or beside it still goes."""
+    weights = html_extract.learned()
+    inner = "<h1>Title of it</h1><p>one two three four five six</p><p>seven eight nine ten</p>"
+    want = "Title of it\n\none two three four five six\n\nseven eight nine ten"
+    comments = "<div class='post-comments'><p>first! many words of a visitor are here, more than in the article, as it goes on and on</p></div>"
+    for opening in ("<div class='layout with-sidebar'>", "<div id='content' class='has-comments'>", "<div class='single-post share-enabled'>", "<div class='single-post related'>", "<div class='layout sidebar-right'>", "<div class='header-fixed'>", "<div class='page side'><div class='rail'>"):
+        for article in (inner, f"<article>{inner}</article>", f"<main>{inner}</main>"):
+            for after in ("", comments):
+                for page in (f"<body><nav>Home</nav>{opening}{article}</div>{after}", f"<body>{opening}{article}{after}<div class='ad'>buy this</div></div>", f"<body><main>{opening}{article}</div></main>{after}"):
+                    assert html_extract.extract(page, weights) == want, page
+    assert html_extract.extract(f"<body><article>{inner}</article>{comments}<div class='related'><article>a teaser</article></div>", weights) == want
+
+
 def test_best_run_is_the_maximum():
     r = random.Random(0)
     for _ in range(300):
