@@ -4,7 +4,9 @@ The tree of a text has four levels. A *paragraph* is a line that is not blank. P
 blank line or a Markdown heading starts one, and so does, in long runs without either, a paragraph whose
 own digest says so (about one in eight), so that an insertion never moves all later borders. Under a
 paragraph are its *passages*: runs of words that end after a word whose last bytes are in a fixed class
-(one in three), again a border that depends on the text around it alone. A section's digest is the SHA-256 of its paragraphs'
+(one in three), again a border that depends on the text around it alone. In a passage of more than 63 bytes, such as
+a line without white space, borders also follow six bytes in a fixed class (one code point in 16), and
+what is still longer is cut every 63 bytes. A section's digest is the SHA-256 of its paragraphs'
 digests and the root is that of the sections' digests, so equal roots mean equal paragraphs.
 
 The fingerprint is the tree as text: 32 hexadecimal digits of the root, then ``/`` and 8 digits for each
@@ -38,6 +40,8 @@ _INVERSE = pow(_FACTOR, -1, 1 << 64)
 #: White-space bytes.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The largest size that a passage's code can hold.
+MOST = 63
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -51,6 +55,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _shortened(solid: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Starts with those added that leave no passage longer than MOST."""
+    sizes = np.diff(np.r_[starts, len(solid)])
+    if sizes.max() <= MOST:
+        return starts
+    at = np.flatnonzero(np.repeat(sizes > MOST, sizes))
+    at = at[(at - np.repeat(starts, sizes)[at] >= 6) & ((solid[at] & 0xC0) != 0x80)]
+    six = np.zeros(len(at), np.uint64)
+    for k in range(1, 7):
+        six = six * np.uint64(256) + solid[at - k]
+    starts = np.union1d(starts, at[(mix64(six) >> np.uint64(40)) % np.uint64(16) == 0])
+    sizes = np.diff(np.r_[starts, len(solid)])
+    more = [np.arange(s + MOST, s + n, MOST) for s, n in zip(starts[sizes > MOST], sizes[sizes > MOST])]
+    return np.sort(np.concatenate([starts, *more]))
+
+
 def passages(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, hashes and sizes (bytes without white space) of a text's passages, all by array operations.
 
@@ -70,7 +90,7 @@ def passages(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(solid):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     nth = np.cumsum(border)[~space]
-    starts = np.flatnonzero(np.r_[True, nth[1:] != nth[:-1]])
+    starts = _shortened(solid, np.flatnonzero(np.r_[True, nth[1:] != nth[:-1]]))
     up, down = _powers(len(solid))
     sums = np.add.reduceat((solid.astype(np.uint64) + np.uint64(1)) * up, starts) * down[starts]
     return np.flatnonzero(~space)[starts], mix64(sums), np.diff(np.r_[starts, len(solid)])
@@ -80,7 +100,7 @@ def _codes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.empty((len(hashes), 5), np.uint8)
     for k in range(4):
         out[:, k] = CODE[((hashes >> np.uint64(40 + 6 * k)) & np.uint64(63)).astype(np.int64)]
-    out[:, 4] = CODE[np.minimum(63, sizes)]
+    out[:, 4] = CODE[sizes]
     return out
 
 

@@ -97,6 +97,17 @@ def test_next_document_goes_round(spark):
     assert got[1].edited_sha256 == hashlib.sha256(b"abcxy").hexdigest() and got[3].edited_sha256 == hashlib.sha256(b"x").hexdigest() and got[2].n_chars == 0
 
 
+def test_unspaced_text_is_compared_in_parts():
+    r = random.Random(4)
+    for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        a, b = ("".join(r.choices(letters, k=3000)) for _ in range(2))
+        of = lambda text: fingerprints.fingerprint(text)[0]
+        assert 0.45 < fingerprints.likeness(of(a), of(a[:1500] + b[:1500])) < 0.55 and fingerprints.likeness(of(a), of(b)) < 0.05
+        assert 0.9 < fingerprints.likeness(of("x" + a), of(a)) < 1 and fingerprints.passages(a.encode())[2].max() <= 63
+        words = "some ordinary words stand here as well "
+        assert fingerprints.likeness(of(words + a), of(words + b)) < 0.1
+
+
 def test_large_ids_keep_every_row(spark):
     """Ids that a double cannot hold, close together and far apart, over several parts."""
     for ids in ([2**60 + 3 * i for i in range(40)], [(i * 0x9E3779B97F4A7C15 + 1) % 2**64 - 2**63 for i in range(40)], [-(2**63), 2**63 - 1, 5]):
