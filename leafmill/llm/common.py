@@ -22,10 +22,14 @@ BATCH_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent, as in local tests, a folder of our own is made and set.
+    Only where the setting is absent and everything runs on one machine, as in local tests, a folder of our own is
+    made and set. On a cluster without the setting this is an error: executors would write to disks of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,17 +42,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     afterwards costs nothing, since the files belong to no executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafmill/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared one. Results are lazy and read from it, so only the application knows
+    when it may go: see ``clear_scratch``."""
+    return f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what ``written`` has left in the shared folder for this application, once its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What Spark takes if nobody has set it.
+_SPARKS_OWN = 64 << 20
+
+
 def rows(df: DataFrame, *columns) -> DataFrame:
     """The given columns of ``df``, on their way to Python in batches of a few megabytes.
 
-    Spark's own bound of 64 MB a batch is held several times over by the JVM and by Python for each task.
+    Spark's own bound of 64 MB a batch is held several times over by the JVM and by Python for each task, so the session's
+    setting is lowered to BATCH_BYTES, unless it has been set to something else.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf = df.sparkSession.conf
+    if conf.get(_BATCHES).lower() in (str(_SPARKS_OWN), f"{_SPARKS_OWN}b", "64mb", "64m"):
+        conf.set(_BATCHES, str(BATCH_BYTES))
     return df.select(*columns)
 
 

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts, written
+from .common import rows, written
 
 #: Buckets up to this size are compared pair by pair; larger ones through pivots first.
 SMALL = 6
-#: Rounds of pivots before what is still apart in a large bucket is compared block by block, and a block's size.
-ROUNDS, BLOCK = 2, 256
+#: Rounds of pivots before what is still apart in a large bucket is compared block by block.
+ROUNDS = 2
+#: Ids in a block, about, and the sum of their sets' sizes (4 MB of hashes), whichever is reached first.
+BLOCK, WEIGHT = 1024, 1 << 19
 #: Edges that one task of the union-find holds at most (16 MB).
 EDGES = 1 << 20
 
@@ -69,21 +71,38 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[label[moved]], pa.int64())], names=["a", "b"])
 
 
-def crowded(rows: DataFrame) -> DataFrame:
+def named_classes(known: DataFrame, classes: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
+    """``key, component_id`` of the classes (key, id, first, copies) that have other rows in their component.
+
+    ``known`` has a row's id and key. Rows with one id and several keys join these keys' classes. A component is named by the
+    smallest id of its rows (``first`` is a class's).
+    """
+    repeated = written(known.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").select(id_column), "repeated")
+    several = known.select(id_column, "key").join(repeated, id_column, "left_semi").distinct().join(classes.select("key", "id"), "key")
+    least = several.groupBy(id_column).agg(F.min("id").alias("least"))
+    bridges = several.join(least, id_column).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(bridges))
+    named = classes.select("key", "id", "first", "copies").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"))
+    return named.join(smallest, "component").where("copies > 1 or sets > 1").select("key", "component_id")
+
+
+def crowded(members: DataFrame) -> DataFrame:
     """Rows (bucket, id, ...) of the buckets with two ids or more, with ``crowd``, their number of rows.
 
-    Buckets are counted with partial sums and joined back, so a hot bucket is split, never gathered.
+    Buckets are counted with partial sums, and the counts of crowded ones are written, so that Spark knows their size:
+    small ones are broadcast and no row moves; beyond that AQE splits a hot bucket's rows in the join.
     """
-    count = rows.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    return rows.join(count, "bucket")
+    count = written(members.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
+    return members.join(count, "bucket")
 
 
-def linked(members: DataFrame, sets: DataFrame, percent: int, may_link: Callable, verify: Callable[[DataFrame], DataFrame], as_arrays: Callable[[list], list[np.ndarray]]) -> DataFrame:
+def linked(members: DataFrame, sets: DataFrame, percent: int, may_link: Callable, verify: Callable[[DataFrame], DataFrame], as_arrays: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
     """Components over the pairs that share a bucket and whose sets overlap enough: ``id, component`` as above.
 
     ``members`` has bucket, id, size, crowd; ids are distinct within a bucket. ``sets`` has id and set.
     ``may_link(size_a, size_b)`` is a condition that every link meets; ``verify`` gets pairs (a, b), each once,
-    and returns the linked ones; ``as_arrays`` turns values of ``set`` into arrays of whole numbers.
+    and returns the linked ones; ``as_arrays`` turns the column ``set`` into arrays of whole numbers.
 
     Which pairs are compared does not matter to the result as long as every pair of a bucket that is left out
     lies within one component. Buckets up to SMALL are compared pair by pair. A larger one is compared with
@@ -119,46 +138,73 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, may_link: Callable
     return labels
 
 
-def compare_blocks(left: DataFrame, sets: DataFrame, percent: int, as_arrays: Callable[[list], list[np.ndarray]]) -> DataFrame:
-    """Links (a, b) between ids of different labels, from buckets (bucket, first, id, label).
+def block_pairs(members: DataFrame, most: int, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """Deal each part's ids into blocks: ``part, id, owner, block``, and the pairs of blocks to compare: ``lo, hi``.
+
+    ``members`` has part, id, owner and weight; ids of one owner need no comparison with each other. An owner with
+    half a block or more gets blocks of its own, which never meet; the others of a part share blocks, which also
+    meet themselves. Blocks hold about ``most`` ids or a weight of ``heavy``. What is joined by part has one row
+    for an owner or a block, never for an id, so a part with a third of all ids is no task's own.
+    """
+    sums = written(members.groupBy("part", "owner").agg(F.count("*").alias("n"), F.sum("weight").alias("w")), "owners")
+    blocks = lambda n, w: F.ceil(F.greatest(F.col(n) / most, F.col(w) / heavy)).cast("int")
+    own = (F.col("n") * 2 >= most) | (F.col("w") * 2 >= heavy)
+    rest = written(sums.where(~own).groupBy("part").agg(F.sum("n").alias("rest_n"), F.sum("w").alias("rest_w")), "rest")
+    plan = sums.join(rest, "part", "left").select("part", "owner", F.when(own, F.col("owner")).alias("of"), F.greatest(F.lit(1), F.when(own, blocks("n", "w")).otherwise(blocks("rest_n", "rest_w"))).alias("blocks"))
+    plan = written(plan, "plan")
+    name = lambda k: F.concat_ws(":", F.col("part").cast("string"), F.coalesce(F.col("of").cast("string"), F.lit("rest")), k.cast("string")).alias("block")
+    dealt = members.join(plan, ["part", "owner"]).select("part", "id", "owner", name(F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    each = plan.select("part", "of", "blocks").distinct().select("part", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("part", "of", name(F.col("k")))
+    each = written(each, "blocks")
+    x, y = each.alias("x"), each.alias("y")
+    apart = F.col("x.of").isNull() | F.col("y.of").isNull() | (F.col("x.of") != F.col("y.of"))
+    pairs = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.block") <= F.col("y.block")) & apart)
+    return dealt, written(pairs.select(F.col("x.block").alias("lo"), F.col("y.block").alias("hi")), "pairs")
+
+
+def met_blocks(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """``same, x, y, lo`` of each pair of blocks: whether it is one block, the rows of both (``packed``: block, rows), the first's name.
+
+    A block is one row, packed once and written; a pair of blocks moves two rows.
+    """
+    packed = written(packed, "packed")
+    x, y = (packed.select(F.col("block").alias(on), F.col("rows").alias(name)) for on, name in (("lo", "x"), ("hi", "y")))
+    return rows(pairs.join(x, "lo").join(y, "hi"), (F.col("lo") == F.col("hi")).alias("same"), "x", "y", "lo")
+
+
+def compare_blocks(left: DataFrame, sets: DataFrame, percent: int, as_arrays: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
+    """Links (a, b) between ids of different labels, from buckets (bucket, first, id, size, label).
 
     Buckets that share ids form a family, in which every id is compared with all of other labels, once,
-    however many buckets they share. A family's ids are dealt into blocks of about BLOCK, those of a large label
-    into blocks of their own, which are never compared with each other. A task holds two blocks and counts
-    all intersections by matrix products; it returns at most one link for each id.
+    however many buckets they share. A task holds two blocks of a family and counts all intersections by matrix
+    products; it returns at most one link for each id.
     """
-    spark = left.sparkSession
     family = components(left.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
-    ids = left.select("id", "label").distinct().join(family, "id", "left").select(F.coalesce("component", "id").alias("family"), "id", "label")
-    ids = written(ids, "families")
-    by_label = ids.groupBy("family", "label").agg(F.count("*").alias("n"))
-    small = by_label.where(F.col("n") < BLOCK // 2).groupBy("family").agg(F.sum("n").alias("mixed"))
-    own = F.col("n") >= BLOCK // 2
-    split = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / BLOCK))
-    dealt = ids.join(by_label, ["family", "label"]).join(small, "family", "left")
-    dealt = dealt.select("family", "id", "label", F.when(own, F.col("label")).alias("owner"), F.when(own, split(F.col("n"))).otherwise(split(F.col("mixed"))).alias("part"))
-    dealt = dealt.withColumn("block", F.xxhash64("family", "owner", "part"))
-    blocks = dealt.groupBy("family", "block").agg(F.first("owner").alias("owner")).groupBy("family").agg(F.collect_list(F.struct("block", "owner")).alias("blocks"))  # one entry for BLOCK ids
-    other = F.explode(F.filter("blocks", lambda b: F.col("owner").isNull() | b["owner"].isNull() | (b["owner"] != F.col("owner"))))
-    met = dealt.join(blocks, "family").select("family", "id", "label", "block", other.alias("other"))
-    met = met.select("family", F.least("block", "other.block").alias("lo"), F.greatest("block", "other.block").alias("hi"), "block", "id", "label")
-    rows = met.join(sets, "id").select("family", "lo", "hi", "block", "id", "label", "set")
-    rows = rows.repartition(n_parts(spark), "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    ids = left.select("id", F.col("label").alias("owner"), F.col("size").alias("weight")).distinct().join(family, "id", "left")
+    ids = written(ids.select(F.coalesce("component", "id").alias("part"), "id", "owner", "weight"), "families")
+    dealt, pairs = block_pairs(ids, BLOCK, WEIGHT)
+    packed = dealt.join(sets.select("id", "set"), "id").groupBy("block").agg(F.collect_list(F.struct("id", "owner", "set")).alias("rows"))  # a block's, about BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 3):
-            ids, label, block = (group.column(c).to_numpy() for c in ("id", "label", "block"))
-            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-            a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            if not len(a) or not len(b):
-                continue
-            i, j = overlapping(as_arrays(group.column("set").to_pylist()), a, b, percent)
-            new = (label[i] != label[j]) & (i != j)
-            if new.any():
-                low, touched = local_components(ids, i[new], j[new])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[touched], pa.int64()), pa.array(low[touched], pa.int64())], names=["a", "b"])
+        for batch in batches:
+            for k, same in enumerate(batch.column(0).to_pylist()):
+                sides = [batch.column(c).slice(k, 1).flatten() for c in ((1,) if same else (1, 2))]
+                ids, label = (np.concatenate([s.field(f).to_numpy(zero_copy_only=False) for s in sides]) for f in ("id", "owner"))
+                a = np.arange(len(sides[0]))
+                b = a if same else np.arange(len(a), len(ids))
+                i, j = overlapping([x for s in sides for x in as_arrays(s.field("set"))], a, b, percent)
+                new = (label[i] != label[j]) & (i != j)
+                if new.any():
+                    low, touched = local_components(ids, i[new], j[new])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[touched], pa.int64()), pa.array(low[touched], pa.int64())], names=["a", "b"])
+
+    return met_blocks(pairs, packed).mapInArrow(run, "a long, b long").where("a <> b")
+
 
-    return rows.mapInArrow(run, "a long, b long").where("a <> b")
+def arrays_of(lists: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow array of lists of whole numbers, as arrays."""
+    at = lists.offsets.to_numpy()
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), (at - at[0])[1:-1]) if len(lists) else []
 
 
 def overlapping(arrays: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,23 +243,3 @@ def local_components(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.
         np.minimum.at(label, j, label[i])
         if (before == label).all():
             return ids[order[label]], np.unique(np.r_[i, j])
-
-
-def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Runs of rows with equal first ``n_keys`` columns (whole numbers), from sorted batches; holds one run at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_keys)], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-        for s, e in zip(cuts, cuts[1:]):
-            key = tuple(keys[s])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(s, e - s))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)

@@ -9,7 +9,10 @@ With 75 permutations (150 values) in 30 bands of 5, a pair at the threshold of 0
 1 - (1 - 0.75^5)^30 = 99.97 %, one at 0.85 practically always.
 
 Defined results: null or blank text has the empty set and is linked with nothing; a null id is linked with
-nothing and kept; rows with one id belong together. Repeated rows are copies. Text of any length is taken whole.
+nothing and kept. Rows with one id belong together: where an id carries several texts, each text's set is
+compared, and the id joins their components. Repeated rows are copies. An empty table gives no rows. Only doc_id and
+text are read, so further columns may have any name. Text of any length is taken whole; its permutations are evaluated in
+parts of a fixed size.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import mix64, pieces, rows, written
 from .fingerprints import _powers
-from .graph import crowded, linked
+from .graph import arrays_of, crowded, linked, named_classes
 
 WIDTH, PERCENT = 5, 75
 PERMUTATIONS, BAND = 75, 5
@@ -69,6 +72,10 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mix64((mix64(table) * _PLACE).sum(1, dtype=np.uint64) + np.arange(len(table), dtype=np.uint64)).view(np.int64)
 
 
+def _key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, n, key, bands`` of every row; key (16 bytes) is equal for equal sets, null for the empty one."""
 
@@ -78,7 +85,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text or "")
                 n.append(len(hashes))
-                keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
+                keys.append(_key(hashes) if len(hashes) else None)
                 buckets.append(bands(hashes) if len(hashes) else np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, buckets)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(buckets), pa.int64()))
@@ -88,15 +95,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """``id, set`` (array of long) of every row."""
+    """``key, set`` (array of long) of every row that has a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
-            sets = [shingles(t or "").view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [x for t in batch.column(0).to_pylist() if len(x := shingles(t or ""))]
             offsets = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["id", "set"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *[x.view(np.int64) for x in sets]]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sets], pa.binary()), lists], names=["key", "set"])
 
-    return rows(docs, F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, set array<long>")
+    return rows(docs, "text").mapInArrow(run, "key binary, set array<long>")
 
 
 def may_link(a: Column, b: Column) -> Column:
@@ -113,20 +121,25 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    """``doc_id, n_shingles, component_id, kept`` of every row.
+
+    A class is a set of shingles, with a number of its own; its ids are joined to it by the set's key.
+    """
     signed = written(signatures(docs), "signatures")
-    classes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("size"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    members = crowded(classes.groupBy("id").agg(F.first("size").alias("size"), F.first("bands").alias("bands")).select("id", "size", F.explode("bands").alias("bucket")))
-    members = written(members, "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    one = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = written(full_sets(one), "sets")
-    labels = linked(members, sets, PERCENT, may_link, lambda pairs: confirm(pairs, sets), lambda rows: [np.array(x, np.int64) for x in rows])
-    named = classes.select("key", "id", "copies").join(labels, "id", "left").where("copies > 1 or component is not null")
-    named = named.select("key", F.coalesce("component", "id").alias("component"))
-    component = F.coalesce("component", "doc_id")
-    return signed.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    known = signed.where("key is not null and doc_id is not null")
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("size"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so that the numbers stay
+    members = written(crowded(classes.select("id", "size", F.explode("bands").alias("bucket"))), "members")
+    # texts of one document of each class that has met another one; what else has its id is told apart by the key
+    wanted = written(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "key", F.col("first").alias("doc_id")), "wanted")
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = full_sets(texts).join(wanted.select("id", "key"), "key").groupBy("id").agg(F.first("set").alias("set"))
+    sets = written(sets, "sets")
+    labels = linked(members, sets, PERCENT, may_link, lambda pairs: confirm(pairs, sets), arrays_of)
+    named = named_classes(known, classes, labels, "doc_id")
+    component = F.coalesce("component_id", "doc_id")
+    with_id = F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")
+    return signed.select("doc_id", "n", with_id).join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
