@@ -14,7 +14,7 @@ from . import query, read
 from .scalar import file_path
 
 _PATH = "source || '/' || lang || '/' || doc_id || '.txt'"
-_TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_TERMS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 WORDS = ("the", "tion", "der", "ering")
 
 

@@ -122,10 +122,17 @@ def rule_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("doc_id", filters.skip_reason(F.col("path"), filters.Rules.parse(["src3/", "1*.txt"])).alias("reason"))
 
 
-@query("SELECT doc_id, (doc_id % 3 = 0 OR doc_id % 5 = 0) AS ignored FROM documents")
+@query("SELECT doc_id, doc_id % 8 IN (0, 1, 2, 3) AS ignored FROM documents")
 def builtin_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = F.when(F.col("doc_id") % 3 == 0, "node_modules/a.txt").when(F.col("doc_id") % 5 == 0, "x/.hidden/b.txt").otherwise("x/c.txt")
-    return read(spark, sf_dir, "documents").select("doc_id", filters.ignored(folder).alias("ignored"))
+    """Tool folders, hidden names, lock and system files are ignored; folders of build output are not."""
+    kinds = ("node_modules/a.txt", "x/.hidden/b.txt", "x/~$c.docx", "x/Thumbs.db", "dist/a.txt", "src/build/readme.md", "out/dist.txt", "x/venvs/c.txt")
+    path = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", filters.ignored(path).alias("ignored"))
+
+
+@query(f"SELECT doc_id, CASE WHEN NOT (regexp_matches({_PATH}, '(^|/)[^/]*12[^/]*$') OR regexp_matches({_PATH}, '[.]md$')) THEN 'Not one of the file types or names to include' END AS reason FROM documents")
+def include_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("doc_id", filters.skip_reason(F.col("path"), filters.Rules.parse(["!*.md", "!12"])).alias("reason"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars > 2097 THEN 'Larger than 0.002 MB' END AS reason FROM documents")
@@ -147,7 +154,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("doc_id", tx.file_name(p).alias("name"), tx.extension(p).alias("ext"), tx.file_kind(p).alias("kind"))
 
 
-@query("SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', round(s / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round(s / 1048576.0::DOUBLE, 1)) END AS size FROM (SELECT doc_id, n_chars * 4 AS s FROM documents)")
+@query("SELECT doc_id, CASE WHEN u = '' THEN s || ' B' WHEN v >= 10 THEN CAST(floor(v + 0.5::DOUBLE) AS BIGINT) || u ELSE printf('%.1f', v) || u END AS size FROM (SELECT doc_id, s, CASE WHEN s < 1024 THEN '' WHEN s < 1048576 THEN ' KB' ELSE ' MB' END AS u, CASE WHEN s < 1048576 THEN s / 1024.0::DOUBLE ELSE s / 1048576.0::DOUBLE END AS v FROM (SELECT doc_id, n_chars * 4 AS s FROM documents))")
 def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tx.format_bytes(F.col("n_chars") * 4).alias("size"))
 
@@ -164,12 +171,11 @@ def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: len(x) > 0) AS ls FROM documents),
-h AS (SELECT doc_id, ls, list_filter(ls, lambda x: starts_with(x, '#') OR starts_with(lower(x), 'sheet:') OR (len(x) BETWEEN 4 AND 120 AND (ends_with(x, ':') OR
-  (len(regexp_replace(x, '[^\p{L}]', '', 'g')) > 0 AND len(regexp_replace(x, '[^\p{Lu}]', '', 'g')) > len(regexp_replace(x, '[^\p{L}]', '', 'g')) * 0.55::DOUBLE)))) AS hs FROM l),
-e AS (SELECT doc_id, CASE WHEN len(hs) > 0 THEN list_transform(hs, lambda x: regexp_replace(x, '^#+\s*', '')) ELSE ls END AS v FROM h),
-u AS (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS i FROM e), f AS (SELECT doc_id, v[i] AS x, min(i) AS i FROM u GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
-SELECT d.doc_id, coalesce(string_agg(x, '|' ORDER BY n) FILTER (n <= 6), '') AS hints FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
+h AS (SELECT doc_id, ls, list_filter(ls, lambda x: starts_with(x, '#') OR starts_with(lower(x), 'sheet:') OR (len(x) BETWEEN 4 AND 120 AND len(regexp_replace(x, '[^\p{L}]', '', 'g')) > 0 AND (ends_with(x, ':') OR
+  len(regexp_replace(x, '[^\p{Lu}]', '', 'g')) > len(regexp_replace(x, '[^\p{L}]', '', 'g')) * 0.55::DOUBLE))) AS hs FROM l),
+e AS (SELECT doc_id, list_transform(CASE WHEN len(hs) > 0 THEN hs[1:6] ELSE ls[1:6] END, lambda x: CASE WHEN len(trim(regexp_replace(x, '\s+', ' ', 'g'))) > 120 THEN rtrim(substr(trim(regexp_replace(x, '\s+', ' ', 'g')), 1, 117)) || '...' ELSE trim(regexp_replace(x, '\s+', ' ', 'g')) END) AS v FROM h),
+u AS (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS i FROM e), f AS (SELECT doc_id, v[i] AS x, min(i) AS i FROM u GROUP BY ALL)
+SELECT d.doc_id, coalesce(string_agg(x, '|' ORDER BY i), '') AS hints FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
 def section_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.section_hints(F.col("text")), "|").alias("hints"))
 
@@ -204,10 +210,17 @@ def classify_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", tx.cell_number(cell).alias("number"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+@query("""
+SELECT o_orderkey, CASE k WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN d WHEN 4 THEN d || ' 13:45:10' WHEN 5 THEN d || ' 13:30:00' WHEN 6 THEN d || ' 00:05:00' END AS day
+FROM (SELECT o_orderkey, o_orderkey % 8 AS k, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)""")
 def classify_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, at = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    cell = F.when(k == 0, F.date_format(at, "M/d/yyyy")).when(k == 1, F.date_format(at, "yyyy-MM-dd")).when(k == 2, F.date_format(at, "yyyy/M/d")).otherwise(F.lit("31/31/2020"))
+    """Times of day stay, in 12 or 24 hours; what follows a date without being a time makes it text."""
+    k, at = F.col("o_orderkey") % 8, F.col("o_orderdate")
+    shown = lambda form, after="": F.concat(F.date_format(at, form), F.lit(after))
+    cell = (
+        F.when(k == 0, shown("M/d/yyyy")).when(k == 1, shown("yyyy-MM-dd")).when(k == 2, shown("yyyy/M/d")).when(k == 3, F.lit("31/31/2020"))
+        .when(k == 4, shown("yyyy-MM-dd", " 13:45:10")).when(k == 5, shown("M/d/yyyy", " 1:30 PM")).when(k == 6, shown("M/d/yyyy", " 12:05am")).otherwise(shown("yyyy-MM-dd", " garbage"))
+    )
     return read(spark, sf_dir, "orders").select("o_orderkey", tx.cell_date(cell).alias("day"))
 
 
@@ -237,9 +250,3 @@ def csv_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '([\\|])', '\\\1', 'g'), '\s*\n\s*', ' ', 'g') AS cell FROM conversations")
 def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.markdown_cell(F.col("text")).alias("cell"))
-
-
-@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '(how many|count|number of|cuantos|combien|wie viele)') AS counts, regexp_matches(lower(text), '\b(list|show|which)\b') AS lists, regexp_matches(lower(text), '\b(charts?|figures?|images?|graphs?)\b') AS visual FROM conversations")
-def intent_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lower("text")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", t.rlike("(how many|count|number of|cuantos|combien|wie viele)").alias("counts"), t.rlike(r"\b(list|show|which)\b").alias("lists"), t.rlike(r"\b(charts?|figures?|images?|graphs?)\b").alias("visual"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,29 @@ VISUAL_SUFFIXES = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff", "s
 SHEET_SUFFIXES = ("xlsx", "xlsm", "xls", "csv")
 
 
+def folded(text: str) -> str:
+    """Without diacritics: canonical decomposition with the marks left out."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
+def _marked() -> tuple[str, str]:
+    """Letters with diacritics up to U+1FFF and the letters they are folded to, by the rule of ``folded``."""
+    pairs = [(chr(c), f) for c in range(0xC0, 0x2000) if len(f := folded(chr(c))) == 1 and f != chr(c)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _PLAIN = _marked()
+
+
+def fold(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{Mn}", "")
+
+
+def index_terms(text: Column) -> Column:
+    """Terms as the index holds them: lower-cased, without diacritics, one-letter ones included."""
+    return F.regexp_extract_all(fold(F.lower(text)), F.lit(TERM), F.lit(0))
+
+
 def terms(text: Column, least: int = 1) -> Column:
     """Lower-cased runs of letters and digits, in order, of ``least`` characters or more."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
@@ -42,15 +67,16 @@ def is_heading(line: Column) -> Column:
     """A Markdown heading, a sheet line, or a line of 4 to 120 characters that is mostly upper case or ends in a colon."""
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    shape = F.length(line).between(4, 120) & (line.endswith(":") | ((letters > 0) & (upper > letters * F.lit(0.55))))
+    shape = F.length(line).between(4, 120) & (letters > 0) & (line.endswith(":") | (upper > letters * F.lit(0.55)))
     return line.startswith("#") | F.lower(line).startswith("sheet:") | shape
 
 
 def section_hints(text: Column, most: int = 6) -> Column:
-    """Up to ``most`` distinct heading lines, without their marks; where there are none, the first lines."""
+    """The first ``most`` heading lines, cut to 120 characters, each once; where there are none, the first lines."""
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) > 0)
-    heads = F.slice(F.array_distinct(F.transform(F.filter(lines, is_heading), lambda x: F.regexp_replace(x, r"^#+\s*", ""))), 1, most)
-    return F.when(F.size(heads) > 0, heads).otherwise(F.slice(F.array_distinct(lines), 1, most))
+    heads = F.filter(lines, is_heading)
+    chosen = F.slice(F.when(F.size(heads) > 0, heads).otherwise(lines), 1, most)
+    return F.array_distinct(F.transform(chosen, lambda x: summary(x, 120)))
 
 
 def token_estimate(text: Column) -> Column:
@@ -72,18 +98,44 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"[^.]\.([^.]+)$", 1))
 
 
+# Suffixes by the kind that is shown.
+KINDS = {
+    "pdf": ("pdf",), "doc": ("doc", "docx", "rtf", "odt"), "sheet": ("xls", "xlsx", "xlsm", "csv", "tsv", "ods"), "image": ("png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp", "svg"),
+    "slides": ("ppt", "pptx", "odp"), "text": ("txt", "md", "json", "xml", "html", "htm", "log", "yaml", "yml", "ini", "eml", "msg"),
+}
+
+
 def file_kind(path: Column) -> Column:
     e = extension(path)
+    return F.coalesce(*[F.when(e.isin(*suffixes), kind) for kind, suffixes in KINDS.items()], F.lit("other"))
+
+
+def format_bytes(size: Column) -> Column:
+    """Sizes for people: whole bytes, else the largest unit up to GB, with a decimal below 10."""
+    def shown(k: int, unit: str) -> Column:
+        value = size / (1024.0**k)
+        rounded = F.format_string("%d", F.floor(value + 0.5).cast("long"))
+        return F.concat(F.when(value >= 10, rounded).otherwise(F.format_string("%.1f", value)) if k else rounded, F.lit(f" {unit}"))
+
+    big = F.when(size < 1024**3, shown(2, "MB")).otherwise(shown(3, "GB"))
+    return F.when(size.isNull() | (size <= 0), "0 B").when(size < 1024, shown(0, "B")).when(size < 1024**2, shown(1, "KB")).otherwise(big)
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """How long ago, for people: never, just now, minutes, hours, yesterday, days, and from a week on the date."""
+    half_up = lambda x: F.floor(x + 0.5).cast("long")
+    seconds = half_up((F.unix_millis(now) - F.unix_millis(at)) / 1000)
+    minutes = half_up(seconds / 60)
+    hours, days = half_up(minutes / 60), half_up(half_up(minutes / 60) / 24)
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
     return (
-        F.when(e.isin(*SHEET_SUFFIXES), "spreadsheet").when(e.isin("doc", "docx", "docm", "rtf"), "word").when(e == "pdf", "pdf")
-        .when(e.isin(*VISUAL_SUFFIXES), "image").when(e.isin("txt", "md", "log", "html", "json", "xml"), "text").otherwise("other")
+        F.when(at.isNull(), "never").when(seconds < 45, "just now").when(minutes < 60, said(minutes, " min ago")).when(hours < 24, said(hours, " h ago"))
+        .when(days == 1, "yesterday").when(days < 7, said(days, " days ago")).otherwise(F.date_format(at, "MMM d, yyyy"))
     )
 
 
-def format_bytes(size: Column) -> Column:
-    """Sizes for people: bytes below 1 KB, else one decimal in KB, MB or GB."""
-    step = lambda k, unit: F.format_string(f"%.1f {unit}", size / (1024.0**k))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, step(1, "KB")).when(size < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
+def plural(count: Column, singular: str, several: str | None = None) -> Column:
+    return F.concat(F.format_number(count, 0), F.when(count == 1, F.lit(f" {singular}")).otherwise(F.lit(f" {several or singular + 's'}")))
 
 
 def csv_cell(value: Column) -> Column:
@@ -100,10 +152,12 @@ def markdown_cell(value: Column) -> Column:
 
 def identifier(text: Column, most: int = 48) -> Column:
     """A column name from a header: words for ``% # & $``, other runs than ``a-z0-9`` to ``_``, digits prefixed."""
-    t = F.lower(text)
+    t = text
     for sign, word in (("%", "pct"), ("#", "num"), ("&", "and"), ("$", "usd")):
         t = F.replace(t, F.lit(sign), F.lit(f" {word} "))
+    t = F.lower(F.regexp_replace(fold(t), r"[^\x00-\x7F]", ""))  # letters lose their marks, what is not ASCII then goes
     t = F.substring(F.regexp_replace(F.regexp_replace(t, "[^0-9a-z]+", "_"), "^_+|_+$", ""), 1, most)
+    t = F.regexp_replace(t, "_+$", "")
     return F.when(t.rlike("^[0-9]"), F.concat(F.lit("c_"), t)).otherwise(t)
 
 
@@ -146,27 +200,46 @@ def cell_number(cell: Column) -> Column:
     return F.when(text.rlike(_NUMBER) & text.rlike("[0-9]") & ~code & balanced, sign * value)
 
 
+# The forms of dates that cells show.
+_ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?Z?$"
+_SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([AaPp][Mm]))?)?$"
+_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
+
+
 def cell_date(cell: Column) -> Column:
-    """ISO text of the date that a cell shows: ``y-m-d``, ``y/m/d``, or ``m/d/y`` (``d/m/y`` where m > 12); else null.
+    """ISO text of the date that a cell shows, with its time of day if that is not midnight; else null.
 
-    Two-digit years up to 69 are of this century. A date that does not exist gives null.
+    Forms are ``y-m-d`` with or without a time, ``y/m/d``, and ``m/d/y`` (``d/m/y`` where only that can be) with or without a time,
+    also of twelve hours. Two-digit years up to 69 are of this century. A date that does not exist gives null.
     """
     text = F.trim(cell)
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("int")
-    iso, slashed = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ].*)?$", r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
-    a, b, y = part(slashed, 1), part(slashed, 2), part(slashed, 3)
-    year = F.when(y < 70, y + 2000).when(y < 100, y + 1900).otherwise(y)
-    month, day = F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b)
-    made = lambda y, m, d: F.date_format(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")), "yyyy-MM-dd")
-    return F.when(text.rlike(iso), made(part(iso, 1), part(iso, 2), part(iso, 3))).when(text.rlike(slashed), made(year, month, day))
+    part = lambda pattern, k: F.coalesce(F.regexp_extract(text, pattern, k).try_cast("int"), F.lit(0))
+
+    def made(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
+        real = (year >= 1) & (hour < 24) & (minute < 60) & (second < 60)
+        at = F.when(real, F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(8,6)"))).cast("string")
+        return F.when(at.endswith(" 00:00:00"), F.substring(at, 1, 10)).otherwise(at)
+
+    a, b, y = part(_SLASHED, 1), part(_SLASHED, 2), part(_SLASHED, 3)
+    day_first = (a > 12) & (b <= 12)
+    short = F.length(F.regexp_extract(text, _SLASHED, 3)) == 2
+    year = F.when(short & (y < 70), y + 2000).when(short, y + 1900).otherwise(y)
+    half = F.lower(F.regexp_extract(text, _SLASHED, 7))
+    hour = F.when(half == "", part(_SLASHED, 4)).otherwise(part(_SLASHED, 4) % 12 + F.when(half == "pm", 12).otherwise(0))
+    zero = F.lit(0)
+    return (
+        F.when(text.rlike(_ISO), made(*[part(_ISO, k) for k in range(1, 7)]))
+        .when(text.rlike(_SLASHED), made(year, F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b), hour, part(_SLASHED, 5), part(_SLASHED, 6)))
+        .when(text.rlike(_YEAR_FIRST), made(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3), zero, zero, zero))
+    )
 
 
 def cell_kind(cell: Column) -> Column:
-    """null, token, integer, real, date or text."""
+    """null, token, integer, real, date or text. Numbers with decimals or an exponent are real. A text's first character says
+    which of the patterns are tried at all."""
     text = F.trim(cell)
+    first = F.substring(text, 1, 1)
     number = cell_number(cell)
-    return (
-        F.when(text.isNull() | (F.length(text) == 0), "null").when(F.lower(text).isin(*NULL_TOKENS), "token")
-        .when(number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < F.lit(2.0**53)), "integer").when(number.isNotNull(), "real")
-        .when(cell_date(cell).isNotNull(), "date").otherwise("text")
-    )
+    kind_of_number = F.when(F.contains(text, F.lit(".")) | F.contains(F.lower(text), F.lit("e")), "real").otherwise("integer")
+    valued = F.when(~first.rlike(r"[0-9+\-.($€£]"), "text").otherwise(F.coalesce(F.when(number.isNotNull(), kind_of_number), F.when(first.rlike("[0-9]") & cell_date(cell).isNotNull(), F.lit("date")), F.lit("text")))
+    return F.when(text.isNull() | (F.length(text) == 0), "null").when(F.lower(text).isin(*NULL_TOKENS), "token").otherwise(valued)

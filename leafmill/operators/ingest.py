@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the cost model: seconds for a heavy file, and for a light one by its size.
 HEAVY_SECONDS, LIGHT_SECONDS, LIGHT_BYTES_PER_SECOND = 0.5, 0.002, 40_000_000
-HEAVY = ("pdf", "docx", "docm", "doc", "xlsx", "xlsm", "xls", "png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff")
+HEAVY = ("pdf", "docx", "docm", "doc", "rtf", "xlsx", "xlsm", "xls", "png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "webp")
 
 
 def plan(found: DataFrame, known: DataFrame, max_bytes: int) -> DataFrame:

@@ -18,26 +18,28 @@ from ..functions import vectors as vx
 # Fixed values of the ranking rules.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 PATH_BONUS, VISUAL_BONUS = 0.75, 1.5
-VISUAL_TERMS = frozenset("chart charts diagram diagrams figure figures graph graphs image images picture pictures photo photos screenshot screenshots visual visuals".split())
+#: Words of a query that favour chunks with visuals, and those that ask for the inventory of visuals.
+VISUAL_TERMS = frozenset("chart charts graph graphs image images diagram diagrams figure figures screenshot screenshots visual visuals".split())
+INVENTORY_TERMS = VISUAL_TERMS | frozenset("photo photos picture pictures".split())
 
 
 def query_words(query: str, most: int = 64) -> list[str]:
-    """Distinct lower-cased terms of two characters or more."""
+    """Distinct lower-cased terms of two characters or more, without diacritics, as the index holds them."""
     import re
 
     found = (w for w in re.findall(r"[^\W_]+", query.casefold()) if len(w) >= 2)
-    return list(dict.fromkeys(found))[:most]
+    return list(dict.fromkeys(map(tx.folded, found)))[:most]
 
 
 def postings(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "text") -> DataFrame:
     """``term, chunk_id, tf, dl``: term frequencies with the chunk's length in terms."""
-    found = chunks.select(F.col(id_column).alias("chunk_id"), tx.terms(F.col(text_column)).alias("terms"))
+    found = chunks.select(F.col(id_column).alias("chunk_id"), tx.index_terms(F.col(text_column)).alias("terms"))
     rows = found.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     return rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def lengths(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "text") -> DataFrame:
-    return chunks.select(F.col(id_column).alias("chunk_id"), F.size(tx.terms(F.col(text_column))).alias("dl"))
+    return chunks.select(F.col(id_column).alias("chunk_id"), F.size(tx.index_terms(F.col(text_column))).alias("dl"))
 
 
 def statistics(lengths_: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def manifest_score(text: Column, path: Column, has_visual: Column, query: str) -
     out = F.when(F.contains(low, F.lit(query.lower().strip())), 5.0).otherwise(0.0)
     for w in words:
         out = out + F.least(tx.occurrences(low, F.lit(w)), F.lit(6)) + F.when(F.contains(where, F.lit(w)), 1.5).otherwise(0.0)
-    return out + (F.when(has_visual, 4.0).otherwise(0.0) if VISUAL_TERMS & set(words) else F.lit(0.0))
+    return out + (F.when(has_visual, 4.0).otherwise(0.0) if INVENTORY_TERMS & set(words) else F.lit(0.0))
 
 
 def sheet_score(header: Column, words: Sequence[str]) -> Column:

@@ -66,7 +66,22 @@ def pie_fold(rows: DataFrame, name: str, value: str, slices: int = 8) -> DataFra
     return ranked.groupBy(shown.alias("slice")).agg(F.sum("value").alias("value"))
 
 
-def channel_status(files: DataFrame, by: str, status: Column) -> DataFrame:
-    """ready where a file is indexed, else error where one failed, else idle."""
+def channel_status(files: DataFrame, by: str, status: Column, cancelled: Column | None = None) -> DataFrame:
+    """stale where the last build was cancelled, else ready where a file is indexed, else error where one failed, else idle."""
     any_ = lambda s: F.bool_or(status == s)
-    return files.groupBy(by).agg(F.when(any_("indexed"), "ready").when(any_("failed"), "error").otherwise("idle").alias("state"))
+    state = F.when(any_("indexed"), "ready").when(any_("failed"), "error").otherwise("idle")
+    return files.groupBy(by).agg((state if cancelled is None else F.when(F.bool_or(cancelled), "stale").otherwise(state)).alias("state"))
+
+
+def nearest_rank(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
+    """Per ``by`` the largest value and the one at place floor(n * share) of its values in order, counted from 0.
+
+    Equal values are counted first, so that a running sum passes over distinct values only.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(by).orderBy(value)) - F.col("n")
+    placed = counted.withColumn("__before", before)
+    sizes = counted.groupBy(by).agg(F.sum("n").alias("__all"), F.max(value).alias("high"))
+    at = F.least(F.floor(F.col("__all") * F.lit(share)), F.col("__all") - 1)
+    hit = (F.col("__before") <= at) & (at < F.col("__before") + F.col("n"))
+    return placed.join(sizes, by).where(hit).select(by, "high", F.col(value).alias(f"p{round(share * 100)}"))

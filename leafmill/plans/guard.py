@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
+from .lenient import Unsupported, spelled
+
 MAX_LENGTH = 8000
 # Functions of the SQL surface, and Spark's names for those that it spells differently.
 FUNCTIONS = frozenset(
@@ -33,6 +35,8 @@ class NotAllowed(ValueError):
 class Checked:
     sql: str
     tables: list[str] = field(default_factory=list)
+    #: ``sql`` as Spark runs it, with the calls that it spells differently
+    spark_sql: str = ""
 
 
 def statement(sql: str) -> str:
@@ -55,13 +59,19 @@ def _each(seq) -> list:
 
 
 def check(spark: SparkSession, sql: str, tables: Iterable[str]) -> Checked:
-    """Parse ``sql`` and refuse what is not a SELECT over ``tables``. Returns it with the tables that it reads."""
+    """Parse ``sql`` and refuse what is not a SELECT over ``tables``. Returns it with the tables that it reads, also in Spark's spelling."""
     text = statement(sql)
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise NotAllowed(f"The statement cannot be read: {str(e).strip().splitlines()[0][:300]}") from None
     allowed, used = {t.lower() for t in tables}, {}
+    calls: set[tuple[int, str]] = set()
+    likes: set[int] = set()
+
+    def place(e) -> int:
+        at = e.origin().startIndex()
+        return at.get() if at.isDefined() else -1
 
     def expression(e, ctes: frozenset[str]) -> None:
         kind = e.getClass().getSimpleName().strip("$")
@@ -71,6 +81,10 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str]) -> Checked:
             name = ".".join(_each(e.nameParts())).lower()
             if name not in FUNCTIONS | SPARK_FORMS:
                 raise NotAllowed(f"Not allowed: function {name}")
+            if place(e) >= 0:
+                calls.add((place(e), name))
+        elif kind == "Like" and place(e) >= 0:
+            likes.add(place(e))
         elif kind == "UnresolvedAttribute":
             parts = _each(e.nameParts())
             if len(parts) == 1 and parts[0].lower() in DENIED_NAMES:
@@ -107,4 +121,7 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str]) -> Checked:
             node(c, ctes)
 
     node(plan, frozenset())
-    return Checked(text, sorted(used))
+    try:
+        return Checked(text, sorted(used), spelled(text, calls, likes))
+    except Unsupported as e:
+        raise NotAllowed(f"Not allowed: {e}") from None

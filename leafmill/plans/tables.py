@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import threading
 import uuid
@@ -40,6 +41,17 @@ def json_safe(value):
     return str(value)
 
 
+@contextlib.contextmanager
+def lenient(spark: SparkSession):
+    """While a statement is analysed: division by zero, bad casts and comparisons of unlike types give NULL, not errors."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 class Tables:
     """Named DataFrames that SQL may read, and nothing else."""
 
@@ -50,7 +62,9 @@ class Tables:
 
     def frame(self, sql: str) -> DataFrame:
         """The checked statement as a DataFrame; Catalyst does the rest."""
-        return self.spark.sql(check(self.spark, sql, self.tables).sql)
+        checked = check(self.spark, sql, self.tables)
+        with lenient(self.spark):
+            return self.spark.sql(checked.spark_sql)
 
     def schema(self) -> list[dict]:
         """Per table its row count, columns with short type names, categories, and three sample rows."""
@@ -76,8 +90,9 @@ class Tables:
         context.setJobGroup(group, "question in SQL", True)
         timer.start()
         try:
-            df = self.spark.sql(checked.sql)
-            rows = df.limit(most + 1).collect()
+            with lenient(self.spark):
+                df = self.spark.sql(checked.spark_sql)
+                rows = df.limit(most + 1).collect()
         except AnalysisException as e:
             raise NotAllowed(self._clean(e, checked.tables)) from None
         except PySparkException as e:

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What is never indexed.
-IGNORED_FOLDERS = (".git", ".hg", ".svn", ".idea", ".vs", ".vscode", "__pycache__", "node_modules", "venv", ".venv", "dist", "build")
+# What is never indexed, and the reasons that are shown for files that no include rule matches.
+IGNORED_FOLDERS = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vs")
+NOT_TYPES_OR_NAMES, NOT_TYPES, NOT_NAMES = "Not one of the file types or names to include", "Not one of the file types to include", "Name doesn't match the include filters"
 IGNORED_FILES = ("thumbs.db", "desktop.ini")
 
 
@@ -78,7 +79,7 @@ def skip_reason(path: Column, rules: Rules) -> Column:
     excluded = F.coalesce(*[F.when(path.rlike(glob_regex(p)), F.lit(f"Excluded by rule: {p}")) for p in rules.exclude], F.lit(None).cast("string"))
     if not rules.include_types and not rules.include_names:
         return excluded
-    missed = "Not among the included file types" if not rules.include_names else "Not among the included names" if not rules.include_types else "Not among the included file types or names"
+    missed = NOT_TYPES if not rules.include_names else NOT_NAMES if not rules.include_types else NOT_TYPES_OR_NAMES
     return F.coalesce(excluded, F.when(~any_glob(path, rules.include_types + rules.include_names), F.lit(missed)))
 
 
