@@ -6,17 +6,22 @@ own digest says so (about one in eight), so that an insertion never moves all la
 paragraph are its *passages*: runs of words that end after a word whose last bytes are in a fixed class
 (one in three), again a border that depends on the text around it alone. In a passage of more than 63 bytes, such as
 a line without white space, borders also follow six bytes in a fixed class (one code point in 16), and
-what is still longer is cut every 63 bytes. A section's digest is the SHA-256 of its paragraphs'
-digests and the root is that of the sections' digests, so equal roots mean equal paragraphs.
+what is still longer is cut every 63 bytes. Passages are the leaves: a paragraph's digest is the SHA-256 of its passages'
+hashes and sizes, a section's that of its paragraphs' digests, and the root that of the sections' digests.
 
 The fingerprint is the tree as text: 32 hexadecimal digits of the root, then ``/`` and 8 digits for each
 section, ``.`` and 8 digits for each of its paragraphs, followed by 5 characters for each passage (24 bits
-of its hash, and its size). ``likeness`` compares two such trees by the shared part of their passages'
-sizes; ``locate`` walks down the branches that differ.
+of its hash, and its size). ``likeness`` and ``locate`` walk down two such trees from their roots and enter only branches
+that differ: what equal roots, sections or paragraphs hold is shared without looking into them, and in those that differ
+passages are compared. The likeness is twice the shared passages' size over both texts' sizes.
 
-White space at the ends of a paragraph does not count, nor do blank lines as such, except through the
+White space does not count within the tree, nor do blank lines as such, except through the
 root, which also takes in the digest of the exact text: two texts share a root only if they are equal.
-Null text counts as empty; the empty text has a root and no branches, and two empty texts are alike (1.0).
+
+Defined results: null text counts as empty; the empty text has a root and no branches. Equal texts are alike (1.0), and a
+text without words is not like any other text (0.0). Rows with one id, repeated rows among them, all appear, in the order of
+their text; rows with null ids come last. An empty table gives no rows, and of the table only doc_id and text are read, so
+further columns may have any name. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -104,61 +109,86 @@ def _codes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str) -> tuple[str, Counter]:
-    """The tree as text, and its passages (code -> how many)."""
+#: A section's digest with its paragraphs: their digests and the codes of their passages.
+Sections = list[tuple[str, list[tuple[str, str]]]]
+
+
+def fingerprint(text: str) -> tuple[str, Sections]:
+    """The tree as text, and its branches as ``branches`` gives them."""
     data = text.encode()
     exact = hashlib.sha256(data).digest()
     starts, hashes, sizes = passages(data)
     codes = _codes(hashes, sizes).tobytes().decode("ascii")
+    leaves = np.stack([hashes, sizes.astype(np.uint64)], 1).tobytes()
     ends_of_lines = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     cuts = np.searchsorted(starts, np.r_[ends_of_lines, len(data)]).tolist()
-    sections: list[tuple[list[bytes], list[str]]] = []
+    digests: list[list[bytes]] = []
+    sections: list[list[tuple[str, str]]] = []
     fresh, at, sha = True, 0, hashlib.sha256
     for line, cut in zip(data.split(b"\n"), cuts):
-        line = line.strip()
-        if not line:
+        if cut == at:
             fresh = True
             continue
-        digest = sha(line).digest()
-        if fresh or line.startswith(b"#"):
-            sections.append(([], []))
-        sections[-1][0].append(digest)
-        sections[-1][1].append(f".{digest[:4].hex()}{codes[5 * at : 5 * cut]}")
+        digest = sha(leaves[16 * at : 16 * cut]).digest()
+        if fresh or line.lstrip().startswith(b"#"):
+            sections.append([])
+            digests.append([])
+        digests[-1].append(digest)
+        sections[-1].append((digest[:4].hex(), codes[5 * at : 5 * cut]))
         fresh, at = digest[4] < 32, cut
-    digests = [sha(b"".join(d)).digest() for d, _ in sections]
-    root = sha(exact + b"".join(digests)).hexdigest()[:32]
-    tree = root + "".join(f"/{d.hex()[:8]}{''.join(p)}" for d, (_, p) in zip(digests, sections))
-    return tree, Counter(codes[i : i + 5] for i in range(0, len(codes), 5))
+    of_sections = [sha(b"".join(d)).digest() for d in digests]
+    root = sha(exact + b"".join(of_sections)).hexdigest()[:32]
+    tree = [(d.hex()[:8], p) for d, p in zip(of_sections, sections)]
+    return root + "".join("/" + h + "".join(f".{d}{c}" for d, c in p) for h, p in tree), tree
 
 
 _SIZE = {chr(c): i for i, c in enumerate(CODE)}
 
 
-def _likeness(a: Counter, b: Counter) -> float:
-    total = sum(_SIZE[k[4]] * n for k, n in a.items()) + sum(_SIZE[k[4]] * n for k, n in b.items())
-    if not total:
-        return 1.0
-    if len(b) < len(a):
-        a, b = b, a
-    shared = sum(_SIZE[k[4]] * min(n, b[k]) for k, n in a.items() if k in b)
-    return 2.0 * shared / total
-
-
-def branches(tree: str) -> list[tuple[str, list[tuple[str, list[str]]]]]:
+def branches(tree: str) -> Sections:
     """Sections of a fingerprint with their paragraphs' digests and passages."""
     out = []
     for section in tree[32:].split("/")[1:]:
         head, *paragraphs = section.split(".")
-        out.append((head, [(p[:8], [p[i : i + 5] for i in range(8, len(p), 5)]) for p in paragraphs]))
+        out.append((head, [(p[:8], p[8:]) for p in paragraphs]))
     return out
 
 
+def _size(codes: str) -> int:
+    return sum(map(_SIZE.__getitem__, codes[4::5]))
+
+
+def _differing(a: list[tuple], b: list[tuple]) -> tuple[list, list, list]:
+    """Branches (digest, content) in both, as often as in both, and the contents of those only in a and only in b."""
+    both, out = Counter(h for h, _ in a) & Counter(h for h, _ in b), []
+    for side in (a, b):
+        left, same, other = Counter(both), [], []
+        for head, content in side:
+            if left[head]:
+                left[head] -= 1
+                same.append(content)
+            else:
+                other.append(content)
+        out.append((same, other))
+    return out[0][0], out[0][1], out[1][1]
+
+
+def _likeness(a: Sections, b: Sections) -> float:
+    """Walks down two trees of different roots: what equal branches hold is shared, differing ones are entered."""
+    total = sum(_size(c) for side in (a, b) for _, ps in side for _, c in ps)
+    if not total:
+        return 0.0
+    same, ours, theirs = _differing(a, b)
+    shared = sum(_size(c) for ps in same for _, c in ps)
+    same, ours, theirs = _differing([p for ps in ours for p in ps], [p for ps in theirs for p in ps])
+    shared += sum(map(_size, same))
+    count = lambda codes: Counter(c[i : i + 5] for c in codes for i in range(0, len(c), 5))
+    return 2.0 * (shared + sum(_SIZE[k[4]] * n for k, n in (count(ours) & count(theirs)).items())) / total
+
+
 def likeness(a: str, b: str) -> float:
     """How alike two fingerprints are, 0 to 1: twice the shared passages' size over both sizes; 1.0 for equal roots."""
-    if a[:32] == b[:32]:
-        return 1.0
-    count = lambda tree: Counter(x for _, ps in branches(tree) for _, xs in ps for x in xs)
-    return _likeness(count(a), count(b))
+    return 1.0 if a[:32] == b[:32] else _likeness(branches(a), branches(b))
 
 
 def locate(a: str, b: str) -> list[tuple[int, int]]:
@@ -200,11 +230,11 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         for doc_id, text, halo in zip(*(batch.column(k).to_pylist() for k in range(3))):
             text = text or ""
-            tree, bag = fingerprint(text)
+            tree, parts = fingerprint(text)
             if last is not None:
-                out.append(_compared(*last, text, tree, bag))
+                out.append(_compared(*last, text, tree, parts))
                 held += len(out[-1][3]) + len(out[-1][4])
-            last = None if halo else (doc_id, text, tree, bag)
+            last = None if halo else (doc_id, text, tree, parts)
             if halo:
                 break  # one row of the next part is enough; ties follow it
         if held > 8 << 20:
@@ -216,12 +246,12 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()])], names=EDITED.fieldNames())
 
 
-def _compared(doc_id, text: str, tree: str, bag: Counter, next_text: str, next_tree: str, next_bag: Counter) -> tuple:
+def _compared(doc_id, text: str, tree: str, parts: Sections, next_text: str, next_tree: str, next_parts: Sections) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + next_text[:half]
-    edited_tree, edited_bag = fingerprint(edited)
-    near = 1.0 if edited_tree[:32] == tree[:32] else _likeness(bag, edited_bag)
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), tree, edited_tree, near, 1.0 if next_tree[:32] == tree[:32] else _likeness(bag, next_bag)
+    edited_tree, edited_parts = fingerprint(edited)
+    near = lambda other, its: 1.0 if other[:32] == tree[:32] else _likeness(parts, its)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), tree, edited_tree, near(edited_tree, edited_parts), near(next_tree, next_parts)
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 A page is a sequence of tokens: words, which score positive, and tags, which score negative. The article is
 the contiguous run with the largest sum, found by one linear scan. The weights are log-odds learned from
 labelled pages: for a word by where it stands (in an element marked as content; outside one, on a page that
-has such; on a page without marks; in a link), for a tag by its name.
+has such; on a page without marks; in a link; in a block that reads like a notice; after a heading that opens readers'
+comments or links to other pages), for a tag by its name. The last two kinds of words have negative weights, so that the
+scan ends before an unmarked footer or list of comments.
 
 Elements that never belong to an article (scripts, styles, menus, forms, elements that classes, ids or roles
 name as adverts, notices, comments and so on) are not searched: each is one strongly negative token, wherever it
@@ -12,8 +14,11 @@ article: names of a state (``with-sidebar``, ``share-enabled``) do not count, a
 and an element that holds the page's content (see ``_wrappers``) is searched like any other.
 
 The text joins the run's blocks in page order by a blank line. Within a block, character references are
-decoded, white space becomes one space and inline markup disappears; ``<br>`` is white space. Null and
-empty pages, and pages without words, give the empty text. Unclosed and stray tags are tolerated.
+decoded, white space becomes one space and inline markup disappears; ``<br>`` is white space.
+
+Defined results: null and empty pages, and pages without words, give the empty text. Of runs with equal sums the first
+counts. Repeated rows give equal rows, an empty table none. Only page_id, url and html are read, so further columns may
+have any name. Pages of any length are taken whole, in one pass. Unclosed and stray tags are tolerated.
 """
 
 from __future__ import annotations
@@ -49,6 +54,12 @@ NAMES = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 STATE = re.compile(r"(?:has|with|without|no|is|show|hide)(?:[-_A-Z].*)|.*[-_](?:enabled|disabled|open|closed|on|off|allowed)", re.S)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+# How blocks of notices begin or end, and headings of what follows an article (fixed values).
+NOTICE = re.compile(r"\s*(?:©|&copy;|\(c\)\s*\d{4}|copyright\s+(?:©|&copy;|\(c\)|\d{4}))|.*\ball rights reserved\b|.*\b(?:we|this (?:site|website)|our (?:site|website)) uses? cookies\b|.*\baccept (?:all )?cookies\b", re.I | re.S)
+FOLLOWS = re.compile(r"\s*(?:\(?\d+\)?\s+)?(?:reader |user )?(?:comments?|responses|replies|discussion)\s*(?:\(\d+\))?:?\s*|\s*(?:leave|post|add|write) a (?:reply|comment)\b.*|\s*(?:related|more|recommended|popular|latest|recent) (?:articles?|posts?|stories|news|links|reading|content)\b.*|\s*you (?:may|might) also like\b.*", re.I | re.S)
+#: Elements that end what a heading has opened.
+HOLDERS = frozenset("div section article main body td aside blockquote dl ul ol li table form fieldset".split())
+
 
 @lru_cache(maxsize=4096)
 def marked(tag: str, attributes: str) -> int:
@@ -206,9 +217,36 @@ def tokens(page: str) -> list[tuple[str, object, str]]:
         for t in out:
             if t[0] == "word:out":
                 t[0] = "word:free"
+    _what_follows(out)
     return [tuple(t[:3]) for t in out]
 
 
+def _what_follows(out: list[list]) -> None:
+    """Reclass words outside content that stand in a notice, or after a heading of comments or links, up to the end of what
+    holds the heading. Such a heading is a heading element, or a block of its own, of eight words at most."""
+    depth, until, at, heading = 0, None, 0, False
+    for k in range(len(out) + 1):
+        kind, border = (out[k][0], out[k][2] == "\0") if k < len(out) else ("", True)
+        if not border:
+            continue
+        block = [t for t in out[at:k] if t[0] in ("word:out", "word:free", "word:link")]
+        if block:
+            text, words = "".join(t[2] for t in out[at:k] if t[2] != "\0"), sum(t[1] for t in block)
+            free = all(t[0] != "word:in" for t in out[at:k])
+            if until is None and free and words <= 8 and (heading or depth) and FOLLOWS.fullmatch(text):
+                until = depth
+            new = "word:after" if until is not None else "word:notice" if free and words <= 40 and NOTICE.match(text) else None
+            for t in block if new else ():
+                t[0] = new
+        at, heading = k + 1, kind in HEADINGS
+        if kind in HOLDERS:
+            depth += 1
+        elif kind[1:] in HOLDERS and kind[0] == "/":
+            depth -= 1
+            if until is not None and depth < until:
+                until = None
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
     """Start and end of the contiguous run with the largest sum (the first and longest of equal ones)."""
     best, run, start, found = 0.0, 0.0, 0, (0, 0)
@@ -228,7 +266,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     least = weights["tag"]
     scores = [(weights.get(kind, 0.0) * n if kind.startswith("word") else 0.0 if kind == "space" else weights.get(kind, least)) for kind, n, _ in sequence]
     start, end = best_run(scores)
-    text = "".join(t.replace("\0", " ") if kind.startswith("word") else t for kind, _, t in sequence[start:end])
+    text = "".join(t.replace("\0", " ") if kind.startswith("word") else t for kind, _, t in sequence[start:end] if kind not in ("word:notice", "word:after"))
     return "\n\n".join(block for raw in text.split("\0") if (block := " ".join(html_lib.unescape(raw).split())))
 
 
@@ -268,7 +306,8 @@ def labelled_pages(n: int = 400, seed: int = 0) -> list[tuple[str, str]]:
         notice = rng.choice(["", f'<div class="cookie-notice">{words(12)}</div>', f"<div>{words(4)}</div>", f'<div class="ad">{words(8)}</div>'])
         side = rng.choice(["", f"<aside>{words(15)}</aside>", f'<div class="sidebar">{links(4)}</div>', f"<div>{links(4)}</div>"])
         after = rng.choice(["", f'<div class="comments"><p>{words(20)}</p><p>{words(9)}</p></div>', f"<form><label>{words(2)}</label><input></form>"])
-        foot = rng.choice(["<footer>{}</footer>", '<div class="footer">{}</div>', "<div>{}</div>"]).format(f"&copy; {words(4)}")
+        after += rng.choice(["", "", f"<div><h3>{rng.randint(1, 40)} Comments</h3><ul><li><p>{words(9)}</p></li><li><p>{words(20)}</p></li></ul></div>", f"<div><h4>Related articles</h4>{links(3)}</div>", f"<div><p>Leave a reply</p><p>{words(6)}</p></div>"])
+        foot = rng.choice(["<footer>{}</footer>", '<div class="footer">{}</div>', "<div>{}</div>", "<p>{}</p>"]).format(rng.choice([f"&copy; {words(4)}", f"Copyright 2021 {words(3)}. All rights reserved."]))
         out.append(f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body>{top}{notice}{article}{side}{after}{foot}</body></html>")
     return out
 
@@ -285,8 +324,9 @@ def learned(n: int = 400, seed: int = 0) -> dict[str, float]:
     weights = {}
     for kind in {*inside, *outside}:
         odds = math.log((inside[kind] + 0.5) / (outside[kind] + 0.5))
-        weights[kind] = max(0.02, odds) if kind.startswith("word") else min(-0.05, odds)
-    return weights | {"word:link": min(weights["word:link"], 0.3), "cut": min(-2.0, weights["cut"]), "tag": -1.0, "space": 0.0}
+        beside = kind in ("word:after", "word:notice")
+        weights[kind] = min(-0.5, odds) if beside else max(0.02, odds) if kind.startswith("word") else min(-0.05, odds)
+    return {"word:after": -0.5, "word:notice": -0.5} | weights | {"word:link": min(weights["word:link"], 0.3), "cut": min(-2.0, weights["cut"]), "tag": -1.0, "space": 0.0}
 
 
 def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -1,32 +1,39 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of one to three code points of the lower-cased text, every run of other
-characters than letters being one space. Document frequencies come from *all* training documents; the
-weights are fitted on a bounded sample of them (``SAMPLE`` documents at most, those of the smallest id
-hashes) by follow-the-regularised-leader with elastic-net penalties, and a temperature is then fitted on a
-fifth of the sample that the weights have not seen.
-
-Text that is null or has no letter is ``und`` with score 0. Predictions depend on the text alone. Where there is
-no labelled text to learn from, every text is ``und``.
+characters than letters being one space. Document frequencies come from *all* training documents. The
+weights are fitted on a bounded sample, by follow-the-regularised-leader with elastic-net penalties: of each language
+``PER_LANGUAGE`` distinct ids at most, those of the smallest hashes, so that a rare language is learned from all its
+documents however large the corpus is. Languages weigh alike, up to a factor of ``MOST_WEIGHT``. A temperature is then
+fitted on a fifth of each language's sample that the weights have not seen (where a language has ten documents or more).
+Texts become features where they are stored, whole; one task fits, and the driver gets the weights.
+
+Defined results: text that is null or has no letter is ``und`` with score 0. Predictions depend on the text alone, so
+repeated rows get equal ones; of equally likely languages the first by name is taken. Where there is no labelled text to
+learn from, every text is ``und``. An empty table gives no rows. Where one id has several texts in a language, the one of the smallest
+hash is learned from. Only doc_id, text and lang are read, so further columns may have any name. Texts of any length are
+taken whole, in one pass.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pieces, rows
+from .common import mix64, pieces, rows, written
 
-#: Hashed features; labelled documents that the weights are fitted on at most; passes over them.
-FEATURES, SAMPLE, PASSES = 1 << 14, 2000, 3
+#: Hashed features; labelled documents of each language that the weights are fitted on at most.
+FEATURES, PER_LANGUAGE = 1 << 14, 500
+#: Passes over them, and updates that there are in any case (more passes for small samples); the largest weight of a language.
+PASSES, UPDATES, MOST_WEIGHT = 3, 3000, 20.0
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-3, 1e-3
 UNKNOWN = "und"
 
@@ -99,18 +106,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(sample: list[tuple[str, str]], frequency: np.ndarray, n_docs: int) -> Model:
-    """FTRL-proximal with elastic net over (text, lang) rows; every fifth row only sets the temperature."""
-    known = [(found, lang) for text, lang in sample if (found := features(text)) is not None]
-    langs = sorted({lang for _, lang in known})
+def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], frequency: np.ndarray, n_docs: int) -> Model:
+    """FTRL-proximal with elastic net over (lang, indices, counts); every fifth row of a language only sets the temperature."""
+    langs = sorted({lang for lang, _, _ in sample})
     idf = np.log((1.0 + n_docs) / (1.0 + frequency)) + 1.0
     k = len(langs)
     model = Model(langs, idf, np.zeros((FEATURES, k)), np.zeros(k))
     if k == 0:
         return model
-    data = [(at, model.vector(at, counts), langs.index(lang)) for (at, counts), lang in known]
-    held = data[::5] if len(data) >= 50 else data
-    train = [x for i, x in enumerate(data) if i % 5] if len(data) >= 50 else data
+    data = [(at, model.vector(at, counts), langs.index(lang)) for lang, at, counts in sample]
+    size = np.bincount([lang for _, _, lang in data], minlength=k)
+    nth, train, held = np.zeros(k, int), [], []
+    for x in data:
+        nth[x[2]] += 1
+        (held if size[x[2]] >= 10 and nth[x[2]] % 5 == 0 else train).append(x)
+    held = held or train
+    weight = np.minimum(MOST_WEIGHT, size.max() / size)
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
     rng = np.random.default_rng(0)
 
@@ -119,14 +130,14 @@ def fit(sample: list[tuple[str, str]], frequency: np.ndarray, n_docs: int) -> Mo
         w[np.abs(z[at]) <= L1] = 0.0
         return w
 
-    for _ in range(PASSES):
+    for _ in range(max(PASSES, -(-UPDATES // len(train)))):
         for i in rng.permutation(len(train)):
             at, v, lang = train[i]
             at, v = np.r_[at, FEATURES], np.r_[v, 1.0]
             w = weights(at)
             p = _softmax(v @ w)
             p[lang] -= 1.0
-            g = v[:, None] * p
+            g = v[:, None] * (p * weight[lang])
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
@@ -164,7 +175,7 @@ def train(docs: DataFrame) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int64()), pa.array(np.r_[total[at], n], pa.int64())], names=["feature", "n"])
 
-    # at most FEATURES + 1 rows reach the driver, and SAMPLE documents
+    # at most FEATURES + 1 rows reach the driver
     counted = rows(labelled, "text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     frequency, n_docs = np.zeros(FEATURES), 0
     for feature, n in counted:
@@ -172,10 +183,37 @@ def train(docs: DataFrame) -> Model:
             n_docs = n
         else:
             frequency[feature] = n
-    chosen = labelled.select(F.xxhash64(F.col("doc_id")).alias("at"), "doc_id").orderBy("at", "doc_id").limit(SAMPLE)
-    sample = labelled.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", "text", "lang").limit(SAMPLE).collect()
-    sample.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()) * 2654435761 % (1 << 32), r[0], r[1]))
-    return fit([(text, lang) for _, text, lang in sample], frequency, n_docs)
+    return _fitted(sample(labelled), frequency, n_docs)
+
+
+def sample(labelled: DataFrame, most: int | None = None) -> DataFrame:
+    """``lang, at, doc_id, ids, counts``: features of ``most`` distinct ids of each language, those of the smallest hashes."""
+    most = most or PER_LANGUAGE
+    hashed = labelled.select("lang", "doc_id", F.xxhash64("text").alias("th"))
+    ids = hashed.groupBy("lang", "doc_id").agg(F.min("th").alias("th")).withColumn("at", F.xxhash64("doc_id"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))  # Spark keeps ``most`` rows a task before it shuffles
+    chosen = written(ids.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"), "chosen")
+    texts = labelled.withColumn("th", F.xxhash64("text")).join(chosen, ["lang", "doc_id", "th"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            found = [features(t) for t in batch.column(3).to_pylist()]
+            keep = pa.array([f is not None for f in found], pa.bool_())
+            lists = [pa.array([f[c].astype(np.int32) for f in found if f], pa.list_(pa.int32())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).filter(keep) for c in range(3)], *lists], names=["lang", "at", "doc_id", "ids", "counts"])
+
+    made = rows(texts, "lang", "at", "doc_id", "text").mapInArrow(run, T.StructType([labelled.schema["lang"], *T._parse_datatype_string("at long").fields, labelled.schema["doc_id"], *T._parse_datatype_string("ids array<int>, counts array<int>").fields]))
+    return made.groupBy("lang", "at", "doc_id").agg(F.first("ids").alias("ids"), F.first("counts").alias("counts"))  # repeated rows are one
+
+
+def _fitted(sampled: DataFrame, frequency: np.ndarray, n_docs: int) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(lang, np.array(ids), np.array(counts)) for batch in batches for lang, ids, counts in zip(*(batch.column(c).to_pylist() for c in range(3)))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got, frequency, n_docs))], pa.binary())], names=["model"])
+
+    one = sampled.repartition(1).sortWithinPartitions("at", "doc_id", "lang")  # bounded: PER_LANGUAGE documents of each language
+    found = rows(one, "lang", "ids", "counts").mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fit([], frequency, n_docs)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
