@@ -42,6 +42,11 @@ def lengths(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "
     return chunks.select(F.col(id_column).alias("chunk_id"), F.size(tx.index_terms(F.col(text_column))).alias("dl"))
 
 
+def chunk_statistics(chunks: DataFrame) -> DataFrame:
+    """``statistics`` of chunks; only their texts are read."""
+    return statistics(lengths(chunks))
+
+
 def statistics(lengths_: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length."""
     return lengths_.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
@@ -80,22 +85,46 @@ def hybrid(chunks: DataFrame, posting_rows: DataFrame, stats: DataFrame, query:
     positive. Ids are ranked first and the texts of the winners joined last.
     """
     words = query_words(query)
+    wanted = document_ids.select("relative_path").distinct() if document_ids is not None else None
+    of = lambda df: df if wanted is None else df.join(wanted, "relative_path", "left_semi")
     narrow = chunks.select("chunk_id", "relative_path", "has_visual")
-    if document_ids is not None:
-        narrow = narrow.join(document_ids.select("relative_path").distinct(), "relative_path", "left_semi")
+    # candidates: the best hits of the postings, and the chunks that a bonus brings in; no other chunk is joined
+    hits = bm25_scores(posting_rows, stats, words)
+    if wanted is not None:
+        hits = hits.join(of(narrow).select("chunk_id"), "chunk_id", "left_semi")
+    hits = hits.orderBy(F.desc("text_score"), "chunk_id").limit(max(TEXT_CANDIDATES, 25 * k))
     bonus = path_bonus(F.col("relative_path"), words) + visual_bonus(F.col("has_visual"), words)
-    scored = narrow.withColumn("bonus", bonus).join(bm25_scores(posting_rows, stats, words), "chunk_id", "left")
-    score = F.coalesce("text_score", F.lit(0.0)) + F.col("bonus")
-    best = scored.select("chunk_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(k)
+    lifted = of(narrow.withColumn("bonus", bonus).where("bonus > 0")).select("chunk_id", "bonus")
+    score = F.coalesce("text_score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
+    best = hits.join(lifted, "chunk_id", "full_outer").select("chunk_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(k)
     return chunks.join(F.broadcast(best), "chunk_id").select("chunk_id", "relative_path", "score", tx.snippet(F.col("text")).alias("snippet"), "text").orderBy(F.desc("score"), "chunk_id")
 
 
+#: Hits of the postings that are ranked on, at least (a fixed value).
+TEXT_CANDIDATES = 200
+
+
+def code_top(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
+    """``chunk_id, score`` of the ``k`` vectors (chunk_id, dim, codes) of the largest cosine with the query: int8 codes by their norm,
+    cut off at 0, ties by id. A zero query finds nothing; a vector of another length is an error."""
+    if not any(query) or k < 1:
+        return vectors.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    length = sum(float(x) ** 2 for x in query) ** 0.5
+    q = F.array(*[F.lit(float(x) / length) for x in query])
+    other = F.raise_error(F.format_string(f"The index has a vector of %d dimensions, the query {len(query)}", "dim"))
+    cosine = F.when(F.col("dim") != len(query), other.cast("double")).otherwise(vx.dot(F.col("codes"), q) / F.greatest(vx.norm(F.col("codes")), F.lit(1e-12)))
+    return vectors.select("chunk_id", F.greatest(cosine, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
 def cosine_top(vectors: DataFrame, query: Sequence[float], k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """The ``k`` vectors of the largest cosine with the query, cut off at 0; ties by id. A zero query finds nothing."""
+    """The ``k`` vectors of the largest cosine with the query, cut off at 0; ties by id. A zero query finds nothing; a vector of
+    another length than the query's is an error."""
     if not any(query):
         return vectors.select(id_column, F.lit(0.0).alias("score")).limit(0)
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(id_column, vx.cosine(F.col(vector_column), q).alias("score")).where(F.col("score").isNotNull()).orderBy(F.desc("score"), id_column).limit(k)
+    other = F.raise_error(F.format_string(f"A vector has %d dimensions, the query {len(query)}", F.size(vector_column)))
+    score = F.when(F.size(vector_column) != len(query), other.cast("double")).otherwise(vx.cosine(F.col(vector_column), q))
+    return vectors.select(id_column, score.alias("score")).where(F.col("score").isNotNull()).orderBy(F.desc("score"), id_column).limit(k)
 
 
 def reused_vectors(chunks: DataFrame, old: DataFrame) -> DataFrame:

@@ -16,10 +16,11 @@ def cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("c")).select("c.*")
 
 
-def type_votes(cell_rows: DataFrame) -> DataFrame:
+def type_votes(cell_rows: DataFrame, tokens: bool = False) -> DataFrame:
     """Type of each column by the kinds of its values: 90 % decide, numbers before dates, a real number makes it real.
 
-    ``non_null`` counts values that are neither null nor a null token; ``failed`` those that the type loses.
+    ``non_null`` counts values that are neither null nor a null token; ``failed`` those that the type loses; ``tokens``,
+    where asked for, the null tokens.
     """
     kind = cell_rows.select("column", tx.cell_kind(F.col("value")).alias("kind"))
     n = lambda k: F.count_if(F.col("kind") == k)
@@ -29,7 +30,7 @@ def type_votes(cell_rows: DataFrame) -> DataFrame:
     need = valued * F.lit(MAJORITY)
     decided = F.when((valued > 0) & (numbers >= need), F.when(F.col("reals") > 0, "real").otherwise("integer")).when((valued > 0) & (F.col("dates") >= need), "date").otherwise("text")
     failed = F.when(decided.isin("integer", "real"), valued - numbers).when(decided == "date", valued - F.col("dates")).otherwise(0)
-    return sums.select("column", decided.alias("type"), valued.alias("non_null"), failed.alias("failed"))
+    return sums.select("column", decided.alias("type"), valued.alias("non_null"), failed.alias("failed"), *([F.col("tokens")] if tokens else []))
 
 
 def categories(cell_rows: DataFrame) -> DataFrame:

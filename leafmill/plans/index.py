@@ -1,34 +1,84 @@
 """A searchable index of a folder as Parquet tables, kept up to date by set operations.
 
-Tables: files, documents, chunks, postings, lengths. A build diffs the folder against ``files``, extracts what
-changed in parallel, replaces those files' rows, and swaps the new tables in by renaming folders, so that
-readers see the old index or the new one. A build without changes writes nothing.
+Tables: files, documents, chunks, postings, vectors, and ``gone``. A build diffs the folder against ``files``, extracts
+what changed in parallel, and appends a *segment*: the rows of the files that are new or changed, and the paths whose
+earlier rows no longer count (``gone``). A table is the union of its segments without those rows, an anti join with a
+short list. So a sync costs what changed, not what the index holds. When there are SEGMENTS of them, a build merges all
+into one.
+
+A build becomes visible by one small file, the manifest of the next number, which names its segments and settings.
+Readers take the newest manifest; a build that dies leaves folders that no manifest names. Nothing is renamed, and
+opening an index changes nothing.
+
+Vectors are int8 codes with a scale. A chunk's text is embedded once, whatever the files and builds it occurs in; an embedder is a
+function from texts to vectors, called in Arrow batches. If it fails, the build ends with keyword search alone.
 """
 
 from __future__ import annotations
 
+import json
+import threading
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, ingest, search
+from ..functions import vectors as vx
+from ..operators import answers, chunking, ingest, search
 from ..sources import files as source
 from ..sources.filters import Rules
 
-VERSION = 4
+VERSION = 5
+#: Segments that a build merges into one.
+SEGMENTS = 8
+#: Chunks and documents at most that carry a document's visual assets (a fixed value).
+DOCUMENT_ASSETS = 24
 SCHEMAS = {
     "files": "relative_path string, status string, size bigint, mtime double, parser string, chunks int, content_hash string, error_reason string",
-    "documents": "relative_path string, parser string, size bigint, mtime double, content_hash string, chunks int, token_estimate bigint, summary string, section_hints array<string>",
-    "chunks": "chunk_id string, relative_path string, ordinal int, text string, chunk_hash string, has_visual boolean",
-    "postings": "term string, chunk_id string, tf bigint, dl int",
-    "lengths": "chunk_id string, dl int",
+    "documents": f"relative_path string, parser string, size bigint, mtime double, content_hash string, chunks int, token_estimate bigint, summary string, section_hints array<string>, structure {source.STRUCTURE}, assets {source.ASSETS}",
+    "chunks": f"chunk_id string, relative_path string, ordinal int, text string, chunk_hash string, has_visual boolean, chunk_type string, sheet_name string, row_number int, assets {source.ASSETS}",
+    "postings": "term string, chunk_id string, relative_path string, tf bigint, dl int",
+    "vectors": "chunk_id string, relative_path string, chunk_hash string, dim int, scale double, codes array<tinyint>",
+    "gone": "relative_path string, segment int",
 }
+Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
+
+
+class SearchError(ValueError):
+    """A search that this index cannot answer; the message says why."""
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """What turns texts into vectors: a function that workers can load, the model's key, and texts in a call."""
+
+    embed: Embed
+    key: str
+    batch: int = 96
+
+
+def hashed_words(texts: Sequence[str], dim: int = 64) -> list[list[float]]:
+    """An embedder without a model: words hashed into ``dim`` places, the same everywhere."""
+    import zlib
+
+    out = []
+    for t in texts:
+        v = [0.0] * dim
+        for w in tx.folded(t.lower()).split():
+            h = zlib.crc32(w.encode())
+            v[h % dim] += 1.0 if h >> 16 & 1 else -1.0
+        out.append(v)
+    return out
 
 
 class Index:
-    def __init__(self, spark: SparkSession, root: str, folder: str, rules: Rules = Rules(), max_mb: float = 50.0):
-        self.spark, self.root, self.folder, self.rules, self.max_mb = spark, root.rstrip("/"), folder.rstrip("/"), rules, max_mb
-        self._recover()
+    def __init__(self, spark: SparkSession, root: str, folder: str, rules: Rules = Rules(), max_mb: float = 50.0, embedder: Embedder | None = None):
+        self.spark, self.root, self.folder, self.rules, self.max_mb, self.embedder = spark, root.rstrip("/"), folder.rstrip("/"), rules, max_mb, embedder
+        self._cancelled, self._group = threading.Event(), f"leafmill-{uuid.uuid4().hex}"
 
     # Storage ------------------------------------------------------------------------------------
 
@@ -36,92 +86,276 @@ class Index:
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         return path, path(self.folder).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _recover(self) -> None:
-        """After a crash in a swap the old folder comes back; leftovers go."""
+    def _manifests(self) -> list[int]:
         path, fs = self._fs()
-        live, old, new = path(self.folder), path(f"{self.folder}.old"), path(f"{self.folder}.tmp")
-        if fs.exists(old):
-            if fs.exists(live):
-                fs.delete(old, True)
-            else:
-                fs.rename(old, live)
-        if fs.exists(new):
-            fs.delete(new, True)
-
-    def _swap(self) -> None:
+        if not fs.exists(path(f"{self.folder}/manifests")):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.folder}/manifests"))]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+
+    def manifest(self) -> dict:
+        """The newest manifest: its number, segments and settings; empty for a new index."""
+        found = self._manifests()
+        if not found:
+            return {"number": 0, "segments": [], "version": str(VERSION), "mode": "keyword", "engine": None, "model": None, "dim": None}
+        text = self.spark.read.text(f"{self.folder}/manifests/{found[-1]}.json", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def _commit(self, manifest: dict) -> None:
+        """Write the manifest under a name of its own, then give it its number: one file appears, whole or not at all."""
         path, fs = self._fs()
-        live, old, new = path(self.folder), path(f"{self.folder}.old"), path(f"{self.folder}.tmp")
-        if fs.exists(live):
-            fs.rename(live, old)
-        if not fs.rename(new, live):
-            fs.rename(old, live)
-            raise OSError(f"cannot rename {new.toString()}")
-        fs.delete(old, True)
+        folder = f"{self.folder}/manifests"
+        fs.mkdirs(path(folder))
+        made = path(f"{folder}/new-{uuid.uuid4().hex}")
+        out = fs.create(made, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not fs.rename(made, path(f"{folder}/{manifest['number']}.json")):
+            fs.delete(made, False)
+            raise OSError(f"another build has written manifest {manifest['number']}")
 
-    def exists(self) -> bool:
+    def _drop_unused(self, keep: set[int]) -> None:
+        """Delete segments and manifests that neither of the last two manifests names."""
         path, fs = self._fs()
-        return fs.exists(path(f"{self.folder}/files"))
+        for status in fs.listStatus(path(self.folder)):
+            name = status.getPath().getName()
+            if name.startswith("s") and name[1:].isdigit() and int(name[1:]) not in keep:
+                fs.delete(status.getPath(), True)
+        for n in self._manifests()[:-2]:
+            fs.delete(path(f"{self.folder}/manifests/{n}.json"), False)
 
-    def read(self, name: str) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
+    def exists(self) -> bool:
+        return bool(self._manifests())
+
+    def read(self, name: str, manifest: dict | None = None) -> DataFrame:
+        """A table: rows of all segments whose path no later segment has replaced or removed."""
+        segments = (manifest or self.manifest())["segments"]
+        schema = SCHEMAS[name]
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/s{s}/{name}").withColumn("__segment", F.lit(s)) for s in segments]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        if len(segments) > 1:
+            gone = self.spark.read.schema(SCHEMAS["gone"]).parquet(*[f"{self.folder}/s{s}/gone" for s in segments[1:]])
+            gone = gone.groupBy(F.col("relative_path").alias("__path")).agg(F.max("segment").alias("__gone"))
+            rows = rows.join(gone, (F.col("relative_path") == F.col("__path")) & (F.col("__segment") < F.col("__gone")), "left_anti")
+        return rows.drop("__segment")
 
     # Building -----------------------------------------------------------------------------------
 
-    def build(self, force: bool = False) -> dict[str, int]:
-        """Bring the index up to date and return the number of files in each category."""
-        known = self.read("files")
+    def cancel(self) -> None:
+        """Stop a build that is running: its Spark jobs, and what would come after them."""
+        self._cancelled.set()
+        self.spark.sparkContext.cancelJobGroup(self._group)
+
+    def build(self, force: bool = False, mode: str = "keyword", rounds: int = 1, retain: bool = False) -> dict:
+        """Bring the index up to date and return the number of files in each category.
+
+        ``mode`` is keyword or vector. Changed files are extracted in ``rounds``, each a segment; a cancelled build keeps nothing,
+        or with ``retain`` the rounds that were done, beside the earlier rows of the files that it did not reach.
+        """
+        self._cancelled.clear()
+        context = self.spark.sparkContext
+        context.setJobGroup(self._group, "index build", True)
+        try:
+            return self._build(force, mode, max(1, rounds), retain)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    def _build(self, force: bool, mode: str, rounds: int, retain: bool) -> dict:
+        before = self.manifest()
+        wanted = {"version": str(VERSION), "mode": mode, "engine": "codes" if mode == "vector" else before.get("engine"), "model": self.embedder.key if mode == "vector" and self.embedder else before.get("model")}
+        if mode == "vector" and not self.embedder:
+            raise SearchError("An embedder is required for an index with vectors.")
+        old_format = before.get("version") != str(VERSION)
+        known = self.read("files", before) if not old_format else self.spark.createDataFrame([], SCHEMAS["files"])
         found = source.discover(self.spark, self.root, self.rules, self.max_mb)
         planned = ingest.plan(found, known if not force else known.withColumn("mtime", F.lit(-1.0)), int(self.max_mb * 1024 * 1024))
-        work = found.join(planned.where(F.col("category").isin("added", "changed")).select("relative_path"), "relative_path", "left_semi").cache()
-        try:
-            done = source.extracted(self.spark, work).cache()
-            hashes = done.select("relative_path", "content_hash")
-            settled = planned.withColumn("category", F.when(F.col("category") == "changed", "updated").otherwise(F.col("category"))) if force else ingest.settled(planned, hashes, known)
-            counts = settled.groupBy("category").count().collect()  # a row for each category
-            stats = dict.fromkeys(("added", "updated", "removed", "unchanged", "excluded", "too_large"), 0) | {r[0]: r[1] for r in counts}
-            stats["failed"] = done.where("status = 'failed'").count()
-            skipped_before = known.where("status = 'skipped'").count()
-            if self.exists() and not force and not any(stats[k] for k in ("added", "updated", "removed")) and skipped_before == stats["excluded"] + stats["too_large"]:
+        base = max([s for s in before["segments"]], default=0) + 1  # a number that no manifest names: leftovers of a dead build are overwritten
+        stage = f"{self.folder}/s{base}"
+        planned = self._kept(planned, f"{stage}/plan")
+        todo = planned.where(F.col("category").isin("added", "changed")).select("relative_path")
+        work = self._kept(found.join(todo, "relative_path", "left_semi"), f"{stage}/work")
+        manifest = before | wanted | {"segments": [] if old_format else list(before["segments"])}
+        stats: dict = dict.fromkeys(("added", "updated", "removed", "unchanged", "excluded", "too_large", "failed"), 0)
+        counted = {r[0]: r[1] for r in planned.groupBy("category").count().collect()}  # a row for each category
+        stats |= {k: counted.get(k, 0) for k in ("removed", "unchanged", "excluded", "too_large")}
+        drop_vectors = bool(before.get("model")) and wanted["model"] != before.get("model")
+        reached, changed = [], False
+        for nth in range(rounds):
+            part = work if rounds == 1 else work.where(F.pmod(F.xxhash64("relative_path"), F.lit(rounds)) == nth)
+            try:
+                done = self._kept(source.extracted(self.spark, part), f"{stage}/extracted{nth}")
+                if self._cancelled.is_set():
+                    break
+                settled = self._settled(planned.join(part.select("relative_path"), "relative_path", "left_semi"), done, known, force)
+                fresh = settled.where(F.col("category").isin("added", "updated"))
+                here = {r[0]: r[1] for r in settled.groupBy("category").count().collect()}
+                stats["added"] += here.get("added", 0)
+                stats["updated"] += here.get("updated", 0)
+                stats["unchanged"] += here.get("unchanged", 0)
+                stats["failed"] += done.where("status = 'failed'").count()
+                if here.get("added") or here.get("updated") or here.get("unchanged"):
+                    self._segment(base + nth, fresh.select("relative_path"), done, found, known, settled)
+                    reached.append(base + nth)
+            except Exception:
+                if self._cancelled.is_set():
+                    break
+                raise
+        cancelled = self._cancelled.is_set()
+        if cancelled:
+            stats["cancelled"] = True
+            if not retain or not reached:
                 return stats
-            self._write(found, known, done, settled)
-            return stats
-        finally:
-            work.unpersist()
+        manifest["segments"] += reached
+        last = base + rounds
+        if not cancelled and self._sweep(last, planned, found, known):
+            manifest["segments"].append(last)
+            changed = True
+        if drop_vectors and mode != "vector":
+            manifest["model"] = None
+        changed = changed or bool(reached)
+        if mode == "vector" and not cancelled:
+            changed = self._embed(manifest, drop_vectors, stats) or changed
+        if not changed and answers.same_settings(before, manifest) and self.exists() and not force:
+            return stats  # nothing is written, and the index keeps its number
+        manifest["number"] = before["number"] + 1
+        if len(manifest["segments"]) >= SEGMENTS:
+            self._merge(manifest)
+        self._commit(manifest)
+        self._drop_unused({*manifest["segments"], *before["segments"]})
+        return stats
+
+    def _kept(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @staticmethod
+    def _settled(planned: DataFrame, done: DataFrame, known: DataFrame, force: bool) -> DataFrame:
+        if force:
+            return planned.withColumn("category", F.when(F.col("category") == "changed", "updated").otherwise(F.col("category")))
+        return ingest.settled(planned, done.select("relative_path", "content_hash"), known)
 
-    def _write(self, found: DataFrame, known: DataFrame, done: DataFrame, settled: DataFrame) -> None:
-        fresh = settled.where(F.col("category").isin("added", "updated")).select("relative_path")
-        gone = settled.where(F.col("category").isin("removed", "excluded", "too_large")).select("relative_path")
+    def _write(self, number: int, tables: dict[str, DataFrame]) -> None:
+        for name, schema in SCHEMAS.items():
+            df = tables.get(name, self.spark.createDataFrame([], schema))
+            # postings are sorted by term within their files, so that a query's terms prune row groups
+            df = df.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" and name in tables else df
+            df.write.mode("overwrite").parquet(f"{self.folder}/s{number}/{name}")
+
+    def _segment(self, number: int, fresh: DataFrame, done: DataFrame, found: DataFrame, known: DataFrame, settled: DataFrame) -> None:
+        """Rows of the files that are new or changed; of files whose content is the known one only their size and time."""
         new = done.join(fresh, "relative_path", "left_semi")
-        stale = fresh.union(gone).distinct()
         texts = new.where("status = 'indexed'")
-        cut = chunking.chunks(texts, "relative_path", "text")
-        chunks = cut.select(chunking.chunk_id(F.col("relative_path"), F.col("ordinal"), F.col("chunk_hash")).alias("chunk_id"), "relative_path", "ordinal", "text", "chunk_hash", F.lit(False).alias("has_visual"))
+        cut = self._chunks(texts)
         per_file = cut.groupBy("relative_path").agg(F.count("*").cast("int").alias("chunks"))
         stat = found.select("relative_path", "size", "mtime")
-        documents = texts.join(stat, "relative_path").join(per_file, "relative_path", "left").select(
-            "relative_path", "parser", "size", "mtime", "content_hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), tx.token_estimate(F.col("text")).alias("token_estimate"),
-            tx.summary(F.col("text"), 400).alias("summary"), tx.section_hints(F.col("text")).alias("section_hints"),
+        of = texts.join(stat, "relative_path").join(per_file.withColumnRenamed("chunks", "n"), "relative_path", "left")
+        names = F.coalesce(F.col("structure.sheet_names"), F.array().cast("array<string>"))
+        columns = F.coalesce(F.col("structure.column_hints"), F.array().cast("array<string>"))
+        is_sheet = F.col("structure").isNotNull()
+        hints = F.slice(F.flatten(F.transform("structure.sheets", lambda s: F.filter(F.array(F.concat(F.lit("Sheet: "), s["name"]), F.when(F.size(s["header_hints"]) > 0, F.concat(F.lit("Columns: "), F.array_join(F.slice(s["header_hints"], 1, 4), " | ")))), lambda x: x.isNotNull()))), 1, 6)
+        note = answers.header_note(F.col("relative_path"), F.col("structure.sheet_count"), F.col("structure.row_count"), names, columns)
+        documents = of.select(
+            "relative_path", "parser", "size", "mtime", "content_hash", F.coalesce("n", F.lit(0)).alias("chunks"), tx.token_estimate(F.col("text")).alias("token_estimate"),
+            F.when(is_sheet, note).otherwise(tx.summary(F.col("text"), 420)).alias("summary"), F.when(is_sheet, hints).otherwise(tx.section_hints(F.col("text"))).alias("section_hints"),
+            "structure", F.slice("assets", 1, DOCUMENT_ASSETS).alias("assets"),
         )
-        files = new.join(stat, "relative_path").join(per_file, "relative_path", "left").select("relative_path", "status", "size", "mtime", "parser", F.coalesce("chunks", F.lit(0)).alias("chunks"), "content_hash", "error_reason")
+        own = new.drop("chunks").join(stat, "relative_path").join(per_file, "relative_path", "left").select("relative_path", "status", "size", "mtime", "parser", F.coalesce("chunks", F.lit(0)).alias("chunks"), "content_hash", "error_reason")
+        same = settled.where("category = 'unchanged'").select("relative_path")
+        touched = ingest.refreshed(known.join(same, "relative_path", "left_semi"), stat, "relative_path", "size", "mtime")
+        carried = same.select("relative_path")
+        chunks = cut.unionByName(self.read("chunks").join(carried, "relative_path", "left_semi"))
+        postings = search.postings(cut).join(cut.select("chunk_id", "relative_path"), "chunk_id").select("term", "chunk_id", "relative_path", "tf", "dl")
+        self._write(number, {
+            "files": own.unionByName(touched), "documents": documents.unionByName(self.read("documents").join(carried, "relative_path", "left_semi")), "chunks": chunks,
+            "postings": postings.unionByName(self.read("postings").join(carried, "relative_path", "left_semi")),
+            "vectors": self.read("vectors").join(carried, "relative_path", "left_semi"),
+            "gone": fresh.union(carried).distinct().select("relative_path", F.lit(number).alias("segment")),
+        })
+
+    @staticmethod
+    def _chunks(texts: DataFrame) -> DataFrame:
+        """A document's chunks: those that its format gives, else its text in windows; each with the visual assets whose anchor it holds."""
+        given = F.coalesce(F.size("chunks"), F.lit(0)) > 0
+        structured = texts.where(given).select("relative_path", F.posexplode("chunks").alias("ordinal", "c")).select("relative_path", "ordinal", "c.*").withColumn("chunk_hash", F.sha2("text", 256))
+        windows = chunking.chunks(texts.where(~given), "relative_path", "text")
+        cut = structured.unionByName(windows, allowMissingColumns=True)
+        with_assets = texts.where(F.size("assets") > 0).select("relative_path", "assets")
+        cut = cut.join(with_assets, "relative_path", "left")
+        held = F.filter("assets", lambda a: (F.length(a["anchor"]) > 0) & F.contains(F.col("text"), a["anchor"]))
+        return cut.select(
+            chunking.chunk_id(F.col("relative_path"), F.col("ordinal"), F.col("chunk_hash")).alias("chunk_id"), "relative_path", "ordinal", "text", "chunk_hash",
+            F.coalesce(F.size(held) > 0, F.lit(False)).alias("has_visual"), "chunk_type", "sheet_name", "row_number", F.when(F.size(held) > 0, held).alias("assets"),
+        )
+
+    def _sweep(self, number: int, planned: DataFrame, found: DataFrame, known: DataFrame) -> bool:
+        """Files that went, and the list of those that a rule skips; False where neither changed."""
+        removed = planned.where(F.col("category").isin("removed", "excluded", "too_large")).select("relative_path").join(known, "relative_path", "left_semi")
         skipped = found.where(F.col("reason").isNotNull()).select("relative_path", F.lit("skipped").alias("status"), "size", "mtime", F.lit(None).cast("string").alias("parser"), F.lit(0).alias("chunks"), F.lit(None).cast("string").alias("content_hash"), F.col("reason").alias("error_reason"))
-        kept_files = ingest.refreshed(ingest.delete(known.where("status <> 'skipped'"), stale, "relative_path"), stat, "relative_path", "size", "mtime")
-        old_chunks = self.read("chunks")
-        dead = old_chunks.join(stale, "relative_path", "left_semi").select("chunk_id")
-        tables = {
-            "files": kept_files.unionByName(files).unionByName(skipped),
-            "documents": ingest.delete(self.read("documents"), stale, "relative_path").unionByName(documents),
-            "chunks": ingest.delete(old_chunks, stale, "relative_path").unionByName(chunks),
-            "postings": ingest.delete(self.read("postings"), dead, "chunk_id").unionByName(search.postings(chunks).select("term", "chunk_id", "tf", "dl")),
-            "lengths": ingest.delete(self.read("lengths"), dead, "chunk_id").unionByName(search.lengths(chunks)),
-        }
-        for name, df in tables.items():
-            # postings are sorted by term within their files, so that a query's terms prune row groups
-            out = df.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else df
-            out.write.mode("overwrite").parquet(f"{self.folder}.tmp/{name}")
-        self._swap()
-        self.spark.catalog.refreshByPath(self.folder)
+        listed = known.where("status = 'skipped'")
+        columns = ["relative_path", "error_reason", "size"]
+        new = skipped.join(listed.select(*columns), columns, "left_anti")
+        gone = removed.join(skipped.join(new, "relative_path", "left_anti"), "relative_path", "left_anti").union(new.select("relative_path")).distinct()
+        if gone.isEmpty():
+            return False
+        self._write(number, {"files": new, "gone": gone.select("relative_path", F.lit(number).alias("segment"))})
+        return True
+
+    def _embed(self, manifest: dict, drop: bool, stats: dict) -> bool:
+        """Vectors for the chunks that have none: those of equal chunks are taken over, each other text is embedded once.
+
+        Vectors of another model are dropped, chunks stay. If the embedder fails, the build goes on without vectors, once with a warning.
+        """
+        chunks = self.read("chunks", manifest).select("chunk_id", "relative_path", "chunk_hash", "text")
+        old = self.read("vectors", manifest)
+        old = old.limit(0) if drop else old
+        lacking = chunks.join(old.select("chunk_id"), "chunk_id", "left_anti")
+        if lacking.isEmpty():
+            return drop
+        number = max(manifest["segments"], default=0) + 1
+        best = old.groupBy("chunk_hash").agg(F.min_by(F.struct("dim", "scale", "codes"), "chunk_id").alias("v"))
+        texts = lacking.groupBy("chunk_hash").agg(F.first("text").alias("text")).join(best.select("chunk_hash"), "chunk_hash", "left_anti")
+        embed, size = self.embedder.embed, self.embedder.batch
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    got = [[float(x) for x in v] for v in embed(part.column(1).to_pylist())]
+                    if len(got) != part.num_rows:
+                        raise ValueError("The embedder returned an unexpected number of vectors.")
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.float64()))], names=["chunk_hash", "vector"])
+
+        try:
+            made = self._kept(texts.mapInArrow(run, "chunk_hash string, vector array<double>"), f"{self.folder}/s{number}/embedded")
+            sizes = [r[0] for r in made.select(F.size("vector").alias("n")).union(old.select(F.col("dim").alias("n"))).distinct().limit(3).collect()]
+            if len(sizes) > 1:
+                raise ValueError(f"Vectors of {' and '.join(map(str, sorted(sizes)))} dimensions; rebuild required.")
+        except Exception as e:
+            if self._cancelled.is_set():
+                raise
+            manifest["mode"] = "keyword"
+            stats["warning"] = str(e).strip().splitlines()[-1][:300]
+            return False
+        fresh = made.select("chunk_hash", F.struct(F.size("vector").alias("dim"), vx.scale(F.col("vector")).alias("scale"), vx.codes(F.col("vector")).alias("codes")).alias("v"))
+        rows = lacking.select("chunk_id", "relative_path", "chunk_hash").join(best.unionByName(fresh), "chunk_hash").select("chunk_id", "relative_path", "chunk_hash", "v.*")
+        if drop:  # all tables once more, without the old model's vectors
+            tables = {n: self.read(n, manifest) for n in SCHEMAS if n not in ("vectors", "gone")}
+            self._write(number, tables | {"vectors": rows})
+            manifest["segments"] = [number]
+        else:
+            self._write(number, {"vectors": rows})
+            manifest["segments"].append(number)
+        manifest["dim"] = sizes[0] if sizes else None
+        return True
+
+    def _merge(self, manifest: dict) -> None:
+        number = max(manifest["segments"]) + 1
+        self._write(number, {n: self.read(n, manifest) for n in SCHEMAS if n != "gone"})
+        manifest["segments"] = [number]
 
     # Reading ------------------------------------------------------------------------------------
 
@@ -133,9 +367,50 @@ class Index:
         return self.read("documents").orderBy(F.lower("relative_path"))
 
     def status(self) -> dict:
-        row = self.read("files").agg(F.count("*"), F.count_if(F.col("status") == "indexed"), F.count_if(F.col("status") == "failed"), F.sum("chunks")).first()
-        return {"version": VERSION, "files": row[0], "indexed": row[1], "failed": row[2], "chunks": row[3] or 0}
+        m = self.manifest()
+        row = self.read("files", m).agg(F.count("*"), F.count_if(F.col("status") == "indexed"), F.count_if(F.col("status") == "failed"), F.sum("chunks")).first()
+        return {"version": VERSION, "number": m["number"], "mode": m["mode"], "model": m["model"], "files": row[0], "indexed": row[1], "failed": row[2], "chunks": row[3] or 0}
+
+    def missing_documents(self) -> DataFrame:
+        return ingest.missing(self.read("files"), self.read("documents"), "relative_path")
+
+    def missing_vectors(self) -> DataFrame:
+        return ingest.without_vectors(self.read("chunks"), self.read("vectors"))
+
+    def search(self, query: str, k: int = 8, document_ids: list[str] | None = None, mode: str = "keyword") -> DataFrame:
+        """The best ``k`` chunks: by keywords with path and visual bonus, or by the cosine of their vectors."""
+        m = self.manifest()
+        if mode == "vector":
+            return self._vector_search(m, query, k)
+        only = self.spark.createDataFrame([(d,) for d in document_ids], "relative_path string") if document_ids else None
+        postings = self.read("postings", m)
+        return search.hybrid(self.read("chunks", m), postings, search.chunk_statistics(self.read("chunks", m)), query, k, only)
+
+    def _vector_search(self, m: dict, query: str, k: int) -> DataFrame:
+        if m["mode"] != "vector":
+            raise SearchError("Semantic search is not available for this index yet; sync to finish embedding.")
+        if not self.embedder:
+            raise SearchError("An embedder is required for semantic search.")
+        if m["model"] and m["model"] != self.embedder.key:
+            names = self.spark.range(1).select(answers.model_label(F.lit(m["model"])), answers.model_label(F.lit(self.embedder.key))).first()
+            raise SearchError(f"Index was built with {names[0]} but search uses {names[1]}; rebuild required.")
+        (vector,) = self.embedder.embed([query])
+        if m["dim"] and len(vector) != m["dim"]:
+            raise SearchError(f"The query has {len(vector)} dimensions but the index has {m['dim']}; rebuild required.")
+        best = search.code_top(self.read("vectors", m), vector, k)
+        return self.read("chunks", m).join(F.broadcast(best), "chunk_id").select("chunk_id", "relative_path", "score", tx.snippet(F.col("text")).alias("snippet"), "text").orderBy(F.desc("score"), "chunk_id")
+
+    def search_or_keywords(self, query: str, k: int = 8, document_ids: list[str] | None = None) -> tuple[list, str | None]:
+        """Rows of a semantic search, or if that fails of a keyword search, of the whole index where the documents have none; and why it failed."""
+        reason = None
+        try:
+            return self.search(query, k, mode="vector").collect(), None
+        except Exception as e:
+            reason = str(e).splitlines()[0][:300]
+        rows = self.search(query, k, document_ids).collect()  # k rows
+        return rows or self.search(query, k).collect(), reason
 
-    def search(self, query: str, k: int = 8, document_ids: list[str] | None = None) -> DataFrame:
-        only = self.spark.createDataFrame([(d,) for d in document_ids], "relative_path string") if document_ids is not None else None
-        return search.hybrid(self.read("chunks"), self.read("postings"), search.statistics(self.read("lengths")), query, k, only)
+    def rows_matching(self, query: str, document_ids: list[str]) -> DataFrame:
+        """Every matching row chunk of the given spreadsheets: as many results as they have chunks."""
+        chunks = self.read("chunks").where(F.col("relative_path").isin(*document_ids))
+        return self.search(query, max(1, chunks.count()), document_ids)

@@ -6,6 +6,7 @@ PDF, XLS, images and OCR need libraries that are not part of this project and ar
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -58,18 +59,33 @@ def decode(content: bytes) -> str:
         return content.decode("latin-1")
 
 
-def docx_text(content: bytes) -> str:
-    """Paragraphs in order; table rows as ``a | b``."""
+_EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
+#: Images of a document at most (a fixed value).
+DOCX_IMAGES = 12
+
+
+def docx_document(content: bytes) -> tuple[str, list[dict]]:
+    """Paragraphs in order, table rows as ``a | b``, and the images: each with its file and the text that it stands at."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        names = set(z.namelist())
+        links = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))} if "word/_rels/document.xml.rels" in names else {}
     inner = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t")).strip()
-    out = []
+    out, assets = [], []
     for e in body if body is not None else ():
         if e.tag == f"{_W}tbl":
             out += [" | ".join(c for c in map(inner, row.iter(f"{_W}tc")) if c) for row in e.iter(f"{_W}tr")]
         elif e.tag == f"{_W}p":
             out.append(inner(e))
-    return "\n".join(x for x in out if x)
+        for image in (links.get(x.get(_EMBED)) for x in e.iter() if x.get(_EMBED)):
+            if image and "media/" in image and len(assets) < DOCX_IMAGES:
+                anchor = next((x for x in reversed(out) if x), "")
+                assets.append({"kind": "docx-image", "page": None, "label": anchor[:80] or image.rpartition("/")[2], "media": f"word/{image.lstrip('/').removeprefix('word/')}", "anchor": anchor})
+    return "\n".join(x for x in out if x), assets
+
+
+def docx_text(content: bytes) -> str:
+    return docx_document(content)[0]
 
 
 _RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?\??|\\([a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|([{}])|([^\\{}\r\n]+)")
@@ -133,27 +149,69 @@ def extract(path: str, content: bytes) -> tuple[str, str]:
     raise ValueError("Unknown binary format")
 
 
+#: Rows of extraction: what a file's text is cut into by its format (else null), its tables and its visual assets.
+CHUNKS = "array<struct<text:string,chunk_type:string,sheet_name:string,row_number:int>>"
+STRUCTURE = "struct<sheet_count:int,row_count:int,sheet_names:array<string>,column_hints:array<string>,sheets:array<struct<name:string,row_count:int,column_count:int,header_hints:array<string>>>>"
+ASSETS = "array<struct<kind:string,page:int,label:string,media:string,anchor:string>>"
+EXTRACTED = f"relative_path string, status string, parser string, text string, content_hash string, error_reason string, chunks {CHUNKS}, structure {STRUCTURE}, assets {ASSETS}"
+
+
+def content_of(path: str) -> bytes:
+    """A file's bytes, by path or address."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path)) if re.match(r"[a-z0-9]+:", path) else (fs.LocalFileSystem(), path)
+    with system.open_input_stream(at) as f:
+        return f.read()
+
+
+def document(path: str, content: bytes) -> dict:
+    """What ``extract`` gives, with chunks, structure and assets where the format has them."""
+    suffix = path.rpartition(".")[2].lower()
+    if suffix in ("xlsx", "xlsm"):
+        from .workbook import workbook_document
+
+        text, chunks, structure = workbook_document(content)
+        return {"text": text, "parser": "spreadsheet", "chunks": chunks, "structure": structure}
+    if suffix in ("docx", "docm") or (suffix == "doc" and content[:2] == b"PK"):
+        text, assets = docx_document(content)
+        return {"text": text, "parser": "docx", "assets": assets or None}
+    text, parser = extract(path, content)
+    return {"text": text, "parser": parser}
+
+
 def extracted(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``relative_path, status, parser, text, content_hash, error_reason`` of discovered files that no rule skips.
+    """EXTRACTED rows of discovered files that no rule skips.
 
-    Paths are dealt by estimated cost, and each task reads its own files through Spark's binary source.
+    The list of files stays a table: its rows are dealt to tasks by estimated cost (``ingest.cost_batches``), and a task opens
+    its files one after the other. No path passes through the driver.
     """
-    paths = [r[0] for r in files.where("reason IS NULL").select("path").collect()]  # a file list is what the source takes
-    if not paths:
-        return spark.createDataFrame([], "relative_path string, status string, parser string, text string, content_hash string, error_reason string")
+    from pyspark.sql import types as T
+
+    from ..operators import ingest
+
+    costed = files.where("reason IS NULL").select("relative_path", "path", "size", ingest.cost(tx.extension(F.col("relative_path")), F.col("size")).alias("cost"))
+    dealt = ingest.cost_batches(costed, TASK_SECONDS).repartition("shard", "batch")
+    schema = T._parse_datatype_string(EXTRACTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                row = dict.fromkeys(arrow.names) | {"relative_path": name}
                 try:
-                    text, parser = extract(path, content)
-                    rows.append(("indexed", parser, text, None) if text.strip() else ("failed", parser, None, "No text found"))
+                    content = content_of(path)
+                    row["content_hash"] = hashlib.sha256(content).hexdigest()
+                    row |= document(path, content)
+                    row |= {"status": "indexed"} if row["text"].strip() else {"status": "failed", "text": None, "error_reason": "No text found"}
                 except Exception as e:  # any broken file is a failed row, with its reason
-                    rows.append(("failed", None, None, str(e)[:300] or type(e).__name__))
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in cols], batch.column(2)], names=["path", "status", "parser", "text", "error_reason", "content_hash"])
+                    row |= {"status": "failed", "error_reason": str(e)[:300] or type(e).__name__}
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+
+    return dealt.select("relative_path", "path").mapInArrow(run, schema)
+
 
-    content = spark.read.format("binaryFile").load(paths).select("path", "content", F.sha2("content", 256).alias("content_hash"))
-    done = content.mapInArrow(run, "path string, status string, parser string, text string, error_reason string, content_hash string")
-    return done.join(files.select("path", "relative_path"), "path").select("relative_path", "status", "parser", "text", "content_hash", "error_reason")
+#: Estimated seconds of a task's files.
+TASK_SECONDS = 10.0

@@ -98,21 +98,102 @@ def rows_of(path: str, content: bytes):
     return csv_rows(content) if path.lower().endswith(".csv") else xlsx_rows(content)
 
 
+# Workbooks as documents ---------------------------------------------------------------------------
+
+# Rows up to which each is a chunk of its own, characters of a packed chunk, chunks of a sheet at most, rows in which
+# a header is looked for, its least score, and columns that are named.
+ROW_CHUNKS, PACKED_CHARS, MAX_CHUNKS, HEADER_ROWS, HEADER_SCORE, HINTS = 100, 1200, 250, 12, 2.5, 12
+
+
+def plain_cell(cell: str | None) -> str:
+    """A cell for the index: numbers with decimals are rounded to six and lose closing zeros."""
+    text = (cell or "").strip()
+    if re.fullmatch(r"-?\d+\.\d+(?:[eE][+-]?\d+)?", text):
+        text = f"{float(text):.6f}".rstrip("0").rstrip(".")
+    return text
+
+
+def _header_score(cells: list[str]) -> float:
+    one = lambda c: bool(re.search("[A-Za-z]", c)) * 1.0 + (not re.search(r"\d", c)) * 0.35 + (len(c) <= 40) * 0.2 + (bool(re.search("[A-Za-z]", c)) and not re.fullmatch(r"[A-Z]{2,}\d+", c)) * 0.2
+    return 0.8 * (len({c.lower() for c in cells}) == len(cells)) + sum(map(one, cells))
+
+
+def header_names(cells: list[str]) -> list[str]:
+    """Headers as they are shown: single spaces, marks at the ends off, blank ones numbered, repeated ones with their column."""
+    out, used = [], set()
+    for i, c in enumerate(cells, 1):
+        name = re.sub(r"\s+", " ", c).strip(" |:-") or f"Column {i}"
+        name = f"{name} ({i})" if name.lower() in used else name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_text(sheet: str, number: int, headers: list[str], cells: list[str]) -> str:
+    """``header: value`` lines of the cells that are not blank."""
+    named = [f"{headers[i] if i < len(headers) else f'Column {i + 1}'}: {c}" for i, c in enumerate(cells) if c]
+    return "\n".join([f"# Sheet: {sheet}", f"Row: {number}", *named])
+
+
+def packed(sheet: str, rows: list[tuple[int, str]]) -> list[dict]:
+    """Rows in chunks of about PACKED_CHARS, MAX_CHUNKS at most; beyond twice that size a chunk's further rows are left to SQL,
+    which reads every row."""
+    prefix, least = f"# Sheet: {sheet}\n", max(1, -(-len(rows) // MAX_CHUNKS))
+    out, group, size, first = [], [], 0, 0
+
+    def close() -> None:
+        out.append({"text": f"# Sheet: {sheet}\n\n" + "\n\n".join(group), "chunk_type": "spreadsheet-row", "sheet_name": sheet, "row_number": first})
+
+    for number, text in rows:
+        body = text.removeprefix(prefix)
+        if len(group) >= least and size + len(body) > PACKED_CHARS and len(out) + 1 < MAX_CHUNKS:
+            close()
+            group, size = [], 0
+        first = first if group else number
+        if size < 2 * PACKED_CHARS:
+            group.append(body)
+            size += len(body)
+    if group:
+        close()
+    return out
+
+
+def sheet_document(sheets: dict[str, list[tuple[int, list[str]]]]) -> tuple[str, list[dict], dict]:
+    """Text, chunks and structure of a workbook for the index; sheets are rows of (number, plain cells)."""
+    parts, chunks, profiles, hints = [], [], [], []
+    for name, rows in sheets.items():
+        parts.append(f"# Sheet: {name}")
+        scores = [(_header_score(f), -i) for i, (_, cells) in enumerate(rows[:HEADER_ROWS]) if len(f := [c for c in cells if c]) >= 2]
+        best, at = max(scores, default=(0.0, 0))
+        headers = header_names(rows[-at][1]) if best >= HEADER_SCORE else []
+        body = [row for i, row in enumerate(rows) if not headers or i != -at]
+        if headers:
+            parts.append(f"# Header: {' | '.join(headers)}")
+            hints += headers
+        texts = [(n, row_text(name, n, headers, cells)) for n, cells in body]
+        parts += [t for _, t in texts[:MAX_CHUNKS]]
+        chunks += [{"text": t, "chunk_type": "spreadsheet-row", "sheet_name": name, "row_number": n} for n, t in texts] if len(texts) <= ROW_CHUNKS else packed(name, texts)
+        profiles.append({"name": name, "row_count": len(body), "column_count": max([len(headers), *(len(c) for _, c in rows)], default=0), "header_hints": headers[:HINTS]})
+    structure = {"sheet_count": len(profiles), "row_count": sum(p["row_count"] for p in profiles), "sheet_names": [p["name"] for p in profiles], "column_hints": list(dict.fromkeys(hints))[:HINTS], "sheets": profiles}
+    return "\n\n".join(parts), chunks, structure
+
+
+def workbook_document(content: bytes) -> tuple[str, list[dict], dict]:
+    sheets: dict[str, list[tuple[int, list[str]]]] = {}
+    for sheet, number, cells in xlsx_rows(content):
+        sheets.setdefault(sheet, []).append((number, [plain_cell(c) for c in cells]))
+    return sheet_document(sheets)
+
+
 def workbook_text(content: bytes) -> str:
-    """A workbook as text for the index: a heading for each sheet, a line for each row."""
-    out, last = [], None
-    for sheet, _, cells in xlsx_rows(content):
-        if sheet != last:
-            out.append(f"Sheet: {sheet}")
-            last = sheet
-        out.append(" | ".join(c.strip() for c in cells if c and c.strip()))
-    return "\n".join(out)
+    """A workbook as text for the index: headings for sheets and headers, labelled rows."""
+    return workbook_document(content)[0]
 
 
 class SheetSource(DataSource):
     """``spark.read.format("leafmill_sheets").option("paths", "a.xlsx\\nb.csv")``: one partition a file.
 
-    Executors open the files themselves, so paths must be reachable from them (a shared file system).
+    Executors open the files themselves, by path or address (``file:``, ``hdfs:``, ``s3:``), so they must reach them.
     """
 
     @classmethod
@@ -134,8 +215,9 @@ class _SheetReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        with open(partition.value.removeprefix("file://"), "rb") as f:
-            content = f.read()
+        from .files import content_of
+
+        content = content_of(partition.value)
         for sheet, n, cells in rows_of(partition.value, content):
             yield partition.value, sheet, n, cells
 
@@ -155,11 +237,86 @@ def sheet_columns(headers: list[str | None]) -> list[str]:
         for sign, word in (("%", " pct "), ("#", " num "), ("&", " and "), ("$", " usd ")):
             t = t.replace(sign, word)
         t = re.sub("[^0-9a-z]+", "_", t).strip("_")[:48] or f"column_{i}"
-        t = f"c_{t}" if t[0].isdigit() else t
-        out.append(t if t not in out else f"{t}_{i}")
+        t = f"c_{t}" if t[0].isdigit() else f"{t}_" if t in KEYWORDS else t
+        out.append(unique(t, set(out)))
     return out
 
 
+# Names that would need quotes.
+KEYWORDS = frozenset(
+    "all and as asc between by case check collate column create cross default delete desc distinct drop else end except exists foreign from full glob group having in index inner insert intersect into is join "
+    "key left like limit match natural not null offset on or order outer primary references right select set table then to union unique update using values view when where with window over partition range rows".split()
+)
+
+
+def unique(name: str, used: set[str]) -> str:
+    """``name``, or with ``_2``, ``_3``, ... what is not used yet."""
+    k, out = 2, name
+    while out.lower() in used:
+        out, k = f"{name}_{k}", k + 1
+    return out
+
+
+def short_name(text: str, fallback: str, most: int = 28) -> str:
+    """A part of a table's name: ASCII letters and digits, others as single underscores."""
+    import unicodedata
+
+    t = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+    t = re.sub("[^0-9a-z]+", "_", t).strip("_")[:most].strip("_") or fallback
+    return f"c_{t}" if t[0].isdigit() else t
+
+
+def table_names(sheets: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """Table of each (path, sheet): ``stem_ext__sheet``, or ``stem_csv``; unique in the order of the paths."""
+    out: dict[tuple[str, str], str] = {}
+    for path, sheet in sorted(sheets, key=lambda s: s[0].lower()):
+        stem, _, ext = path.replace("\\", "/").rpartition("/")[2].rpartition(".")
+        name = f"{short_name(stem or ext, 'file')}_{ext.lower()}" + (f"__{short_name(sheet, 'sheet')}" if sheet else "")
+        out[path, sheet] = unique(name, set(out.values()))
+    return out
+
+
+def contained(root: str, path: str) -> str:
+    """The full path of ``path`` below ``root``; an error if it leads out of it."""
+    import os
+
+    base = os.path.realpath(root)
+    full = os.path.realpath(os.path.join(base, path.replace("\\", "/")))
+    if full != base and not full.startswith(base + os.sep):
+        raise ValueError(f"{path} is not inside the folder")
+    return full
+
+
+#: Parsers and suffixes of documents that are tables, and how many can be asked at once.
+SHEET_PARSERS, MOST_DOCUMENTS = ("spreadsheet", "spreadsheet-xls", "csv"), 25
+
+
+def resolved(documents: DataFrame, ids: list[str] | None) -> list[str]:
+    """Paths of the spreadsheets among ``documents`` that are asked for, or of all; unknown ids and too many are errors."""
+    sheets = documents.where(F.col("parser").isin(*SHEET_PARSERS) | tx.extension(F.col("relative_path")).isin(*tx.SHEET_SUFFIXES))
+    if ids:
+        wanted = list(dict.fromkeys(i.replace("\\", "/") for i in ids))
+        if len(wanted) > MOST_DOCUMENTS:
+            raise ValueError(f"At most {MOST_DOCUMENTS} documents can be asked at once")
+        known = {r[0] for r in sheets.where(F.col("relative_path").isin(*wanted)).select("relative_path").collect()}
+        if missing := [w for w in wanted if w not in known]:
+            raise ValueError(f"Not a spreadsheet of this index: {', '.join(missing)}")
+        return wanted
+    found = [r[0] for r in sheets.orderBy(F.lower("relative_path")).select("relative_path").limit(MOST_DOCUMENTS + 1).collect()]
+    if len(found) > MOST_DOCUMENTS:
+        raise ValueError(f"More than {MOST_DOCUMENTS} spreadsheets: say which")
+    return found
+
+
+def open_tables(spark: SparkSession, root: str, paths: list[str]) -> dict[str, DataFrame]:
+    """A typed table for each sheet of the given files below ``root``, by name."""
+    rows = read_sheets(spark, [contained(root, p) for p in paths])
+    full = {contained(root, p): p for p in paths}
+    sheets = [(r[0], r[1]) for r in rows.select("path", "sheet").distinct().collect()]  # a row for each sheet of MOST_DOCUMENTS files
+    names = table_names([(full[p], s) for p, s in sheets])
+    return {names[full[p], s]: typed_table(rows.where(F.col("path") == p), s) for p, s in sheets}
+
+
 def typed_table(rows: DataFrame, sheet: str) -> DataFrame:
     """One sheet of ``read_sheets`` as a typed table with ``_row``; values that a type loses stay in ``<name>_raw``.
 
@@ -173,7 +330,7 @@ def typed_table(rows: DataFrame, sheet: str) -> DataFrame:
     header, at = (found["cells"], found["row_num"]) if found else ([None] * first[1], first[0] - 1)
     names = sheet_columns([*header, *[None] * max(0, first[1] - len(header))])
     wide = own.where(F.col("row_num") > at).select(F.col("row_num").alias("_row"), *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    votes = {r["column"]: (r["type"], r["failed"]) for r in tabular.type_votes(tabular.cells(wide, names)).collect()}  # a row for each column
+    votes = {r["column"]: (r["type"], r["failed"] + r["tokens"]) for r in tabular.type_votes(tabular.cells(wide, names), tokens=True).collect()}  # a row for each column
     out = [F.col("_row")]
     for n in names:
         kind, failed = votes.get(n, ("text", 0))
@@ -185,7 +342,6 @@ def typed_table(rows: DataFrame, sheet: str) -> DataFrame:
             out.append(tx.cell_date(value).alias(n))
         else:
             out.append(value.alias(n))
-        tokens = kind != "text" and wide.where(F.lower(F.trim(n)).isin(*tx.NULL_TOKENS)).limit(1).count()
-        if failed or tokens:
+        if failed and kind != "text":
             out.append(F.col(n).alias(f"{n}_raw"))
     return wide.select(*out)

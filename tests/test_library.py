@@ -10,9 +10,11 @@ from leafmill.functions import text as tx
 from leafmill.functions import vectors as vx
 from leafmill.operators import chunking, ingest, search, tabular
 from leafmill.plans import guard
+from leafmill.plans import index as index_module
 from leafmill.plans.index import Index
 from leafmill.plans.tables import Tables, markdown_result, to_csv, to_markdown
 from leafmill.sources import files, workbook
+from leafmill.sources import files as source_module
 from leafmill.sources.filters import Rules, glob_regex
 from leafmill.streaming import watch
 
@@ -113,7 +115,7 @@ def test_refused(sql, spark):
 
 
 def test_cells(spark):
-    cells = {"$1,200.50": ("real", 1200.5), "(300.00)": ("integer", -300.0), "n/a": ("token", None), "007": ("text", None), "1234567890123456": ("text", None), "5": ("integer", 5.0), "": ("null", None), "1e3": ("integer", 1000.0), "abc": ("text", None), "(5": ("text", None)}
+    cells = {"$1,200.50": ("real", 1200.5), "(300.00)": ("real", -300.0), "n/a": ("token", None), "007": ("text", None), "1234567890123456": ("text", None), "5": ("integer", 5.0), "": ("null", None), "1e3": ("real", 1000.0), "abc": ("text", None), "(5": ("text", None)}
     df = spark.createDataFrame([(c,) for c in cells], "c string").select("c", tx.cell_kind(F.col("c")).alias("k"), tx.cell_number(F.col("c")).alias("n"))
     assert {r.c: (r.k, r.n) for r in df.collect()} == cells
     dates = {"01/15/2024": "2024-01-15", "2/3/2024": "2024-02-03", "2024-03-01": "2024-03-01", "13/02/2024": "2024-02-13", "31/31/2020": None, "1/2/69": "2069-01-02", "1/2/70": "1970-01-02", "x": None}
@@ -175,6 +177,140 @@ def test_index(spark, tmp_path):
     assert Index(spark, str(root), str(tmp_path / "index"), Rules.parse(["*.log"])).build(force=True)["updated"] == 4
 
 
+def test_vectors_in_the_index(spark, tmp_path):
+    def broken(texts):
+        raise RuntimeError("no credit left")
+
+    word_vectors = index_module.hashed_words
+    root, key = tmp_path / "root", "p|http://x|||m1"
+    root.mkdir()
+    for name, text in {"a.txt": "red apple pie", "b.txt": "green pear tart", "c.txt": "red apple pie"}.items():
+        (root / name).write_text(text)
+    of = lambda embed=word_vectors, k=key: Index(spark, str(root), str(tmp_path / "index"), embedder=index_module.Embedder(embed, k, 2))
+    index = of()
+    index.build()
+    with pytest.raises(index_module.SearchError, match="not available"):
+        index.search("apple", mode="vector")
+    assert index.build(mode="vector")["unchanged"] == 3 and index.missing_vectors().count() == 0
+    found = [(r.relative_path, r.score) for r in index.search("apple pie", mode="vector").collect()]
+    assert [p for p, _ in found][:2] == ["a.txt", "c.txt"] and found[0][1] > 0.7 and index.search("", mode="vector").count() == 0
+    with pytest.raises(index_module.SearchError, match="built with p/m1 but search uses p/m2"):
+        of(k="p|http://x|||m2").search("apple", mode="vector")
+    with pytest.raises(index_module.SearchError, match="dimensions"):
+        of(lambda texts: [[1.0] for _ in texts]).search("apple", mode="vector")
+    rows, reason = of(k="other").search_or_keywords("pear")
+    assert rows[0].relative_path == "b.txt" and "rebuild required" in reason
+    (root / "d.txt").write_text("blue plum")
+    stats = of(broken).build(mode="vector")
+    assert stats["added"] == 1 and "no credit left" in stats["warning"] and index.status()["mode"] == "keyword" and index.search("plum").count() == 1
+    index.build(mode="vector")
+    assert index.status()["mode"] == "vector" and index.missing_vectors().count() == 0
+    of(k="p|http://x|||m2").build(mode="vector")
+    assert index.status()["model"] == "p|http://x|||m2" and index.read("vectors").count() == 4 and index.read("chunks").count() == 4
+
+
+def test_segments_and_cancel(spark, tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    root.mkdir()
+    for i in range(12):
+        (root / f"{i}.txt").write_text(f"word{i} common")
+    index = Index(spark, str(root), str(tmp_path / "index"))
+    index.build()
+    number = index.manifest()["number"]
+    assert index.build()["unchanged"] == 12 and index.manifest()["number"] == number
+    (root / "3.txt").touch()  # another time, the same content
+    assert index.build()["unchanged"] == 12 and index.search("word3").count() == 1 and index.read("chunks").count() == 12
+    monkeypatch.setattr(index_module, "SEGMENTS", 4)
+    for i in range(4):
+        (root / f"{i}.txt").write_text(f"fresh{i}")
+        assert index.build()["updated"] == 1
+    assert len(index.manifest()["segments"]) < 4 and index.read("chunks").count() == 12 and index.search("word2").count() == 0 and index.search("fresh2").first().relative_path == "2.txt"
+    for i in range(12):
+        (root / f"{i}.txt").write_text(f"later{i}")
+    once = source_module.extracted
+
+    def then_cancel(*args):
+        out = once(*args)
+        calls.append(1)
+        if len(calls) > 1:
+            index._cancelled.set()
+        return out
+
+    for retain in (False, True):
+        calls: list = []
+        monkeypatch.setattr(source_module, "extracted", then_cancel)
+        assert index.build(rounds=3, retain=retain)["cancelled"]
+        monkeypatch.setattr(source_module, "extracted", once)
+        new = sum(index.search(f"later{i}").count() for i in range(12))
+        assert (0 < new < 12) if retain else new == 0
+        assert index.read("chunks").count() == 12
+    index.build()
+    assert all(index.search(f"later{i}").count() for i in range(12))
+
+
+def test_diacritics_fold(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    (root / "menu.txt").write_text("Caf\u00e9-Men\u00fc und cr\u00e8me br\u00fbl\u00e9e")
+    index = Index(spark, str(root), str(tmp_path / "index"))
+    index.build()
+    for q in ("cafe", "CAF\u00c9", "creme brulee"):
+        assert index.search(q).count() == 1
+
+
+def test_spreadsheet_documents(spark, tmp_path):
+    rows = [(1, ["Claim", "Amount"])] + [(i, [f"C{i}", f"{i}.50"]) for i in range(2, 5)]
+    text, chunks, structure = workbook.sheet_document({"Claims": [(n, [workbook.plain_cell(c) for c in cells]) for n, cells in rows]})
+    assert text.startswith("# Sheet: Claims\n\n# Header: Claim | Amount\n\n# Sheet: Claims\nRow: 2\nClaim: C2\nAmount: 2.5")
+    assert [c["row_number"] for c in chunks] == [2, 3, 4] and structure["row_count"] == 3 and structure["column_hints"] == ["Claim", "Amount"]
+    many = workbook.packed("S", [(i, f"# Sheet: S\nRow: {i}\nA: {'x' * 90}") for i in range(1, 1001)])
+    assert len(many) <= workbook.MAX_CHUNKS and many[0]["row_number"] == 1 and all(c["text"].startswith("# Sheet: S\n\n") for c in many)
+    assert workbook.header_names([" A |", "", "a"]) == ["A", "Column 2", "a (3)"] and workbook.plain_cell("3.1400000") == "3.14"
+    assert workbook.table_names([("b/Claims 2024.xlsx", "Sheet 1"), ("a/claims 2024.xlsx", "Sheet 1"), ("x.csv", "")]) == {("a/claims 2024.xlsx", "Sheet 1"): "claims_2024_xlsx__sheet_1", ("b/Claims 2024.xlsx", "Sheet 1"): "claims_2024_xlsx__sheet_1_2", ("x.csv", ""): "x_csv"}
+    root = tmp_path / "root"
+    root.mkdir()
+    xlsx(root / "p.xlsx", [(1, ["Policy", "Premium"]), (2, ["P1", 1000.5]), (3, ["P2", 2500])])
+    (root / "n.txt").write_text("note")
+    index = Index(spark, str(root), str(tmp_path / "index"))
+    index.build()
+    (doc,) = index.documents().where("structure is not null").collect()
+    assert doc.summary.startswith("Spreadsheet document p.xlsx with 2 rows across 1 sheets.") and doc.section_hints[1] == "Columns: Policy | Premium"
+    assert index.search("P2").first().text.endswith("Premium: 2500")
+    assert index.rows_matching("policy", ["p.xlsx"]).count() == 2
+    paths = workbook.resolved(index.documents(), None)
+    assert paths == ["p.xlsx"]
+    for bad in (["n.txt"], ["nothing.csv"]):
+        with pytest.raises(ValueError):
+            workbook.resolved(index.documents(), bad)
+    with pytest.raises(ValueError):
+        workbook.contained(str(root), "../index")
+    tables = Tables(spark, workbook.open_tables(spark, str(root), paths))
+    (name,) = tables.tables
+    assert tables.query(f"SELECT total(premium) AS t, typeof(premium) AS k FROM {name} GROUP BY 2", seconds=60).rows == [[3500.5, "real"]]
+
+
+@pytest.mark.parametrize(("sql", "want"), [
+    ("SELECT total(v), total(n) FILTER (WHERE n > 9), group_concat(s), group_concat(DISTINCT s, '; ') FROM t", [[7.5, 0.0, "Cx,a,b", "Cx; a; b"]]),
+    ("SELECT iif(n > 1, min(n, 5), max(n, 2, 3)), typeof(n), typeof(v), typeof(s) FROM t WHERE s = 'a'", [[2, "integer", "null", "text"]]),
+    ("SELECT strftime('%Y-%m %j %w %W %%', d), date(d, '+1 month'), datetime(d, 'start of month', '+36 hours'), time(d), julianday(d) FROM t WHERE s = 'b'", [["2024-01 031 3 05 %", "2024-03-02", "2024-01-02 12:00:00", "00:00:00", 2460340.5]]),
+    ("SELECT date(d), strftime('%Y', d) FROM t WHERE s = 'Cx'", [[None, None]]), ("SELECT n / 0, n % 0, sqrt(-1), CAST('x' AS INT) FROM t WHERE n = 1", [[None, None, None, None]]),
+    ("SELECT s FROM t WHERE s LIKE 'c%' OR glob('[a]', s) ORDER BY s", [["Cx"], ["a"]]), ("SELECT s FROM t WHERE s NOT LIKE 'A' AND like('B', s)", [["b"]]),
+    ("SELECT printf('%05.1f|%s', v, s), format('%d', n), trim('xxaxx', 'x'), ltrim('xa', 'x'), rtrim('ax', 'x') FROM t WHERE n = 1", [["005.0|b", "1", "a", "a", "a"]]),
+    ("SELECT s, total(v) OVER (ORDER BY s) FROM t ORDER BY s", [["Cx", 2.5], ["a", 2.5], ["b", 7.5]]), ("SELECT max(n), min(s), abs(-2), round(2.5), substr('abc', -2), instr('abc', 'c'), replace('aa', 'a', 'b'), ifnull(NULL, 1), sign(-3), power(2, 3) FROM t", [[2, "Cx", 2, "3", "bc", 3, "bb", 1, -1.0, 8.0]]),
+])
+def test_sql_surface(spark, sql, want):
+    """Every function that the sandbox lets through runs, as the embedded engine has it."""
+    t = spark.createDataFrame([(1, "b", "2024-01-31", 5.0), (2, "a", "2024-02-29 13:45:10", None), (None, "Cx", "bad", 2.5)], "n int, s string, d string, v double")
+    assert Tables(spark, {"t": t}).query(sql, seconds=60).rows == want
+
+
+def test_dimension_checks(spark):
+    v = spark.createDataFrame([("a", 2, [127, 0]), ("b", 3, [1, 2, 3])], "chunk_id string, dim int, codes array<tinyint>")
+    with pytest.raises(Exception, match="dimensions"):
+        search.code_top(v, [1.0, 0.0], 5).collect()
+    assert search.code_top(v.where("dim = 2"), [1.0, 0.0], 5).first().score == pytest.approx(1.0) and search.code_top(v, [0.0, 0.0], 5).count() == 0
+
+
 def test_extraction(tmp_path):
     assert files.extract("x.json", b'{"a": [1]}') == (json.dumps({"a": [1]}, indent=2), "text")
     assert files.extract("x.csv", b"a, b ,\n,,\nc,,d\n") == ("a | b\nc | d", "csv")
