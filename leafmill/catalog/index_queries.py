@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import chunking, ingest, search
 from ..plans import guard
+from ..session import shared_folder
 from ..streaming import watch
 from . import query, read
 from .scalar import file_path
@@ -283,14 +284,9 @@ def late_cancel_discard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder in the shared one."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/leafmill/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/leafmill/stream-{uuid.uuid4().hex}"
 
 
 @query(_SESSIONS, "stream_debounce")
@@ -312,10 +308,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of each key, merged by micro-batches into versions of a table."""
     folder = _scratch(spark)
     rows = _changes(spark, sf_dir, True).select("user_id", "event_id", "event_type", "ts")
-    running = watch.upsert_state(rows, folder, "user_id", "ts", "event_id", f"{folder}/state")
-    running.awaitTermination()
-    last = running.lastProgress["batchId"] if running.lastProgress else 0
-    return spark.read.schema(rows.schema).parquet(f"{folder}/v{last}").select("user_id", "event_id", "event_type")
+    watch.upsert_state(rows, f"{folder}/table", "user_id", "ts", "event_id", f"{folder}/state").awaitTermination()
+    return watch.read_state(spark, f"{folder}/table", rows.schema).select("user_id", "event_id", "event_type")
 
 
 # Sandbox --------------------------------------------------------------------------------------------

@@ -25,12 +25,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import answers, chunking, ingest, search
 from ..sources import files as source
 from ..sources.filters import Rules
+from ..sources.legacy import legacy_tables
 
 VERSION = 5
 #: Segments that a build merges into one.
@@ -371,6 +373,20 @@ class Index:
         row = self.read("files", m).agg(F.count("*"), F.count_if(F.col("status") == "indexed"), F.count_if(F.col("status") == "failed"), F.sum("chunks")).first()
         return {"version": VERSION, "number": m["number"], "mode": m["mode"], "model": m["model"], "files": row[0], "indexed": row[1], "failed": row[2], "chunks": row[3] or 0}
 
+    def import_legacy(self, folder: str) -> dict:
+        """Take over an index of an older JSON format: its files, documents, chunks and vectors, so that nothing is extracted or embedded again."""
+        tables, settings = legacy_tables(self.spark, folder)
+        tables = {n: df.toDF(*T._parse_datatype_string(SCHEMAS[n]).fieldNames()) for n, df in tables.items()}
+        chunks = tables["chunks"]
+        tables["postings"] = search.postings(chunks).join(chunks.select("chunk_id", "relative_path"), "chunk_id").select("term", "chunk_id", "relative_path", "tf", "dl")
+        before = self.manifest()
+        number = max(before["segments"], default=0) + 1
+        self._write(number, tables)
+        manifest = before | settings | {"version": str(VERSION), "segments": [number], "number": before["number"] + 1}
+        self._commit(manifest)
+        self._drop_unused({number, *before["segments"]})
+        return manifest
+
     def missing_documents(self) -> DataFrame:
         return ingest.missing(self.read("files"), self.read("documents"), "relative_path")
 

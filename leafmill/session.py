@@ -24,3 +24,18 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is not set, a local session gets one of
+    its own; on a cluster that is an error, since executors would write to their own disks."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
+        base = "file://" + tempfile.mkdtemp(prefix="leafmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

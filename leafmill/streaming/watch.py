@@ -5,9 +5,9 @@ All take a streaming or a batch DataFrame; the windows are the same expressions
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -56,14 +56,51 @@ def synchronise(changes: DataFrame, sync: Callable[[list], None], key: str, chec
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+#: Parts of a state table; a batch rewrites those that its keys fall into.
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, list[int]]:
+    """Batches that wrote each bucket, in order; only finished ones, and only those before batch ``below``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found: dict[int, list[int]] = {}
+    for done in fs.globStatus(path(f"{folder}/v*/_SUCCESS")) or ():
+        version = int(done.getPath().getParent().getName()[1:])
+        if below is None or version < below:
+            for part in fs.globStatus(path(f"{folder}/v{version}/bucket=*")) or ():
+                found.setdefault(int(part.getPath().getName().removeprefix("bucket=")), []).append(version)
+    return {b: sorted(v) for b, v in found.items()}
+
+
+def read_state(spark: SparkSession, folder: str, schema, below: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+    """The newest row of each key, from the newest version of each bucket."""
+    newest = {b: v[-1] for b, v in _versions(spark, folder, below).items() if buckets is None or b in buckets}
+    return spark.read.schema(schema).parquet(*[f"{folder}/v{v}/bucket={b}" for b, v in newest.items()]) if newest else spark.createDataFrame([], schema)
+
+
 def upsert_state(changes: DataFrame, folder: str, key: str, at: str, tie: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest row of each key under ``folder``: every micro-batch merges into the next version of the table.
+    """Keeps the newest row of each key under ``folder``, which ``read_state`` reads.
 
-    A version is named by its batch, so a repeated batch writes the same version again; readers take the newest.
+    A key belongs to a bucket. A micro-batch merges into the buckets that its keys fall into and writes these as a version
+    named by the batch, so that a repeated batch writes the same again. Of a bucket's older versions one stays, for readers.
     """
 
     def merge(df: DataFrame, n: int) -> None:
-        before = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/v{n - 1}") if n else df.limit(0)
-        latest(before.unionByName(df), key, at, tie).write.mode("overwrite").parquet(f"{folder}/v{n}")
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+        touched = [r[0] for r in df.select(bucket).distinct().collect()]  # BUCKETS at most
+        merged = latest(read_state(spark, folder, df.schema, n, touched).unionByName(df), key, at, tie)
+        merged.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v{n}")
+        for b, versions in _versions(spark, folder, n + 1).items():
+            for old in versions[:-2]:
+                fs.delete(path(f"{folder}/v{old}/bucket={b}"), True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def in_plan_order(results: DataFrame, plan: DataFrame, key: str, order: str) -> DataFrame:
+    """Results with the place that the plan gives them, in that order, in whatever order they were made."""
+    return results.join(plan.select(key, order), key).orderBy(order)

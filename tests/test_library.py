@@ -248,6 +248,36 @@ def test_segments_and_cancel(spark, tmp_path, monkeypatch):
     assert all(index.search(f"later{i}").count() for i in range(12))
 
 
+@pytest.mark.parametrize("version", [2, 3])
+def test_older_indexes_are_taken_over(spark, tmp_path, version, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    root, old = tmp_path / "root", tmp_path / "old"
+    root.mkdir()
+    old.mkdir()
+    texts, sha = {"a.txt": "solar panels", "b.txt": "wind turbines"}, lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for name, t in texts.items():
+        (root / name).write_text(t)
+    at = {r.relative_path: (r.size, r.mtime) for r in source_module.discover(spark, str(root)).collect()}
+    files_ = [{"relativePath": n, "status": "indexed", "size": at[n][0], "mtime": at[n][1], "parser": "text", "chunks": 1, "contentHash": sha(t)} for n, t in texts.items()]
+    manifest = {"version": version, "rootPath": str(root), "files": files_, "embeddingDimension": 16, "embeddingModelKey": "p|||"} | ({"retrievalMode": "vector", "indexEngine": "numpy-cosine"} if version == 3 else {})
+    (old / "manifest.json").write_text(json.dumps(manifest))
+    (old / "documents.json").write_text(json.dumps([{"relativePath": n, "documentId": n, "parser": "text", "summary": t, "sectionHints": []} for n, t in texts.items()]))
+    (old / "chunk_metadata.jsonl").write_text("\n".join(json.dumps({"label": i, "chunkId": f"{n}:0:legacy{i}", "relativePath": n, "snippet": t, "text": t, "chunkHash": sha(t)}) for i, (n, t) in enumerate(texts.items())))
+    np.save(old / "vectors.npy", np.array(index_module.hashed_words(list(texts.values()), 16), np.float32))
+    embed = index_module.Embedder(lambda texts: index_module.hashed_words(texts, 16), "p|||")
+    index = Index(spark, str(root), str(tmp_path / "index"), embedder=embed)
+    assert index.import_legacy(str(old))["mode"] == "vector"
+    monkeypatch.setattr(source_module, "document", lambda *a: pytest.fail("extracted again"))
+    assert index.build(mode="vector")["unchanged"] == 2 and [r.summary for r in index.documents().collect()] == ["solar panels", "wind turbines"]
+    assert index.search("wind turbines", 1, mode="vector").first().chunk_id == "b.txt:0:legacy1" and index.search("panels").first().chunk_id == "a.txt:0:legacy0"
+    (old / "manifest.json").write_text('{"version": 9}')
+    with pytest.raises(ValueError, match="Unsupported index version"):
+        index.import_legacy(str(old))
+
+
 def test_diacritics_fold(spark, tmp_path):
     root = tmp_path / "root"
     root.mkdir()
@@ -347,3 +377,46 @@ def test_synchronise(spark, tmp_path):
     changes = spark.readStream.schema("channel string").json(str(tmp_path / "in"))
     watch.synchronise(changes, calls.append, "channel", str(tmp_path / "state")).awaitTermination()
     assert sorted({c for call in calls for c in call}) == ["a", "b"]
+
+
+def event_files(folder, batches):
+    folder.mkdir()
+    for i, rows in enumerate(batches):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps({"channel": c, "at": f"2024-01-01 {t}", "n": n}) for c, t, n in rows))
+
+
+def test_late_rows_do_not_reopen_a_burst(spark, tmp_path):
+    """With a watermark a burst is closed for good: a row that comes too late changes nothing."""
+    event_files(tmp_path / "in", [[("a", "10:00:00", 1), ("a", "10:00:02", 2)], [("a", "10:10:00", 3)], [("a", "10:20:00", 4)], [("a", "10:00:01", 5), ("b", "10:20:30", 6)], [("a", "10:50:00", 7)]])
+    rows = spark.readStream.schema("channel string, at timestamp, n int").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(tmp_path / "in"))
+    for i, f in enumerate(sorted((tmp_path / "in").iterdir())):
+        import os
+
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    out = tmp_path / "out"
+    bursts = watch.debounced(rows, "channel", "at", "4 seconds", "1 minute")
+    bursts.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.channel, r.start.strftime("%H:%M:%S"), r.changes) for r in spark.read.parquet(str(out)).collect())
+    assert got[:2] == [("a", "10:00:00", 2), ("a", "10:10:00", 1)] and all(g[1] != "10:00:01" for g in got)
+
+
+def test_state_is_merged_by_bucket(spark, tmp_path):
+    event_files(tmp_path / "in", [[(f"k{i}", "10:00:00", i) for i in range(20)], [("k3", "11:00:00", 99)], [("k3", "12:00:00", 100), ("k4", "09:00:00", -1)]])
+    schema = "channel string, at timestamp, n int"
+    for i, f in enumerate(sorted((tmp_path / "in").iterdir())):
+        import os
+
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    table = str(tmp_path / "table")
+    watch.upsert_state(rows, table, "channel", "at", "n", str(tmp_path / "state")).awaitTermination()
+    got = {r.channel: r.n for r in watch.read_state(spark, table, rows.schema).collect()}
+    assert got == {f"k{i}": i for i in range(20)} | {"k3": 100}
+    versions = watch._versions(spark, table)
+    assert max(map(len, versions.values())) == 2 and sum(len(v) > 1 for v in versions.values()) <= 2
+
+
+def test_results_come_in_plan_order(spark):
+    plan = spark.createDataFrame([(f"f{i}", 9 - i) for i in range(10)], "path string, place int")
+    done = spark.createDataFrame([(f"f{i}",) for i in (3, 7, 1)], "path string")
+    assert [r.path for r in watch.in_plan_order(done, plan, "path", "place").collect()] == ["f7", "f3", "f1"]
