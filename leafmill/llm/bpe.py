@@ -11,7 +11,9 @@ taken back. Positions from which no encoding goes on are marked, so each is left
 depends on the two tokens and is memoised. The encoding in which all neighbours are compatible is the one
 that merging by rank gives.
 
-Null text encodes to no ids (and decodes to no bytes), like the empty text.
+Defined results: null text encodes to no ids (and decodes to no bytes), like the empty text. There are no ties: the encoding is
+unique. Repeated rows get equal ids; an empty table gives no rows. Only the id and the text are read, so further columns
+may have any name. Texts of any length are taken whole, in linear time and with memory in proportion to the text.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ sources give without iterating.
 Each document is then taken floor(rate) times, plus once more with the probability of the fraction. The draw
 is a hash of the document's id and a seed, so that reruns agree and no order or partition matters.
 
-Null sources are one source of their own, the last. Null text has size 0 and is taken 0 words. Rows with the
-same id draw alike. An empty table gives no rows.
+Defined results: null sources are one source of their own, the last. Null and empty text has size 0 and is taken 0 words. Rows
+with the same id draw alike, repeated rows among them. Sources that fill up at the same level are told apart by name. An empty
+table gives no rows. The rows of the mixture have the columns of the table, whatever their names. Texts of any length
+are counted whole.
 """
 
 from __future__ import annotations

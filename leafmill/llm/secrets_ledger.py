@@ -10,8 +10,10 @@ A rule is a pattern whose matches are taken leftmost and non-overlapping; a matc
 is long enough. Spans count code points, end exclusive: they follow from the lengths of the matches
 (``regexp_extract_all``) and of the text between them (``split``).
 
-Null text counts as empty and has no findings. Repeated rows, and the same content at other paths, all get
-the findings of their blob. Null paths are kept. An empty table gives no rows.
+Defined results: null text counts as empty and has no findings. Repeated rows, and the same content at other paths, all get
+the findings of their blob. Of matches at one place the longer pattern of a rule stays, as its expression says; spans of different
+rules may overlap, and those with one start come in the order of the rules. Null paths are kept. An empty table gives no rows.
+Only path, version and text are read, so further columns may have any name. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
