@@ -154,7 +154,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("doc_id", tx.file_name(p).alias("name"), tx.extension(p).alias("ext"), tx.file_kind(p).alias("kind"))
 
 
-@query("SELECT doc_id, CASE WHEN u = '' THEN s || ' B' WHEN v >= 10 THEN CAST(floor(v + 0.5::DOUBLE) AS BIGINT) || u ELSE printf('%.1f', v) || u END AS size FROM (SELECT doc_id, s, CASE WHEN s < 1024 THEN '' WHEN s < 1048576 THEN ' KB' ELSE ' MB' END AS u, CASE WHEN s < 1048576 THEN s / 1024.0::DOUBLE ELSE s / 1048576.0::DOUBLE END AS v FROM (SELECT doc_id, n_chars * 4 AS s FROM documents))")
+@query("SELECT doc_id, CASE WHEN u = '' THEN s || ' B' WHEN v >= 10 THEN CAST(floor(v + 0.5::DOUBLE) AS BIGINT) || u ELSE printf('%.1f', round(v, 1)) || u END AS size FROM (SELECT doc_id, s, CASE WHEN s < 1024 THEN '' WHEN s < 1048576 THEN ' KB' ELSE ' MB' END AS u, CASE WHEN s < 1048576 THEN s / 1024.0::DOUBLE ELSE s / 1048576.0::DOUBLE END AS v FROM (SELECT doc_id, n_chars * 4 AS s FROM documents))")
 def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tx.format_bytes(F.col("n_chars") * 4).alias("size"))
 
