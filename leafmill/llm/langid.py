@@ -32,6 +32,8 @@ from .common import mix64, pieces, rows, written
 
 #: Hashed features; labelled documents of each language that the weights are fitted on at most.
 FEATURES, PER_LANGUAGE = 1 << 14, 500
+#: Parts that a language's ids are ranked in.
+PARTS = 64
 #: Passes over them, and updates that there are in any case (more passes for small samples); the largest weight of a language.
 PASSES, UPDATES, MOST_WEIGHT = 3, 3000, 20.0
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-3, 1e-3
@@ -191,8 +193,12 @@ def sample(labelled: DataFrame, most: int | None = None) -> DataFrame:
     most = most or PER_LANGUAGE
     hashed = labelled.select("lang", "doc_id", F.xxhash64("text").alias("th"))
     ids = hashed.groupBy("lang", "doc_id").agg(F.min("th").alias("th")).withColumn("at", F.xxhash64("doc_id"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))  # Spark keeps ``most`` rows a task before it shuffles
-    chosen = written(ids.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"), "chosen")
+    # first within parts of a language, so that no task ranks all ids of one: what is left is PARTS * most ids a language at most
+    ids = ids.withColumn("part", F.pmod("at", F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("at", "doc_id"))
+        ids = ids.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    chosen = written(ids.drop("part"), "chosen")
     texts = labelled.withColumn("th", F.xxhash64("text")).join(chosen, ["lang", "doc_id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
