@@ -5,11 +5,7 @@ numpy from labelled spans, adds what no rule of this module finds: the base kind
 com``, numbers in words, a card inside a longer run of digits), and the further kinds ``ssn``, ``iban``, ``name``,
 ``address``, ``handle`` and ``birth``.
 
-*First layer.* A linear model over character trigrams, whose weights are log-odds counted in the same labelled spans, scores
-the whole of every text. Where its sum over ``SPOT`` code points stays below ``LEAST``, which next to no labelled span does,
-the label is O; what is left, with ``MARGIN`` code points on either side, goes through the network. Without it the network
-alone costs three times as much for prose (see README).
-*Windows.* Windows of ``WINDOW`` code points cover what goes through the network; each overlaps the next by ``OVERLAP``.
+*Windows.* The network reads the whole of every text, in windows of ``WINDOW`` code points; each overlaps the next by ``OVERLAP``.
 *Reconciling.* Where windows overlap, their emission scores are averaged with weights that fall off towards a window's
 ends, and one Viterbi pass over the text decodes them, so that a span is never cut at a window's border. Where the label O
 leads by more than all transitions together could make up for, the best path surely passes through it; the pass
@@ -25,10 +21,14 @@ id and the text are read, so further columns may have any name.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import inspect
+import itertools
 import pickle
 import random
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +44,11 @@ BASE = KINDS[:4]
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, OVERLAP = 512, 32
 HIDDEN = 16
-#: The first layer: hashed trigrams, code points that are summed, least sum, and what goes along on either side.
-TRIGRAMS, SPOT, LEAST, MARGIN = 1 << 16, 14, 5.0, 32
 #: Taken from the score of a span's first label when texts are decoded: clean text is far more common there than among the
 #: labelled sentences.
-CAUTION = 1.5
+CAUTION = 4.0
 #: Labelled sentences for training, and passes over them; code points of a training window.
-SENTENCES, PASSES, BATCH, LESSON = 3000, 10, 128, 96
+SENTENCES, PASSES, BATCH, LESSON = 6000, 10, 128, 96
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -99,19 +97,11 @@ def classes(text: str) -> np.ndarray:
 N_CLASSES = 98
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hashed trigram of input classes that ends at each code point."""
-    x = np.r_[0, 0, classes(text)]
-    return (x[2:] * 9973 + x[1:-1] * 799_819 + x[:-2] * 655_373) % TRIGRAMS
-
-
-def _gate(x: np.ndarray) -> np.ndarray:
-    """The gates' sigmoid in its piecewise linear form, which costs a fraction of the exact one."""
-    return np.clip(0.25 * x + 0.5, 0.0, 1.0)
-
-
 class Tagger:
-    """A table of input weights, one LSTM in each direction, linear emissions and CRF transitions; float32."""
+    """A table of input weights, one LSTM in each direction, linear emissions and CRF transitions; float32.
+
+    Sigmoid and tanh are taken in their piecewise linear forms, which cost a fraction of the exact ones.
+    """
 
     def __init__(self, seed: int = 0):
         r = np.random.default_rng(seed)
@@ -128,24 +118,27 @@ class Tagger:
     def _lstm(self, ids: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         steps, n = ids.shape
         table, wh, size = self.p[f"{d}x"], self.p[f"{d}h"], HIDDEN
-        h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
+        # a gate is clip(0.25 x + 0.5, 0, 1) and a candidate 2 clip(0.5 x + 0.5, 0, 1) - 1: scaled beforehand, one clip serves all
+        scaled = np.repeat(np.array([0.25, 0.25, 0.25, 0.5], np.float32), size)
+        table, wh = table * scaled + np.float32(0.5), wh * scaled
+        h, c, new = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32), np.empty((n, size), np.float32)
         a, x = np.empty((n, 4 * size), np.float32), np.empty((n, 4 * size), np.float32)
         out = np.empty((steps, n, size), np.float32)
-        gates, g = a[:, : 3 * size], a[:, 3 * size :]
+        i, f, o, g = (a[:, k * size : (k + 1) * size] for k in range(4))
         for t in range(steps):
             np.matmul(h, wh, out=a)
             a += np.take(table, ids[t], axis=0, out=x, mode="clip")
-            gates *= np.float32(0.25)
-            gates += np.float32(0.5)
-            np.clip(gates, 0.0, 1.0, out=gates)
-            np.tanh(g, out=g)
+            np.clip(a, 0.0, 1.0, out=a)
             before = c.copy() if keep is not None else None
-            c *= gates[:, size : 2 * size]
-            c += gates[:, :size] * g
-            tc = np.tanh(c, out=out[t])
+            np.multiply(g, 2.0, out=new)
+            new -= 1.0
+            new *= i
+            c *= f
+            c += new
+            tc = np.clip(c, -1.0, 1.0, out=out[t])
             if keep is not None:
-                keep.append((gates.copy(), g.copy(), before, tc.copy(), h))
-            tc *= gates[:, 2 * size :]
+                keep.append((a[:, : 3 * size].copy(), 2 * g - 1, before, tc.copy(), h))
+            tc *= o
             h = tc
         return out
 
@@ -200,11 +193,11 @@ class Tagger:
                 gates, g, before, tc, h = keep[d][t]
                 i, f, o = np.split(gates, 3, 1)
                 dh = dh + part[t]
-                dc = dc + dh * o * (1 - tc * tc)
+                dc = dc + dh * o * (np.abs(tc) < 1)
                 da = das[t]
                 da[:, :size], da[:, size : 2 * size], da[:, 2 * size : 3 * size] = dc * g, dc * before, dh * tc
                 da[:, : 3 * size] *= 0.25 * ((gates > 0) & (gates < 1))
-                da[:, 3 * size :] = dc * i * (1 - g * g)
+                da[:, 3 * size :] = dc * i * (np.abs(g) < 1)
                 gh += h.T @ da
                 dh, dc = da @ wh.T, dc * f
             by_class = np.zeros((seen.size, N_CLASSES), np.float32)
@@ -234,31 +227,6 @@ class Tagger:
             losses.append(total / len(ids))
         return losses
 
-    def count(self, sentences: list[tuple[str, list[tuple[str, int, int]]]]) -> None:
-        """Weights of the first layer: log-odds of a trigram to end within a span or in the eight code points before it."""
-        inside, outside = np.zeros(TRIGRAMS), np.zeros(TRIGRAMS)
-        for text, spans in sentences:
-            at, near = trigrams(text), np.zeros(len(text), bool)
-            for _, a, b in spans:
-                near[max(0, a - 8) : b] = True
-            np.add.at(inside, at[near], 1)
-            np.add.at(outside, at[~near], 1)
-        odds = np.log((inside + 0.5) / max(1.0, inside.sum())) - np.log((outside + 0.5) / max(1.0, outside.sum()))
-        self.p["first"] = np.where(inside + outside > 0, odds, 0.3).astype(np.float32)  # unseen ones count slightly for a span
-
-    def stretches(self, text: str) -> list[tuple[int, int]]:
-        """Parts of a text that the first layer leaves to the network; all of it where there is no first layer."""
-        if "first" not in self.p:
-            return [(0, len(text))] if text else []
-        sums = np.r_[0.0, np.cumsum(self.p["first"][trigrams(text)], dtype=np.float64)]
-        spot = min(SPOT, len(text))
-        hit = np.flatnonzero(sums[spot:] - sums[: len(sums) - spot] > LEAST) if spot else np.zeros(0, np.int64)
-        if not len(hit):
-            return []
-        first = np.flatnonzero(np.r_[True, np.diff(hit) > spot + 2 * MARGIN])
-        last = np.r_[first[1:] - 1, len(hit) - 1]
-        return [(max(0, a), min(len(text), b)) for a, b in zip((hit[first] - MARGIN).tolist(), (hit[last] + spot + MARGIN).tolist())]
-
     def viterbi(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """Best labels for the emissions of each stretch (length x labels), all stretches step by step together."""
         trans = np.where(self.allowed, self.p["trans"], -1e4).astype(np.float32).T.copy()  # to x from
@@ -336,7 +304,7 @@ class Tagger:
 FIRST = "Anna Peter Maria John Laura Thomas Julia David Sofia Martin Elena Paul Carmen Lukas Emma Hans Claire Pablo Nina Robert Ines Oliver Marta George Sarah Jean Karl Lucia Mark Alice".split()
 LAST = "Miller Schmidt Garcia Dupont Brown Weber Lopez Martin Fischer Moreau Jones Becker Ruiz Bernard Wilson Koch Vidal Petit Clark Wolf Serra Roux Adams Braun Costa Girard Evans Keller Blanco Fournier".split()
 CUES = {
-    "name": "my name is {}|name: {}|Mr. {}|Mrs. {}|Dr. {}|ask for {}|signed, {}|contact {}|ich heiße {}|Frau {}|Herr {}|je m'appelle {}|Madame {}|M. {}|me llamo {}|señora {}|customer: {}|patient {}|{} wrote:|regards, {}|from: {}|sincerely, {}".split("|"),
+    "name": "my name is {}|name: {}|Mr. {}|Mrs. {}|Dr. {}|ask for {}|signed, {}|contact {}|ich heiße {}|Frau {}|Herr {}|je m'appelle {}|Madame {}|M. {}|me llamo {}|señora {}|customer: {}|patient {}|{} wrote:|regards, {}|from: {}|sincerely, {}|dear {},|hi {},|hello {}!|Sehr geehrte Frau {}|Sehr geehrter Herr {}|Liebe {},|Mit freundlichen Grüßen {}|Viele Grüße, {}|Cordialement, {}|Bonjour {},|chère {}|Estimado {}|Saludos, {}|Atentamente, {}|{} told us|{} said that|I met {}|spoke with {}|written by {}|thanks to {}|invoice for {}|{} lives in|{} called|our colleague {}|habló con {}|avec {}|mit {} gesprochen|{} hat angerufen|employee: {}|{} signed the form".split("|"),
     "address": "lives at {}|address: {}|ship to {}|moved to {}|wohnt in der {}|Adresse: {}|habite au {}|vive en {}|send it to {}|home address {}|delivered to {}|office at {}".split("|"),
     "handle": "follow {}|twitter: {}|find me as {}|dm {}|instagram {}|telegram: {}|{} on github|ping {}|my handle is {}|user {}".split("|"),
     "birth": "born on {}|date of birth: {}|dob {}|geboren am {}|née le {}|nacido el {}|birthday: {}|DOB: {}|birth date {}|born {}".split("|"),
@@ -384,8 +352,9 @@ def labelled_sentences(n: int = SENTENCES, seed: int = 0) -> list[tuple[str, lis
         return " ".join(word() + (tail or pick(["", "", "", "", "", ",", ".", ":"])) for _ in range(r.randint(low, high)))
 
     def person() -> str:
-        first = pick(FIRST) if r.random() < 0.6 else plain(2).capitalize()
-        last = pick(LAST) if r.random() < 0.6 else plain(2).capitalize()
+        other = lambda: (plain(2) if r.random() < 0.4 else made(2, 3)).capitalize()
+        first = pick(FIRST) if r.random() < 0.5 else other()
+        last = pick(LAST) if r.random() < 0.5 else other()
         return pick(["{f} {l}", "{f} {l}", "{f} {l}", "{f} {i}. {l}", "{l}", "{f} {l}-{m}"]).format(f=first, l=last, i=pick("ABCDEFGHJKLMPRST"), m=pick(LAST))
 
     def card() -> str:
@@ -474,6 +443,11 @@ def training_windows(sentences: list[tuple[str, list[tuple[str, int, int]]]]) ->
     return x, y
 
 
+def _source() -> bytes:
+    """The code that weights depend on, so that changed code trains anew."""
+    return "".join(map(inspect.getsource, (classes, Tagger, labelled_sentences, training_windows))).encode()
+
+
 _TRAINED: dict[tuple, Tagger] = {}
 
 
@@ -483,20 +457,24 @@ def trained(spark: SparkSession, n: int | None = None, seed: int = 0) -> Tagger:
     The weights are a table there, named by what they depend on.
     """
     n = n or SENTENCES
-    key = hashlib.sha256(repr((n, seed, PASSES, BATCH, LESSON, HIDDEN, KINDS, TRIGRAMS, labelled_sentences(20, seed))).encode()).hexdigest()[:16]
+    key = hashlib.sha256(repr((n, seed, PASSES, BATCH, LESSON, HIDDEN, KINDS, labelled_sentences(20, seed))).encode() + _source()).hexdigest()[:16]
     if (spark.sparkContext.applicationId, key) not in _TRAINED:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _ in batches:
                 tagger, sentences = Tagger(seed), labelled_sentences(n, seed)
                 tagger.fit(*training_windows(sentences))
-                tagger.count(sentences)
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger.p)], pa.binary())], names=["p"])
 
         path = f"{shared_dir(spark)}/leafmill/models/tagger-{key}"
         there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there):
-            spark.range(0, 1, 1, 1).mapInArrow(run, "p binary").write.mode("overwrite").parquet(path)
+            # under a name of its own first: of two applications that train at once, one gives its table the name, and both have equal weights
+            made = f"{path}-{uuid.uuid4().hex}"
+            spark.range(0, 1, 1, 1).mapInArrow(run, "p binary").write.parquet(made)
+            fs, as_path = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), spark._jvm.org.apache.hadoop.fs.Path
+            if fs.exists(there) or not fs.rename(as_path(made), as_path(path)):
+                fs.delete(as_path(made), True)
         tagger = Tagger(seed)
         tagger.p = pickle.loads(spark.read.schema("p binary").parquet(path).first()[0])
         _TRAINED[spark.sparkContext.applicationId, key] = tagger
@@ -548,10 +526,9 @@ def decoded(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     parts: list[tuple[int, int, int, int, int]] = []  # text, the part's ends, and those between which its spans start
     for k, text in enumerate(texts):
-        for a, b in tagger.stretches(text):
-            for at in range(a, b, PART):
-                end = at + PART if at + PART < b else b
-                parts.append((k, max(a, at - EDGE), min(b, end + EDGE), at, end))
+        for at in range(0, len(text), PART):
+            end = min(at + PART, len(text))
+            parts.append((k, max(0, at - EDGE), min(len(text), end + EDGE), at, end))
     for (k, first, _, at, end), found in zip(parts, decoded_parts(tagger, [texts[k][a:b] for k, a, b, _, _ in parts])):
         out[k] += [(kind, a + first, b + first) for kind, a, b in found if at <= a + first < end]
     return out
@@ -585,12 +562,15 @@ def checks(kind: str, value: str) -> bool:
 def added(text: str, base: list[tuple[str, int, int]], found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Of the decoded spans, those that overlap no base span and pass their check; ends trimmed of white space and dots."""
     taken, out = sorted((a, b) for _, a, b in base), []
+    starts = [a for a, _ in taken]
+    reach = list(itertools.accumulate((b for _, b in taken), max))  # the furthest end of all base spans up to each
     for kind, a, b in found:
         while a < b and text[a] in " .,\n\t":
             a += 1
         while b > a and text[b - 1] in " .,\n\t":
             b -= 1
-        if a < b and checks(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
+        before = bisect.bisect_left(starts, b)  # base spans that start before the end
+        if a < b and checks(kind, text[a:b]) and not (before and reach[before - 1] > a):
             out.append((kind, a, b))
     return out
 

@@ -294,7 +294,27 @@ def test_tagger_on_held_out_sentences(spark):
         rules, model, both = rules + sum(hit(base, w) for w in want), model + sum(hit(found, w) for w in want), both + len(want)
         false += sum(not any(a < y and x < b for _, x, y in want) for _, a, b in found)
     print(f"by hand: rules {rules}, with the model {model} of {both}, elsewhere {false}")
-    assert rules <= 0.1 * both and model >= 0.3 * both and false <= 3
+    assert rules <= 0.1 * both and model >= 0.45 * both and false <= 1
+
+
+def test_the_network_reads_every_code_point(monkeypatch):
+    read = []
+    monkeypatch.setattr(pii, "decoded_parts", lambda tagger, texts: read.extend(texts) or [[] for _ in texts])
+    texts = ["please get in touch through jonas.berg at posteo dot se about the flat", "", "x", "ab " * 100_000]
+    pii.decoded(pii.Tagger(), texts)
+    assert sum(map(len, read)) >= sum(map(len, texts)) and "".join(read[:2]) == texts[0] + "x"
+
+
+def test_many_spans_in_one_text():
+    """Base and decoded spans are told apart in n log n steps, also where base spans of several kinds overlap."""
+    text = "a.b@host.example.com 10.0.0.1 " * 40_000
+    base = pii.base_spans(text)
+    assert len(base) == 80_000
+    found = [("name", i * 30 + 20, i * 30 + 22) for i in range(40_000)] + [("name", 3, 8)]
+    assert pii.added(text, base, found) == []
+    text, base = "0123456789abcdef" * 10, [("ip", 0, 100), ("card", 5, 8), ("phone", 120, 130)]
+    spans = [("name", a, a + 4) for a in range(0, 150, 3)]
+    assert pii.added(text, base, spans) == [s for s in spans if not any(a < s[2] and s[1] < b for _, a, b in base)]
 
 
 def test_windows_do_not_cut_spans(spark):
