@@ -53,7 +53,7 @@ def statistics(lengths_: DataFrame) -> DataFrame:
 
 
 def bm25_scores(posting_rows: DataFrame, stats: DataFrame, words: Sequence[str]) -> DataFrame:
-    """``chunk_id, text_score`` of the chunks that hold any of the words (Okapi BM25, higher is better).
+    """``chunk_id, text_score`` of the chunks that hold any of the words (Okapi BM25, higher is better), with their path if postings have it.
 
     A term that half of the chunks or more hold has the floor as its weight. Statistics are the whole corpus's.
     """
@@ -63,7 +63,8 @@ def bm25_scores(posting_rows: DataFrame, stats: DataFrame, words: Sequence[str])
     idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))), F.lit(IDF_FLOOR))
     tf = F.col("tf").cast("double")
     score = idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    return weighed.groupBy("chunk_id").agg(F.sum(score).alias("text_score"))
+    path = [F.first("relative_path").alias("relative_path")] if "relative_path" in found.columns else []
+    return weighed.groupBy("chunk_id").agg(F.sum(score).alias("text_score"), *path)
 
 
 def path_bonus(path: Column, words: Sequence[str]) -> Column:
@@ -77,12 +78,12 @@ def visual_bonus(has_visual: Column, words: Sequence[str]) -> Column:
     return F.when(has_visual, F.lit(VISUAL_BONUS)).otherwise(0.0) if VISUAL_TERMS & set(words) else F.lit(0.0)
 
 
-def hybrid(chunks: DataFrame, posting_rows: DataFrame, stats: DataFrame, query: str, k: int = 8, document_ids: DataFrame | None = None) -> DataFrame:
-    """The best ``k`` chunks by text score plus path and visual bonus; ties by chunk id.
+def ranked(chunks: DataFrame, posting_rows: DataFrame, stats: DataFrame, query: str, k: int | None = 8, document_ids: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """``chunk_id, score`` of the best ``k`` chunks (None: of all) by text score plus path and visual bonus; ties by chunk id.
 
-    ``chunks`` has chunk_id, relative_path, has_visual and text. A filter on documents applies before ranking
-    and leaves the corpus statistics alone. Chunks that only a bonus brings in compete too; a score must be
-    positive. Ids are ranked first and the texts of the winners joined last.
+    ``chunks`` has chunk_id, relative_path and has_visual; its texts are not read. ``files`` has each path once, if there is such a
+    table. A filter on documents applies before ranking and leaves the corpus statistics alone. Chunks that only a bonus brings in
+    compete too; a score must be positive.
     """
     words = query_words(query)
     wanted = document_ids.select("relative_path").distinct() if document_ids is not None else None
@@ -91,13 +92,29 @@ def hybrid(chunks: DataFrame, posting_rows: DataFrame, stats: DataFrame, query:
     # candidates: the best hits of the postings, and the chunks that a bonus brings in; no other chunk is joined
     hits = bm25_scores(posting_rows, stats, words)
     if wanted is not None:
-        hits = hits.join(of(narrow).select("chunk_id"), "chunk_id", "left_semi")
-    hits = hits.orderBy(F.desc("text_score"), "chunk_id").limit(max(TEXT_CANDIDATES, 25 * k))
-    bonus = path_bonus(F.col("relative_path"), words) + visual_bonus(F.col("has_visual"), words)
-    lifted = of(narrow.withColumn("bonus", bonus).where("bonus > 0")).select("chunk_id", "bonus")
+        hits = of(hits) if "relative_path" in hits.columns else hits.join(of(narrow).select("chunk_id"), "chunk_id", "left_semi")
+    hits = hits.select("chunk_id", "text_score")
+    if k is not None:
+        hits = hits.orderBy(F.desc("text_score"), "chunk_id").limit(max(TEXT_CANDIDATES, 25 * k))
+    by_path, by_visual = path_bonus(F.col("relative_path"), words), visual_bonus(F.col("has_visual"), words)
+    if files is None:
+        lifted = of(narrow.withColumn("bonus", by_path + by_visual).where("bonus > 0"))
+    elif VISUAL_TERMS & set(words):  # a path's bonus is found once for each path, not for each chunk
+        paths = of(files.select("relative_path").withColumn("p", by_path).where("p > 0"))
+        seen = of(narrow.where("has_visual")).join(paths, "relative_path", "left_anti").select("chunk_id", by_visual.alias("bonus"))
+        lifted = narrow.join(paths, "relative_path").select("chunk_id", (F.col("p") + by_visual).alias("bonus")).unionByName(seen)
+    else:
+        paths = of(files.select("relative_path").withColumn("bonus", by_path).where("bonus > 0"))
+        lifted = narrow.join(paths, "relative_path")
     score = F.coalesce("text_score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
-    best = hits.join(lifted, "chunk_id", "full_outer").select("chunk_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(k)
-    return chunks.join(F.broadcast(best), "chunk_id").select("chunk_id", "relative_path", "score", tx.snippet(F.col("text")).alias("snippet"), "text").orderBy(F.desc("score"), "chunk_id")
+    best = hits.join(lifted.select("chunk_id", "bonus"), "chunk_id", "full_outer").select("chunk_id", score.alias("score")).where("score > 0")
+    return best if k is None else best.orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
+def hybrid(chunks: DataFrame, posting_rows: DataFrame, stats: DataFrame, query: str, k: int = 8, document_ids: DataFrame | None = None) -> DataFrame:
+    """The best ``k`` chunks as ``ranked`` finds them, with their path and text, which are joined last."""
+    best = ranked(chunks, posting_rows, stats, query, k, document_ids)
+    return chunks.join(best, "chunk_id").select("chunk_id", "relative_path", "score", tx.snippet(F.col("text")).alias("snippet"), "text").orderBy(F.desc("score"), "chunk_id")
 
 
 #: Hits of the postings that are ranked on, at least (a fixed value).

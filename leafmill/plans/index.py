@@ -1,14 +1,21 @@
 """A searchable index of a folder as Parquet tables, kept up to date by set operations.
 
 Tables: files, documents, chunks, postings, vectors, and ``gone``. A build diffs the folder against ``files``, extracts
-what changed in parallel, and appends a *segment*: the rows of the files that are new or changed, and the paths whose
-earlier rows no longer count (``gone``). A table is the union of its segments without those rows, an anti join with a
-short list. So a sync costs what changed, not what the index holds. When there are SEGMENTS of them, a build merges all
-into one.
+what changed in parallel, and appends *segments*: the rows of the files that are new or changed, and the paths whose
+earlier rows no longer count (``gone``). A table is the union of its segments in the manifest's order; of each path only the
+rows of the last segment that holds or removes it count, an anti join with a short list. So a sync costs what changed, not
+what the index holds. When there are SEGMENTS of them, they are merged into one.
 
-A build becomes visible by one small file, the manifest of the next number, which names its segments and settings.
-Readers take the newest manifest; a build that dies leaves folders that no manifest names. Nothing is renamed, and
-opening an index changes nothing.
+A build becomes visible by one small file, the manifest of the next number, which names its segments, what each of them
+holds, the settings, and the corpus's statistics. Readers take the newest manifest. Segments have names of their own, so builders
+never write where another one writes; a build that dies leaves folders that no manifest names.
+
+*Two builders.* A manifest is put only where its number is free. A builder that finds it taken puts its segments on top of the other's,
+if the other one has not settled any of its paths differently; if it has, the build is refused and its segments are deleted.
+
+*Statistics.* The number of chunks and of their terms is a sum over the files' rows, so a build adds those of its files and
+subtracts those of the paths that it replaces; no text is read again. A term's document frequency is the number of its
+postings, which a search reads anyway.
 
 Vectors are int8 codes with a scale. A chunk's text is embedded once, whatever the files and builds it occurs in; an embedder is a
 function from texts to vectors, called in Arrow batches. If it fails, the build ends with keyword search alone.
@@ -18,11 +25,14 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,22 +44,26 @@ from ..sources import files as source
 from ..sources.filters import Rules
 from ..sources.legacy import legacy_tables
 
-VERSION = 5
+VERSION = 6
 #: Segments that a build merges into one.
 SEGMENTS = 8
 #: Chunks and documents at most that carry a document's visual assets (a fixed value).
 DOCUMENT_ASSETS = 24
 SCHEMAS = {
-    "files": "relative_path string, status string, size bigint, mtime double, parser string, chunks int, content_hash string, error_reason string",
+    "files": "relative_path string, status string, size bigint, mtime double, parser string, chunks int, terms bigint, content_hash string, error_reason string",
     "documents": f"relative_path string, parser string, size bigint, mtime double, content_hash string, chunks int, token_estimate bigint, summary string, section_hints array<string>, structure {source.STRUCTURE}, assets {source.ASSETS}",
-    "chunks": f"chunk_id string, relative_path string, ordinal int, text string, chunk_hash string, has_visual boolean, chunk_type string, sheet_name string, row_number int, assets {source.ASSETS}",
+    "chunks": f"chunk_id string, relative_path string, ordinal int, text string, chunk_hash string, has_visual boolean, chunk_type string, sheet_name string, row_number int, assets {source.ASSETS}, dl int",
     "postings": "term string, chunk_id string, relative_path string, tf bigint, dl int",
     "vectors": "chunk_id string, relative_path string, chunk_hash string, dim int, scale double, codes array<tinyint>",
-    "gone": "relative_path string, segment int",
+    "gone": "relative_path string",
 }
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
+#: Winners whose texts are fetched by their ids; more are joined.
+FETCHED = 1000
+
+
 class SearchError(ValueError):
     """A search that this index cannot answer; the message says why."""
 
@@ -96,54 +110,135 @@ class Index:
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
     def manifest(self) -> dict:
-        """The newest manifest: its number, segments and settings; empty for a new index."""
-        found = self._manifests()
-        if not found:
-            return {"number": 0, "segments": [], "version": str(VERSION), "mode": "keyword", "engine": None, "model": None, "dim": None}
-        text = self.spark.read.text(f"{self.folder}/manifests/{found[-1]}.json", wholetext=True).first()[0]
-        return json.loads(text)
-
-    def _commit(self, manifest: dict) -> None:
-        """Write the manifest under a name of its own, then give it its number: one file appears, whole or not at all."""
+        """The newest manifest: its number, segments, totals and settings; empty for a new index."""
+        path, fs = self._fs()
+        for _ in range(3):  # the newest one may be deleted while it is read, when two builds follow at once
+            found = self._manifests()
+            if not found:
+                break
+            try:
+                stream = fs.open(path(f"{self.folder}/manifests/{found[-1]}.json"))
+            except Exception as e:
+                if "FileNotFoundException" not in str(e):
+                    raise
+                continue
+            try:
+                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        return {"number": 0, "segments": [], "totals": {"chunks": 0, "terms": 0}, "version": str(VERSION), "mode": "keyword", "engine": None, "model": None, "dim": None}
+
+    def _put(self, manifest: dict) -> bool:
+        """Put the manifest under its number if that is free: one file appears, whole or not at all.
+
+        A local disk has links that fail where a name is taken, other file systems a rename that does.
+        """
         path, fs = self._fs()
-        folder = f"{self.folder}/manifests"
+        jvm, folder = self.spark._jvm, f"{self.folder}/manifests"
         fs.mkdirs(path(folder))
-        made = path(f"{folder}/new-{uuid.uuid4().hex}")
+        made, name = fs.makeQualified(path(f"{folder}/new-{uuid.uuid4().hex}")), fs.makeQualified(path(f"{folder}/{manifest['number']}.json"))
         out = fs.create(made, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if not fs.rename(made, path(f"{folder}/{manifest['number']}.json")):
-            fs.delete(made, False)
-            raise OSError(f"another build has written manifest {manifest['number']}")
+        try:
+            if fs.getScheme() == "file":
+                at = jvm.java.nio.file.Path.of
+                jvm.java.nio.file.Files.createLink(at(name.toUri()), at(made.toUri()))
+            else:
+                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), fs.getConf()).rename(made, name, options)
+            return True
+        except Exception as e:
+            if "FileAlreadyExistsException" not in str(e):
+                raise
+            return False
+        finally:
+            if fs.exists(made):
+                fs.delete(made, False)
+
+    def _commit(self, before: dict, manifest: dict) -> dict:
+        """Make ``manifest``, built on ``before``, visible, on top of what other builders have made visible meanwhile; returns what was put."""
+        own = [s for s in manifest["segments"] if s not in before["segments"]]
+        base = before
+        while True:
+            manifest = manifest | {"number": base["number"] + 1}
+            if self._put(manifest):
+                return manifest
+            other = self.manifest()
+            appended = manifest["segments"] == [*base["segments"], *own]
+            settings = ("version", "mode", "engine", "model", "dim")
+            if not appended or any(other[k] != before[k] for k in settings) or self._settled_otherwise(before, other, own):
+                self._delete(own)
+                raise OSError(f"another build has written manifest {base['number'] + 1} and settled files of this one otherwise; the index is as that build left it")
+            base = other
+            manifest = manifest | {"segments": [*other["segments"], *own], "totals": self._totals(other, own)}
+
+    def _settled_otherwise(self, before: dict, other: dict, own: list[dict]) -> bool:
+        """Whether ``other`` has changed a path of ``own`` segments since ``before`` to something else than they have."""
+        ours = self._files(own).select("relative_path", F.struct("status", "content_hash", "error_reason").alias("ours"))
+        touched = self._of(own, "gone").select("relative_path").union(ours.select("relative_path")).distinct()
+        row = lambda m, name: self._files(m["segments"]).join(touched, "relative_path", "left_semi").select("relative_path", F.struct("status", "content_hash", "error_reason").alias(name))
+        both = touched.join(ours, "relative_path", "left").join(row(before, "old"), "relative_path", "left").join(row(other, "new"), "relative_path", "left")
+        return not both.where(~F.col("old").eqNullSafe(F.col("new")) & ~F.col("ours").eqNullSafe(F.col("new"))).isEmpty()
+
+    def _totals(self, base: dict, own: list[dict]) -> dict:
+        """Chunks and terms of ``base`` with ``own`` segments on top: by adding theirs and subtracting those of the paths that they replace."""
+        part = lambda df, sign: df.select((sign * F.col("chunks")).alias("chunks"), (sign * F.col("terms")).alias("terms"))
+        replaced = self._files(base["segments"]).join(self._of(own, "gone").select("relative_path").distinct(), "relative_path", "left_semi")
+        row = part(self._files(own), 1).unionByName(part(replaced, -1)).agg(F.sum("chunks"), F.sum("terms")).first()
+        return {"chunks": base["totals"]["chunks"] + (row[0] or 0), "terms": base["totals"]["terms"] + (row[1] or 0)}
+
+    def _delete(self, segments: list[dict]) -> None:
+        path, fs = self._fs()
+        for s in segments:
+            fs.delete(path(f"{self.folder}/{s['name']}"), True)
 
-    def _drop_unused(self, keep: set[int]) -> None:
-        """Delete segments and manifests that neither of the last two manifests names."""
+    def _drop_unused(self, *manifests: dict) -> None:
+        """Delete segments and manifests that none of the given ones (the last two) names.
+
+        Folders of other builders are left alone: only what an older manifest names is deleted, and what a dead build left for a day.
+        """
         path, fs = self._fs()
+        keep, numbers = {s["name"] for m in manifests for s in m["segments"]}, {m["number"] for m in manifests}
+        old: set[str] = set()
+        for n in self._manifests():
+            if n not in numbers and n < max(numbers):
+                stream = fs.open(path(f"{self.folder}/manifests/{n}.json"))
+                old |= {s["name"] if isinstance(s, dict) else f"s{s}" for s in json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["segments"]}
+                stream.close()
+                fs.delete(path(f"{self.folder}/manifests/{n}.json"), False)
+        yesterday = (time.time() - 86_400) * 1000
         for status in fs.listStatus(path(self.folder)):
             name = status.getPath().getName()
-            if name.startswith("s") and name[1:].isdigit() and int(name[1:]) not in keep:
+            if name != "manifests" and name not in keep and (name in old or status.getModificationTime() < yesterday):
                 fs.delete(status.getPath(), True)
-        for n in self._manifests()[:-2]:
-            fs.delete(path(f"{self.folder}/manifests/{n}.json"), False)
 
     def exists(self) -> bool:
         return bool(self._manifests())
 
+    def _of(self, segments: list[dict], name: str) -> DataFrame:
+        """A table's rows in ``segments``, with the place of their segment; none where no segment has the table."""
+        parts = [(k, s) for k, s in enumerate(segments) if name in s["tables"]]
+        rows = None
+        for k, s in parts:
+            part = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{s['name']}/{name}").withColumn("__at", F.lit(k))
+            rows = part if rows is None else rows.unionByName(part)
+        return rows if rows is not None else self.spark.createDataFrame([], f"{SCHEMAS[name]}, __at int")
+
+    def _visible(self, segments: list[dict], name: str) -> DataFrame:
+        """A table: rows whose path no later segment has replaced or removed."""
+        rows = self._of(segments, name)
+        if any("gone" in s["tables"] for s in segments[1:]):
+            gone = self._of(segments, "gone").groupBy(F.col("relative_path").alias("__path")).agg(F.max("__at").alias("__gone"))
+            rows = rows.join(gone, (F.col("relative_path") == F.col("__path")) & (F.col("__at") < F.col("__gone")), "left_anti")
+        return rows.drop("__at")
+
+    def _files(self, segments: list[dict]) -> DataFrame:
+        return self._visible(segments, "files")
+
     def read(self, name: str, manifest: dict | None = None) -> DataFrame:
-        """A table: rows of all segments whose path no later segment has replaced or removed."""
-        segments = (manifest or self.manifest())["segments"]
-        schema = SCHEMAS[name]
-        if not segments:
-            return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/s{s}/{name}").withColumn("__segment", F.lit(s)) for s in segments]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        if len(segments) > 1:
-            gone = self.spark.read.schema(SCHEMAS["gone"]).parquet(*[f"{self.folder}/s{s}/gone" for s in segments[1:]])
-            gone = gone.groupBy(F.col("relative_path").alias("__path")).agg(F.max("segment").alias("__gone"))
-            rows = rows.join(gone, (F.col("relative_path") == F.col("__path")) & (F.col("__segment") < F.col("__gone")), "left_anti")
-        return rows.drop("__segment")
+        """A table as the manifest shows it."""
+        return self._visible((manifest or self.manifest())["segments"], name)
 
     # Building -----------------------------------------------------------------------------------
 
@@ -171,65 +266,75 @@ class Index:
         wanted = {"version": str(VERSION), "mode": mode, "engine": "codes" if mode == "vector" else before.get("engine"), "model": self.embedder.key if mode == "vector" and self.embedder else before.get("model")}
         if mode == "vector" and not self.embedder:
             raise SearchError("An embedder is required for an index with vectors.")
-        old_format = before.get("version") != str(VERSION)
-        known = self.read("files", before) if not old_format else self.spark.createDataFrame([], SCHEMAS["files"])
+        if before.get("version") != str(VERSION):  # built anew from the files
+            before = before | {"segments": [], "totals": {"chunks": 0, "terms": 0}}
+        known = self.read("files", before)
         found = source.discover(self.spark, self.root, self.rules, self.max_mb)
         planned = ingest.plan(found, known if not force else known.withColumn("mtime", F.lit(-1.0)), int(self.max_mb * 1024 * 1024))
-        base = max([s for s in before["segments"]], default=0) + 1  # a number that no manifest names: leftovers of a dead build are overwritten
-        stage = f"{self.folder}/s{base}"
+        stage = f"{self.folder}/build-{uuid.uuid4().hex}"
+        made: list[dict] = []
+        try:
+            return self._staged(stage, before, wanted, known, found, planned, force, mode, rounds, retain, made)
+        except Exception:
+            self._delete(made)
+            raise
+        finally:
+            path, fs = self._fs()
+            fs.delete(path(stage), True)
+
+    def _staged(self, stage: str, before: dict, wanted: dict, known: DataFrame, found: DataFrame, planned: DataFrame, force: bool, mode: str, rounds: int, retain: bool, made: list[dict]) -> dict:
         planned = self._kept(planned, f"{stage}/plan")
-        todo = planned.where(F.col("category").isin("added", "changed")).select("relative_path")
-        work = self._kept(found.join(todo, "relative_path", "left_semi"), f"{stage}/work")
-        manifest = before | wanted | {"segments": [] if old_format else list(before["segments"])}
         stats: dict = dict.fromkeys(("added", "updated", "removed", "unchanged", "excluded", "too_large", "failed"), 0)
         counted = {r[0]: r[1] for r in planned.groupBy("category").count().collect()}  # a row for each category
         stats |= {k: counted.get(k, 0) for k in ("removed", "unchanged", "excluded", "too_large")}
         drop_vectors = bool(before.get("model")) and wanted["model"] != before.get("model")
-        reached, changed = [], False
-        for nth in range(rounds):
-            part = work if rounds == 1 else work.where(F.pmod(F.xxhash64("relative_path"), F.lit(rounds)) == nth)
-            try:
-                done = self._kept(source.extracted(self.spark, part), f"{stage}/extracted{nth}")
-                if self._cancelled.is_set():
-                    break
-                settled = self._settled(planned.join(part.select("relative_path"), "relative_path", "left_semi"), done, known, force)
-                fresh = settled.where(F.col("category").isin("added", "updated"))
-                here = {r[0]: r[1] for r in settled.groupBy("category").count().collect()}
-                stats["added"] += here.get("added", 0)
-                stats["updated"] += here.get("updated", 0)
-                stats["unchanged"] += here.get("unchanged", 0)
-                stats["failed"] += done.where("status = 'failed'").count()
-                if here.get("added") or here.get("updated") or here.get("unchanged"):
-                    self._segment(base + nth, fresh.select("relative_path"), done, found, known, settled)
-                    reached.append(base + nth)
-            except Exception:
-                if self._cancelled.is_set():
-                    break
-                raise
+        if counted.get("added") or counted.get("changed"):
+            todo = planned.where(F.col("category").isin("added", "changed")).select("relative_path")
+            work = self._kept(found.join(todo, "relative_path", "left_semi"), f"{stage}/work")
+            for nth in range(rounds):
+                part = work if rounds == 1 else work.where(F.pmod(F.xxhash64("relative_path"), F.lit(rounds)) == nth)
+                try:
+                    done = self._kept(source.extracted(self.spark, part), f"{stage}/extracted{nth}")
+                    if self._cancelled.is_set():
+                        break
+                    settled = self._kept(self._settled(planned.join(part.select("relative_path"), "relative_path", "left_semi"), done, known, force), f"{stage}/settled{nth}")
+                    here = {r[0]: r[1] for r in settled.groupBy("category").count().collect()}
+                    for name in ("added", "updated", "unchanged"):
+                        stats[name] += here.get(name, 0)
+                    stats["failed"] += done.where("status = 'failed'").count()
+                    if any(here.get(name) for name in ("added", "updated", "unchanged")):
+                        made.append(self._segment(before, settled, done, found, known, bool(here.get("unchanged"))))
+                except Exception:
+                    if self._cancelled.is_set():
+                        break
+                    raise
         cancelled = self._cancelled.is_set()
         if cancelled:
             stats["cancelled"] = True
-            if not retain or not reached:
+            if not retain or not made:
+                self._delete(made)
                 return stats
-        manifest["segments"] += reached
-        last = base + rounds
-        if not cancelled and self._sweep(last, planned, found, known):
-            manifest["segments"].append(last)
-            changed = True
+        elif swept := self._sweep(planned, found, known):
+            made.append(swept)
+        manifest = before | wanted | {"segments": [*before["segments"], *made]}
         if drop_vectors and mode != "vector":
             manifest["model"] = None
-        changed = changed or bool(reached)
+        changed = bool(made)
         if mode == "vector" and not cancelled:
-            changed = self._embed(manifest, drop_vectors, stats) or changed
+            changed = self._embed(manifest, drop_vectors, stats, made) or changed
         if not changed and answers.same_settings(before, manifest) and self.exists() and not force:
             return stats  # nothing is written, and the index keeps its number
-        manifest["number"] = before["number"] + 1
-        if len(manifest["segments"]) >= SEGMENTS:
-            self._merge(manifest)
-        self._commit(manifest)
-        self._drop_unused({*manifest["segments"], *before["segments"]})
+        manifest["totals"] = self._totals(before, made) if manifest["segments"] == [*before["segments"], *made] else self._counted(manifest["segments"])
+        put = self._commit(before, manifest)
+        self._drop_unused(before, put)
+        if len(put["segments"]) >= SEGMENTS:
+            self._merge(put)
         return stats
 
+    def _counted(self, segments: list[dict]) -> dict:
+        row = self._files(segments).agg(F.sum("chunks"), F.sum("terms")).first()
+        return {"chunks": row[0] or 0, "terms": row[1] or 0}
+
     def _kept(self, df: DataFrame, path: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -240,21 +345,37 @@ class Index:
             return planned.withColumn("category", F.when(F.col("category") == "changed", "updated").otherwise(F.col("category")))
         return ingest.settled(planned, done.select("relative_path", "content_hash"), known)
 
-    def _write(self, number: int, tables: dict[str, DataFrame]) -> None:
-        for name, schema in SCHEMAS.items():
-            df = tables.get(name, self.spark.createDataFrame([], schema))
-            # postings are sorted by term within their files, so that a query's terms prune row groups
-            df = df.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" and name in tables else df
-            df.write.mode("overwrite").parquet(f"{self.folder}/s{number}/{name}")
-
-    def _segment(self, number: int, fresh: DataFrame, done: DataFrame, found: DataFrame, known: DataFrame, settled: DataFrame) -> None:
-        """Rows of the files that are new or changed; of files whose content is the known one only their size and time."""
+    def _write(self, tables: dict[str, DataFrame], name: str | None = None) -> dict:
+        """Write a segment's tables, side by side, under a name of its own."""
+        name = name or f"s-{uuid.uuid4().hex}"
+
+        def write(table: str, df: DataFrame) -> None:
+            # postings are sorted by term and chunks by id within their files, so that terms and ids prune row groups
+            by = {"postings": "term", "chunks": "chunk_id"}.get(table)
+            df = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{table}")
+
+        with ThreadPoolExecutor(len(tables) or 1) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(write), *t) for t in tables.items()]:
+                done.result()
+        return {"name": name, "tables": sorted(tables)}
+
+    def _segment(self, before: dict, settled: DataFrame, done: DataFrame, found: DataFrame, known: DataFrame, carry: bool) -> dict:
+        """Rows of the files that are new or changed; of files whose content is the known one only their size and time (``carry``)."""
+        name = f"s-{uuid.uuid4().hex}"
+        fresh = settled.where(F.col("category").isin("added", "updated")).select("relative_path")
         new = done.join(fresh, "relative_path", "left_semi")
         texts = new.where("status = 'indexed'")
-        cut = self._chunks(texts)
-        per_file = cut.groupBy("relative_path").agg(F.count("*").cast("int").alias("chunks"))
+        same = settled.where("category = 'unchanged'").select("relative_path")
+        of_same = lambda table: self.read(table, before).join(same, "relative_path", "left_semi")
+        both = lambda df, table: df.unionByName(of_same(table)) if carry else df
+        self._write({"chunks": both(self._chunks(texts), "chunks")}, name)
+        # chunks are cut once; what follows reads them where they are
+        cut = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{self.folder}/{name}/chunks")
+        cut = cut.join(same, "relative_path", "left_anti") if carry else cut
+        per_file = cut.groupBy("relative_path").agg(F.count("*").cast("int").alias("n"), F.sum("dl").alias("terms"))
         stat = found.select("relative_path", "size", "mtime")
-        of = texts.join(stat, "relative_path").join(per_file.withColumnRenamed("chunks", "n"), "relative_path", "left")
+        of = texts.join(stat, "relative_path").join(per_file, "relative_path", "left")
         names = F.coalesce(F.col("structure.sheet_names"), F.array().cast("array<string>"))
         columns = F.coalesce(F.col("structure.column_hints"), F.array().cast("array<string>"))
         is_sheet = F.col("structure").isNotNull()
@@ -265,18 +386,17 @@ class Index:
             F.when(is_sheet, note).otherwise(tx.summary(F.col("text"), 420)).alias("summary"), F.when(is_sheet, hints).otherwise(tx.section_hints(F.col("text"))).alias("section_hints"),
             "structure", F.slice("assets", 1, DOCUMENT_ASSETS).alias("assets"),
         )
-        own = new.drop("chunks").join(stat, "relative_path").join(per_file, "relative_path", "left").select("relative_path", "status", "size", "mtime", "parser", F.coalesce("chunks", F.lit(0)).alias("chunks"), "content_hash", "error_reason")
-        same = settled.where("category = 'unchanged'").select("relative_path")
+        own = new.drop("chunks").join(stat, "relative_path").join(per_file, "relative_path", "left").select("relative_path", "status", "size", "mtime", "parser", F.coalesce("n", F.lit(0)).alias("chunks"), F.coalesce("terms", F.lit(0)).alias("terms"), "content_hash", "error_reason")
         touched = ingest.refreshed(known.join(same, "relative_path", "left_semi"), stat, "relative_path", "size", "mtime")
-        carried = same.select("relative_path")
-        chunks = cut.unionByName(self.read("chunks").join(carried, "relative_path", "left_semi"))
         postings = search.postings(cut).join(cut.select("chunk_id", "relative_path"), "chunk_id").select("term", "chunk_id", "relative_path", "tf", "dl")
-        self._write(number, {
-            "files": own.unionByName(touched), "documents": documents.unionByName(self.read("documents").join(carried, "relative_path", "left_semi")), "chunks": chunks,
-            "postings": postings.unionByName(self.read("postings").join(carried, "relative_path", "left_semi")),
-            "vectors": self.read("vectors").join(carried, "relative_path", "left_semi"),
-            "gone": fresh.union(carried).distinct().select("relative_path", F.lit(number).alias("segment")),
-        })
+        tables = {
+            "files": own.unionByName(touched) if carry else own, "documents": both(documents, "documents"), "postings": both(postings, "postings"),
+            "gone": settled.where(F.col("category").isin("added", "updated", "unchanged")).select("relative_path"),
+        }
+        if carry and any("vectors" in s["tables"] for s in before["segments"]):
+            tables["vectors"] = of_same("vectors")
+        self._write(tables, name)
+        return {"name": name, "tables": sorted({*tables, "chunks"})}
 
     @staticmethod
     def _chunks(texts: DataFrame) -> DataFrame:
@@ -290,23 +410,22 @@ class Index:
         held = F.filter("assets", lambda a: (F.length(a["anchor"]) > 0) & F.contains(F.col("text"), a["anchor"]))
         return cut.select(
             chunking.chunk_id(F.col("relative_path"), F.col("ordinal"), F.col("chunk_hash")).alias("chunk_id"), "relative_path", "ordinal", "text", "chunk_hash",
-            F.coalesce(F.size(held) > 0, F.lit(False)).alias("has_visual"), "chunk_type", "sheet_name", "row_number", F.when(F.size(held) > 0, held).alias("assets"),
+            F.coalesce(F.size(held) > 0, F.lit(False)).alias("has_visual"), "chunk_type", "sheet_name", "row_number", F.when(F.size(held) > 0, held).alias("assets"), F.size(tx.index_terms(F.col("text"))).alias("dl"),
         )
 
-    def _sweep(self, number: int, planned: DataFrame, found: DataFrame, known: DataFrame) -> bool:
-        """Files that went, and the list of those that a rule skips; False where neither changed."""
+    def _sweep(self, planned: DataFrame, found: DataFrame, known: DataFrame) -> dict | None:
+        """A segment for files that went, and for the list of those that a rule skips; None where neither changed."""
         removed = planned.where(F.col("category").isin("removed", "excluded", "too_large")).select("relative_path").join(known, "relative_path", "left_semi")
-        skipped = found.where(F.col("reason").isNotNull()).select("relative_path", F.lit("skipped").alias("status"), "size", "mtime", F.lit(None).cast("string").alias("parser"), F.lit(0).alias("chunks"), F.lit(None).cast("string").alias("content_hash"), F.col("reason").alias("error_reason"))
+        skipped = found.where(F.col("reason").isNotNull()).select("relative_path", F.lit("skipped").alias("status"), "size", "mtime", F.lit(None).cast("string").alias("parser"), F.lit(0).alias("chunks"), F.lit(0).cast("long").alias("terms"), F.lit(None).cast("string").alias("content_hash"), F.col("reason").alias("error_reason"))
         listed = known.where("status = 'skipped'")
         columns = ["relative_path", "error_reason", "size"]
         new = skipped.join(listed.select(*columns), columns, "left_anti")
         gone = removed.join(skipped.join(new, "relative_path", "left_anti"), "relative_path", "left_anti").union(new.select("relative_path")).distinct()
         if gone.isEmpty():
-            return False
-        self._write(number, {"files": new, "gone": gone.select("relative_path", F.lit(number).alias("segment"))})
-        return True
+            return None
+        return self._write({"files": new, "gone": gone})
 
-    def _embed(self, manifest: dict, drop: bool, stats: dict) -> bool:
+    def _embed(self, manifest: dict, drop: bool, stats: dict, made: list[dict]) -> bool:
         """Vectors for the chunks that have none: those of equal chunks are taken over, each other text is embedded once.
 
         Vectors of another model are dropped, chunks stay. If the embedder fails, the build goes on without vectors, once with a warning.
@@ -317,7 +436,7 @@ class Index:
         lacking = chunks.join(old.select("chunk_id"), "chunk_id", "left_anti")
         if lacking.isEmpty():
             return drop
-        number = max(manifest["segments"], default=0) + 1
+        name = f"s-{uuid.uuid4().hex}"
         best = old.groupBy("chunk_hash").agg(F.min_by(F.struct("dim", "scale", "codes"), "chunk_id").alias("v"))
         texts = lacking.groupBy("chunk_hash").agg(F.first("text").alias("text")).join(best.select("chunk_hash"), "chunk_hash", "left_anti")
         embed, size = self.embedder.embed, self.embedder.batch
@@ -332,32 +451,38 @@ class Index:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.float64()))], names=["chunk_hash", "vector"])
 
         try:
-            made = self._kept(texts.mapInArrow(run, "chunk_hash string, vector array<double>"), f"{self.folder}/s{number}/embedded")
-            sizes = [r[0] for r in made.select(F.size("vector").alias("n")).union(old.select(F.col("dim").alias("n"))).distinct().limit(3).collect()]
+            embedded = self._kept(texts.mapInArrow(run, "chunk_hash string, vector array<double>"), f"{self.folder}/{name}/embedded")
+            sizes = [r[0] for r in embedded.select(F.size("vector").alias("n")).union(old.select(F.col("dim").alias("n"))).distinct().limit(3).collect()]
             if len(sizes) > 1:
                 raise ValueError(f"Vectors of {' and '.join(map(str, sorted(sizes)))} dimensions; rebuild required.")
         except Exception as e:
             if self._cancelled.is_set():
                 raise
+            self._delete([{"name": name}])
             manifest["mode"] = "keyword"
             stats["warning"] = str(e).strip().splitlines()[-1][:300]
             return False
-        fresh = made.select("chunk_hash", F.struct(F.size("vector").alias("dim"), vx.scale(F.col("vector")).alias("scale"), vx.codes(F.col("vector")).alias("codes")).alias("v"))
+        fresh = embedded.select("chunk_hash", F.struct(F.size("vector").alias("dim"), vx.scale(F.col("vector")).alias("scale"), vx.codes(F.col("vector")).alias("codes")).alias("v"))
         rows = lacking.select("chunk_id", "relative_path", "chunk_hash").join(best.unionByName(fresh), "chunk_hash").select("chunk_id", "relative_path", "chunk_hash", "v.*")
         if drop:  # all tables once more, without the old model's vectors
             tables = {n: self.read(n, manifest) for n in SCHEMAS if n not in ("vectors", "gone")}
-            self._write(number, tables | {"vectors": rows})
-            manifest["segments"] = [number]
+            made.append(self._write(tables | {"vectors": rows}, name))
+            manifest["segments"] = [made[-1]]
         else:
-            self._write(number, {"vectors": rows})
-            manifest["segments"].append(number)
+            made.append(self._write({"vectors": rows}, name))
+            manifest["segments"].append(made[-1])
         manifest["dim"] = sizes[0] if sizes else None
         return True
 
     def _merge(self, manifest: dict) -> None:
-        number = max(manifest["segments"]) + 1
-        self._write(number, {n: self.read(n, manifest) for n in SCHEMAS if n != "gone"})
-        manifest["segments"] = [number]
+        """Put all segments into one, as a manifest of its own; if another builder comes first, the segments stay as they are."""
+        held = {n for s in manifest["segments"] for n in s["tables"]} - {"gone"}
+        merged = self._write({n: self.read(n, manifest) for n in SCHEMAS if n in held})
+        after = manifest | {"segments": [merged], "number": manifest["number"] + 1}
+        if self._put(after):
+            self._drop_unused(manifest, after)
+        else:
+            self._delete([merged])
 
     # Reading ------------------------------------------------------------------------------------
 
@@ -376,15 +501,17 @@ class Index:
     def import_legacy(self, folder: str) -> dict:
         """Take over an index of an older JSON format: its files, documents, chunks and vectors, so that nothing is extracted or embedded again."""
         tables, settings = legacy_tables(self.spark, folder)
-        tables = {n: df.toDF(*T._parse_datatype_string(SCHEMAS[n]).fieldNames()) for n, df in tables.items()}
+        lengths = F.size(tx.index_terms(F.col("text"))).alias("dl")
+        tables["chunks"] = tables["chunks"].select("*", lengths)
+        named = lambda n, without=(): [f for f in T._parse_datatype_string(SCHEMAS[n]).fieldNames() if f not in without]
+        tables = {n: df.toDF(*named(n, ("terms",))) for n, df in tables.items()}
         chunks = tables["chunks"]
+        per_file = chunks.groupBy("relative_path").agg(F.sum("dl").alias("terms"))
+        tables["files"] = tables["files"].join(per_file, "relative_path", "left").withColumn("terms", F.coalesce("terms", F.lit(0))).select(*named("files"))
         tables["postings"] = search.postings(chunks).join(chunks.select("chunk_id", "relative_path"), "chunk_id").select("term", "chunk_id", "relative_path", "tf", "dl")
-        before = self.manifest()
-        number = max(before["segments"], default=0) + 1
-        self._write(number, tables)
-        manifest = before | settings | {"version": str(VERSION), "segments": [number], "number": before["number"] + 1}
-        self._commit(manifest)
-        self._drop_unused({number, *before["segments"]})
+        before, made = self.manifest(), [self._write(tables)]
+        manifest = self._commit(before, before | settings | {"version": str(VERSION), "segments": made, "totals": self._counted(made)})
+        self._drop_unused(before, manifest)
         return manifest
 
     def missing_documents(self) -> DataFrame:
@@ -393,14 +520,32 @@ class Index:
     def missing_vectors(self) -> DataFrame:
         return ingest.without_vectors(self.read("chunks"), self.read("vectors"))
 
-    def search(self, query: str, k: int = 8, document_ids: list[str] | None = None, mode: str = "keyword") -> DataFrame:
-        """The best ``k`` chunks: by keywords with path and visual bonus, or by the cosine of their vectors."""
+    def statistics(self, manifest: dict | None = None) -> DataFrame:
+        """One row, from the manifest: number of chunks and their mean length in terms."""
+        totals = (manifest or self.manifest())["totals"]
+        mean = totals["terms"] / totals["chunks"] if totals["chunks"] else None
+        return self.spark.range(1).select(F.lit(totals["chunks"]).alias("n_chunks"), F.lit(mean).cast("double").alias("avgdl"))
+
+    def search(self, query: str, k: int | None = 8, document_ids: list[str] | None = None, mode: str = "keyword") -> DataFrame:
+        """The best ``k`` chunks (None: all that match): by keywords with path and visual bonus, or by the cosine of their vectors.
+
+        Ranking reads postings, paths and sizes alone; only the winners' texts are read.
+        """
         m = self.manifest()
         if mode == "vector":
             return self._vector_search(m, query, k)
         only = self.spark.createDataFrame([(d,) for d in document_ids], "relative_path string") if document_ids else None
-        postings = self.read("postings", m)
-        return search.hybrid(self.read("chunks", m), postings, search.chunk_statistics(self.read("chunks", m)), query, k, only)
+        best = search.ranked(self.read("chunks", m), self.read("postings", m), self.statistics(m), query, k, only, self._files(m["segments"]))
+        return self._fetched(m, best, k)
+
+    def _fetched(self, m: dict, best: DataFrame, k: int | None) -> DataFrame:
+        """Ranked chunks (chunk_id, score) with their path and text: few of them by their ids, which prune row groups, more by a join."""
+        chunks = self.read("chunks", m)
+        if k is not None and k <= FETCHED:
+            rows = best.collect()  # k rows
+            best = self.spark.createDataFrame(rows, best.schema)
+            chunks = chunks.where(F.col("chunk_id").isin([r.chunk_id for r in rows]))
+        return chunks.join(best, "chunk_id").select("chunk_id", "relative_path", "score", tx.snippet(F.col("text")).alias("snippet"), "text").orderBy(F.desc("score"), "chunk_id")
 
     def _vector_search(self, m: dict, query: str, k: int) -> DataFrame:
         if m["mode"] != "vector":
@@ -413,8 +558,7 @@ class Index:
         (vector,) = self.embedder.embed([query])
         if m["dim"] and len(vector) != m["dim"]:
             raise SearchError(f"The query has {len(vector)} dimensions but the index has {m['dim']}; rebuild required.")
-        best = search.code_top(self.read("vectors", m), vector, k)
-        return self.read("chunks", m).join(F.broadcast(best), "chunk_id").select("chunk_id", "relative_path", "score", tx.snippet(F.col("text")).alias("snippet"), "text").orderBy(F.desc("score"), "chunk_id")
+        return self._fetched(m, search.code_top(self.read("vectors", m), vector, k), k)
 
     def search_or_keywords(self, query: str, k: int = 8, document_ids: list[str] | None = None) -> tuple[list, str | None]:
         """Rows of a semantic search, or if that fails of a keyword search, of the whole index where the documents have none; and why it failed."""
@@ -427,6 +571,5 @@ class Index:
         return rows or self.search(query, k).collect(), reason
 
     def rows_matching(self, query: str, document_ids: list[str]) -> DataFrame:
-        """Every matching row chunk of the given spreadsheets: as many results as they have chunks."""
-        chunks = self.read("chunks").where(F.col("relative_path").isin(*document_ids))
-        return self.search(query, max(1, chunks.count()), document_ids)
+        """Every matching row chunk of the given spreadsheets, sorted in parallel; nothing is cut off."""
+        return self.search(query, None, document_ids)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ VERSIONS = (2, 3)
 def legacy_tables(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict]:
     """The tables of an index in ``folder`` and its settings; an error if its format is another.
 
-    Chunks and documents are read in parallel, and each task takes the rows of the matrix that its chunks name.
+    Chunks and documents are read in parallel; the rows of the matrix are joined to the chunks that name them.
     """
     manifest = spark.read.schema(_MANIFEST).json(f"{folder}/manifest.json", multiLine=True)
     head = manifest.select("version", "retrievalMode", "indexEngine", "embeddingModelKey", "embeddingDimension").first()
@@ -47,17 +47,26 @@ def legacy_tables(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame
 
 
 def _vectors(lines: DataFrame, path: str) -> DataFrame:
+    """Vectors of the chunks that name a row of the matrix, which is read by its address, wherever it lies; an error if it is not there.
+
+    A NumPy file cannot be split, and one of more than 2 GB is refused by Spark's reader: one task turns it into rows, in batches.
+    """
+    spark = lines.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there):
+        raise FileNotFoundError(f"The index has vectors, but {path} is not there.")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            matrix = np.load(re.sub(r"^file:/*", "/", path), mmap_mode="r")
-        except FileNotFoundError:
-            return
         for batch in batches:
-            label = batch.column(3).to_numpy(zero_copy_only=False)
-            keep = (label >= 0) & (label < len(matrix)) if matrix.ndim == 2 else np.zeros(len(label), bool)
-            rows = [matrix[int(k)].astype(float).tolist() for k in label[keep]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).filter(pa.array(keep)) for c in range(3)], pa.array(rows, pa.list_(pa.float64()))], names=["chunk_id", "relative_path", "chunk_hash", "v"])
-
-    named = lines.where("label is not null").select("chunkId", "relativePath", "chunkHash", "label")
-    found = named.mapInArrow(run, "chunk_id string, relative_path string, chunk_hash string, v array<double>")
-    return found.select("chunk_id", "relative_path", "chunk_hash", F.size("v").alias("dim"), vx.scale(F.col("v")).alias("scale"), vx.codes(F.col("v")).alias("codes"))
+            for content in batch.column(0):
+                matrix = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
+                if matrix.ndim != 2:
+                    raise ValueError(f"{path} holds no matrix")
+                for at in range(0, len(matrix), 1000):
+                    part = matrix[at : at + 1000].astype(np.float64)
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part)), pa.int32()), values], names=["label", "v"])
+
+    matrix = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "label int, v array<double>")
+    found = lines.where("label is not null").select("chunkId", "relativePath", "chunkHash", "label").join(matrix, "label")
+    return found.select("chunkId", "relativePath", "chunkHash", F.size("v").alias("dim"), vx.scale(F.col("v")).alias("scale"), vx.codes(F.col("v")).alias("codes"))
