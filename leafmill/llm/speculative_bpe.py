@@ -3,8 +3,8 @@
 A vocabulary is the JSON file of a byte-level BPE model with an ordered list of merges. The text is cut at the strings of
 added tokens (each is one id), then by the byte-level pattern; each piece, a word, is encoded on its own.
 
-*Speculate.* All words of a batch that are not known yet are matched at once: an Aho-Corasick automaton gives the longest
-token at every byte, and from each word's start one goes from longest match to longest match.
+*Speculate.* From a word's start one goes from longest match to longest match. Short words are looked up; of the long ones of a batch
+an Aho-Corasick automaton gives the longest token at every byte, and they are followed side by side.
 *Verify.* Two neighbouring tokens are compatible if merging the bytes of both gives exactly these two. The merges of all
 pairs of the batch are undone side by side in arrays, the latest first; a pair fails if the two parts that touch at its
 border would have been merged before. Words whose neighbours are all compatible are what merging gives, since merging has one
@@ -46,7 +46,10 @@ MEMO, MEMO_WORD = 300_000, 64
 SIDE_BY_SIDE = 48
 #: How a byte-level model cuts text (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_NONE = np.iinfo(np.int64).max
+_NONE, _LOW = int(np.iinfo(np.int64).max), 0xFFFFFFFF
+#: Bytes of short words: they are matched by looking up their parts and merged by looking for the least rank each time; longer ones go
+#: through an automaton and a heap.
+SHORT = 64
 
 
 def _characters() -> dict[str, int]:
@@ -88,46 +91,61 @@ class Model:
         for text, i in self.added.items():
             self.tokens[i] = text.encode()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: A pair of tokens, in one number, and the rank of the merge that joins it with what it makes, in one number.
+        self.merges = {vocab[a] << 32 | vocab[b]: rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.of_byte = [vocab[c] for c, _ in sorted(byte.items(), key=lambda x: x[1])]
         size = len(self.tokens)
         #: Of each token its halves and the rank of the merge that joins them; -1 for single bytes, -2 for what merging never gives.
         self.left, self.right, self.rank = (np.full(size, -2, np.int64) for _ in range(3))
         for i in self.of_byte:
             self.left[i] = self.right[i] = self.rank[i] = -1
-        for (a, b), (rank, i) in self.merges.items():
+        for pair, merge in self.merges.items():
+            i = merge & _LOW
             if self.merged(self.tokens[i]) == [i]:
-                self.left[i], self.right[i], self.rank[i] = a, b, rank
+                self.left[i], self.right[i], self.rank[i] = pair >> 32, pair & _LOW, merge >> 32
         made = self.rank >= 0
         if (self.rank[made] <= np.maximum(self.rank[self.left[made]], self.rank[self.right[made]])).any():
             raise ValueError(f"{path}: a merge comes before those of its parts")
-        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        keys = np.array(list(self.merges), np.int64)
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.keys, self.ranks = keys[order], np.array(list(self.merges.values()), np.int64)[order] >> 32
         self.late = _late_characters(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str)
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: of all neighbours that a merge joins the one of lowest rank, of these the leftmost, first."""
         merges, ids = self.merges, [self.of_byte[b] for b in word]
-        n = len(ids)
-        if n < 2:
-            return ids
+        if len(ids) > SHORT:
+            return self._merged_by_heap(ids)
+        found = [merges.get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NONE:
+            i = found.index(best)  # the leftmost one
+            ids[i : i + 2] = [made := best & _LOW]
+            del found[i]
+            if i:
+                found[i - 1] = merges.get(ids[i - 1] << 32 | made, _NONE)
+            if i < len(found):
+                found[i] = merges.get(made << 32 | ids[i + 1], _NONE)
+        return ids
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        merges, n = self.merges, len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i) for i in range(n - 1) if (m := merges.get(ids[i] << 32 | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            rank, i, made = heapq.heappop(heap)
+            merge, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or merges.get((ids[i], ids[j])) != (rank, made):
+            if ids[i] < 0 or j < 0 or merges.get(ids[i] << 32 | ids[j]) != merge:
                 continue  # one of the two has been merged with another one meanwhile
+            made = merge & _LOW
             ids[i], ids[j] = made, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if m := merges.get((made, ids[k])):
-                    heapq.heappush(heap, (m[0], i, m[1]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], made))):
-                heapq.heappush(heap, (m[0], h, m[1]))
+                if m := merges.get(made << 32 | ids[k]):
+                    heapq.heappush(heap, (m, i))
+            if (h := before[i]) >= 0 and (m := merges.get(ids[h] << 32 | made)):
+                heapq.heappush(heap, (m, h))
         return [i for i in ids if i >= 0]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,22 +186,50 @@ class Encoder:
         late = regex.escape(model.late)
         self.late, self.high = frozenset(model.late), regex.compile(f"[{min(model.late)}-\U0010FFFF]+").findall if late else lambda text: []
         self.split_late = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]").replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{late}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{late}]]+"), regex.V1).findall if late else self.split
-        self.at_added = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(model.added, key=len, reverse=True)) + ")").split if model.added else lambda text: [text]
+        self.at_added = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(model.added, key=len, reverse=True)) + ")").split
         self.memo: dict[str, tuple[int, ...]] = {}
         self.failed = 0  # words that had to be merged exactly
 
     def words(self, text: str) -> list[str]:
         """Added tokens and words, in order."""
         out: list[str] = []
-        for nth, part in enumerate(self.at_added(text)):
+        parts = self.at_added(text) if any(a in text for a in self.model.added) else [text]
+        for nth, part in enumerate(parts):
             if nth % 2:
                 out.append(part)
             elif part:
-                out += (self.split if part.isascii() or self.late.isdisjoint("".join(self.high(part))) else self.split_late)(part)
+                out += (self.split_late if self._has_late(part) else self.split)(part)
+        return out
+
+    def _has_late(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")  # far quicker than looking for the characters, and enough for most texts
+            return False
+        except UnicodeEncodeError:
+            return not self.late.isdisjoint("".join(self.high(text)))
+
+    def _greedy(self, word: bytes) -> list[int]:
+        """Tokens of a short word by greedy longest match, looked up from the longest on."""
+        whole, n, i, out = self.whole, len(word), 0, []
+        while i < n:
+            j = n
+            while (token := whole.get(word[i:j])) is None:
+                j -= 1
+            out.append(token)
+            i = j
         return out
 
     def _proposed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all words by greedy longest match, and which word each belongs to."""
+        """Tokens of all words by greedy longest match, and which word each belongs to; long words go through the automaton together."""
+        by_word = [self._greedy(w) if len(w) <= SHORT else None for w in words]
+        if long := [k for k, tokens in enumerate(by_word) if tokens is None]:
+            tokens, word = self._by_automaton([words[k] for k in long])
+            for k, part in zip(long, np.split(tokens, np.flatnonzero(np.diff(word)) + 1)):
+                by_word[k] = part.tolist()
+        sizes = np.fromiter(map(len, by_word), np.int64, len(words))
+        return np.array(list(itertools.chain.from_iterable(by_word)), np.int64), np.repeat(np.arange(len(words)), sizes)
+
+    def _by_automaton(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(w) for w in words], np.int64)
         first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         joined = "Ā".join(w.decode("latin-1") for w in words)
@@ -233,7 +279,7 @@ class Encoder:
         cut = [self.words(t) if t else [] for t in texts]
         new = list({w for words in cut for w in words if w not in memo})
         memo.update(zip(new, self.encode_words(new)))
-        out = [np.fromiter(itertools.chain.from_iterable(map(memo.__getitem__, words)), np.int32) for words in cut]
+        out = [np.array(list(itertools.chain.from_iterable(map(memo.__getitem__, words))), np.int32) for words in cut]
         for w in new:
             if len(w) > MEMO_WORD:
                 del memo[w]
