@@ -32,13 +32,13 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
     return add
 
 
-def question(name: str, sql: str, oracle: str | None = None) -> None:
+def question(name: str, sql: str, oracle: str | None = None, table_functions: bool = False) -> None:
     """Registers a question in SQL: it goes through the sandbox's check, with the tables that it names as views."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         import re
 
         words = set(re.findall(r"\w+", sql.lower()))
-        return Tables(spark, {n: read(spark, sf_dir, n) for n in NAMES if n in words}).frame(sql)
+        return Tables(spark, {n: read(spark, sf_dir, n) for n in NAMES if n in words}, table_functions).frame(sql)
 
     query(oracle or sql, name)(run)

@@ -1,4 +1,4 @@
-"""Search, ingestion, streaming and sandbox queries."""
+"""Search, ingestion and streaming queries, and questions in the dialect of the SQL surface."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import chunking, ingest, search
-from ..plans import guard
 from ..session import shared_folder
 from ..streaming import watch
-from . import query, read
+from . import query, question, read
 from .scalar import file_path
 
 _PATH = "source || '/' || lang || '/' || doc_id || '.txt'"
@@ -157,12 +156,16 @@ def split_text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, windows long, chars long, last_start long")
 
 
-@query()
+_CHUNKS = _SPLIT[: _SPLIT.index("SELECT doc_id, count(*) AS windows")] + r""", b AS (SELECT doc_id, cur, trim(substr(text, CAST(cur AS BIGINT) + 1, CAST(e - cur AS BIGINT)), E' \t\n\r\x0b\x0c') AS text FROM w),
+k AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cur) - 1 AS INTEGER) AS ordinal, text FROM b WHERE text <> '')"""
+
+
+@query(_CHUNKS + " SELECT doc_id, ordinal, text, sha256(text) AS chunk_hash FROM k")
 def split_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(_CHUNKS + r" SELECT doc_id, CAST(len(string_agg(text, E'\n\n' ORDER BY ordinal)) AS INTEGER) AS n_chars FROM k GROUP BY doc_id")
 def joined_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.joined_text(chunking.chunks(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id").select("doc_id", F.length("full_text").alias("n_chars"))
 
@@ -226,10 +229,12 @@ def file_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(file_path().alias("relative_path"), F.round(ingest.cost(tx.extension(file_path()), F.col("n_chars")), 9).alias("cost"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT {_PATH} AS relative_path, n_chars FROM documents), c AS (SELECT relative_path, CASE WHEN regexp_extract(relative_path, '\\.([a-z0-9]+)$', 1) IN ({', '.join(repr(x) for x in ingest.HEAVY)}) THEN 0.5::DOUBLE ELSE 0.002::DOUBLE + n_chars / 40000000.0::DOUBLE END AS cost FROM f),
+s AS (SELECT relative_path, cost, CAST(round(cost * 1000000) AS BIGINT) AS m, CAST(('0x' || substr(md5(relative_path), 1, 8))::UBIGINT % 64 AS INTEGER) AS shard FROM c)
+SELECT relative_path, cost, shard, CAST(floor((sum(m) OVER (PARTITION BY shard ORDER BY relative_path) - m) / 250000) AS INTEGER) AS batch FROM s""")
 def cost_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read(spark, sf_dir, "documents").select(file_path().alias("relative_path"), ingest.cost(tx.extension(file_path()), F.col("n_chars")).alias("cost"))
-    return ingest.cost_batches(files, 0.25)
+    return ingest.cost_batches(files, 0.25, 64)
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 100 AS id FROM documents WHERE lang = 'fr'")
@@ -312,31 +317,23 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.read_state(spark, f"{folder}/table", rows.schema).select("user_id", "event_id", "event_type")
 
 
-# Sandbox --------------------------------------------------------------------------------------------
-
-#: Statements and whether the sandbox lets them through.
-STATEMENTS = [
-    ("SELECT count(*) FROM region", True), ("WITH r AS (SELECT * FROM region) SELECT r_name FROM r", True), ("SELECT r_name FROM region;", True), ("-- note\nSELECT 1 AS x", True),
-    ("SELECT * FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)", True), ("DROP TABLE region", False), ("INSERT INTO region VALUES (9, 'x')", False), ("SELECT * FROM parquet.`/tmp/x`", False),
-    ("SELECT reflect('java.lang.System', 'exit', 0)", False), ("SELECT current_date", False), ("SELECT rand()", False), ("SELECT * FROM range(5)", False), ("SELECT 1; SELECT 2", False), ("", False), ("SHOW TABLES", False),
-    ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t) SELECT n FROM t", False), ("SELECT * FROM lineitem", False), ("SELECT r_name FROM region WHERE r_name RLIKE 'A'", False), ("SELECT nth_value(r_name, 1) OVER (ORDER BY r_name) FROM region", False),
-    ("SELECT explode(array(1, 2))", False), ("SELECT r_name FROM region LATERAL VIEW explode(array(1)) t AS x", False), ("SELECT (SELECT max(x.v) FROM secret x) FROM region", False),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {str(ok).lower()})" for i, (_, ok) in enumerate(STATEMENTS)) + ") t(id, allowed)")
-def sql_guard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def allowed(sql: str) -> bool:
-        try:
-            guard.check(spark, sql, ["region", "nation"])
-            return True
-        except guard.NotAllowed:
-            return False
-
-    return spark.createDataFrame([(i, allowed(sql)) for i, (sql, _) in enumerate(STATEMENTS)], "id bigint, allowed boolean")
-
-
-@query("SELECT * FROM (VALUES ('customer'), ('nation')) t(name)")
-def tables_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = "WITH c AS (SELECT c_nationkey FROM customer) SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)"
-    return spark.createDataFrame([(t,) for t in guard.check(spark, sql, ["customer", "nation", "orders"]).tables], "name string")
+# The dialect of questions: by types, words of its own, and table functions ---------------------------
+
+question("sql_whole_division", "SELECT l_orderkey, l_linenumber, l_orderkey / 7 AS whole, (l_orderkey + l_linenumber) / 2 / 3 AS twice, l_quantity / 7 AS real, l_orderkey / 0 AS none, CASE WHEN l_linenumber / 3 = 1 THEN l_partkey / CASE WHEN l_suppkey / 5 > 3 THEN 4 ELSE 9 END END AS nested FROM lineitem",
+         "SELECT l_orderkey, l_linenumber, l_orderkey // 7 AS whole, (l_orderkey + l_linenumber) // 2 // 3 AS twice, l_quantity / 7 AS real, CAST(NULL AS BIGINT) AS none, CASE WHEN l_linenumber // 3 = 1 THEN l_partkey // CASE WHEN l_suppkey // 5 > 3 THEN 4 ELSE 9 END END AS nested FROM lineitem")
+question("sql_whole_mean", "SELECT o_custkey, count(*) / 2 AS half, sum(o_orderkey) / count(*) AS mean, typeof(count(*) / 2) AS kind FROM orders GROUP BY o_custkey HAVING count(*) / 2 > 1",
+         "SELECT o_custkey, count(*) // 2 AS half, CAST(sum(o_orderkey) AS BIGINT) // count(*) AS mean, 'integer' AS kind FROM orders GROUP BY o_custkey HAVING count(*) // 2 > 1")
+question("sql_numeric_prefix", "SELECT c_custkey, CAST(substr(c_name, 10) || ' x' AS INTEGER) AS number, CAST(c_acctbal || 'abc' AS REAL) AS balance, CAST(c_name AS INTEGER) AS zero, CAST(CAST(c_acctbal AS TEXT) AS INTEGER) AS whole FROM customer",
+         "SELECT c_custkey, CAST(substr(c_name, 10) AS BIGINT) AS number, CAST(c_acctbal AS DOUBLE) AS balance, CAST(0 AS BIGINT) AS zero, CAST(trunc(c_acctbal) AS BIGINT) AS whole FROM customer")
+question("sql_glob_operator", "SELECT p_partkey, p_name GLOB '*[aeiou]?' AS ends, p_name GLOB substr(p_name, 1, 2) || '*' AS own FROM part WHERE p_name NOT GLOB '[m-z]*'",
+         "SELECT p_partkey, p_name GLOB '*[aeiou]?' AS ends, p_name GLOB (substr(p_name, 1, 2) || '*') AS own FROM part WHERE NOT (p_name GLOB '[m-z]*')")
+question("sql_nocase", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment COLLATE NOCASE, c_custkey) AS nth FROM customer WHERE lower(c_mktsegment) COLLATE NOCASE = 'BUILDING' OR c_mktsegment COLLATE NOCASE IN ('machinery')",
+         "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), c_custkey) AS nth FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery')")
+question("sql_printf", "SELECT o_orderkey, printf('%08.2f|%5d|%-4s|%x|%%', o_orderkey, o_custkey, o_orderstatus, o_custkey) AS line, printf('%d %s', NULL, NULL) AS empty FROM orders",
+         "SELECT o_orderkey, printf('%08.2f|%5d|%-4s|%x|%%', CAST(o_orderkey AS DOUBLE), o_custkey, o_orderstatus, o_custkey) AS line, '0 ' AS empty FROM orders")
+question("sql_row_formats", "SELECT o_orderkey, strftime(CASE WHEN o_orderkey / 2 * 2 = o_orderkey THEN '%Y/%m' ELSE '%d.%m %j %%' END, o_orderdate) AS day FROM orders",
+         "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate::DATE, '%Y/%m') ELSE strftime(o_orderdate::DATE, '%d.%m %j %%') END AS day FROM orders")
+question("sql_json_each", "SELECT e.event_id, j.key, CAST(j.value AS INTEGER) AS number FROM events e, LATERAL json_each(e.props) j WHERE CAST(j.value AS INTEGER) / 10 = 4",
+         "SELECT e.event_id, j.key, CAST(e.props ->> j.key AS BIGINT) AS number FROM events e, (SELECT event_id, unnest(json_keys(props)) AS key FROM events) j WHERE e.event_id = j.event_id AND CAST(e.props ->> j.key AS BIGINT) // 10 = 4", True)
+question("sql_json_parameter", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT CAST(value AS INTEGER) FROM json_each('[3, 9, 27, 81, 243]'))", "SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 9, 27, 81, 243)", True)
+question("sql_split_text", "SELECT d.doc_id, s.ordinal, length(s.text) AS size FROM documents d, LATERAL split_text(d.text) s", _CHUNKS + " SELECT doc_id, ordinal, CAST(len(text) AS INTEGER) AS size FROM k", True)

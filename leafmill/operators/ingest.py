@@ -73,14 +73,17 @@ def cost(extension: Column, size: Column) -> Column:
     return F.when(extension.isin(*HEAVY), HEAVY_SECONDS).otherwise(F.lit(LIGHT_SECONDS) + size / LIGHT_BYTES_PER_SECOND)
 
 
-def cost_batches(files: DataFrame, seconds: float, shards: int = 64) -> DataFrame:
-    """``batch`` for each file so that batches cost about ``seconds``: running sums of cost within hashed shards.
+def cost_batches(files: DataFrame, seconds: float, shards: int | None = None) -> DataFrame:
+    """``shard`` and ``batch`` for each file so that batches cost about ``seconds``: running sums of cost within hashed shards.
 
-    The shards keep the running sum from being one task's; a batch is (shard, number).
+    The shards keep the running sum from being one task's, so there are as many as the session has shuffle partitions, 64 at
+    least. Costs are summed as whole microseconds, so that the sums are exact.
     """
-    shard = F.pmod(F.xxhash64("relative_path"), F.lit(shards)).cast("int")
-    running = F.sum("cost").over(Window.partitionBy("shard").orderBy("relative_path")) - F.col("cost")
-    return files.withColumn("shard", shard).withColumn("batch", F.floor(running / seconds).cast("int"))
+    shards = shards or max(64, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shard = (F.conv(F.substring(F.md5("relative_path"), 1, 8), 16, 10).cast("bigint") % shards).cast("int")
+    micros = F.round(F.col("cost") * 1_000_000).cast("bigint")
+    running = F.sum(micros).over(Window.partitionBy("shard").orderBy("relative_path")) - micros
+    return files.withColumn("shard", shard).withColumn("batch", F.floor(running / int(seconds * 1_000_000)).cast("int"))
 
 
 def dense_ids(rows: DataFrame, start: int, order: str) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
-from .lenient import Unsupported, spelled
+from .lenient import Unsupported, spelled, words
 
 MAX_LENGTH = 8000
 # Functions of the SQL surface, and Spark's names for those that it spells differently.
@@ -58,16 +58,22 @@ def _each(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def check(spark: SparkSession, sql: str, tables: Iterable[str]) -> Checked:
-    """Parse ``sql`` and refuse what is not a SELECT over ``tables``. Returns it with the tables that it reads, also in Spark's spelling."""
-    text = statement(sql)
+def check(spark: SparkSession, sql: str, tables: Iterable[str], table_functions: Iterable[str] = ()) -> Checked:
+    """Parse ``sql`` and refuse what is not a SELECT over ``tables``. Returns it with the tables that it reads, also in Spark's spelling.
+
+    ``table_functions`` may stand in FROM, also laterally; by default there are none.
+    """
+    text, globbed = words(statement(sql))
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise NotAllowed(f"The statement cannot be read: {str(e).strip().splitlines()[0][:300]}") from None
     allowed, used = {t.lower() for t in tables}, {}
+    functions = {f.lower() for f in table_functions}
+    nodes = NODES | {"LateralJoin", "UnresolvedTableValuedFunction"} if functions else NODES
     calls: set[tuple[int, str]] = set()
     likes: set[int] = set()
+    globs: dict[int, tuple[int, int]] = {}
 
     def place(e) -> int:
         at = e.origin().startIndex()
@@ -85,6 +91,10 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str]) -> Checked:
                 calls.add((place(e), name))
         elif kind == "Like" and place(e) >= 0:
             likes.add(place(e))
+            word = re.compile(r"(?i)\s*(?:not\s+)?").match(text, place(e)).end()
+            if word in globbed:  # the parser gives a pattern's place, but not that of brackets around it
+                pattern = e.right().origin()
+                globs[place(e)] = (pattern.startIndex().get(), pattern.stopIndex().get() + 1)
         elif kind == "UnresolvedAttribute":
             parts = _each(e.nameParts())
             if len(parts) == 1 and parts[0].lower() in DENIED_NAMES:
@@ -98,8 +108,10 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str]) -> Checked:
 
     def node(p, ctes: frozenset[str]) -> None:
         kind = p.getClass().getSimpleName().strip("$")
-        if kind not in NODES:
+        if kind not in nodes:
             raise NotAllowed(f"Not allowed: {p.nodeName()}")
+        if kind == "UnresolvedTableValuedFunction" and (name := ".".join(_each(p.name())).lower()) not in functions:
+            raise NotAllowed(f"Not allowed: table function {name}")
         if kind == "UnresolvedRelation":
             parts = _each(p.multipartIdentifier())
             name = parts[0].lower()
@@ -122,6 +134,6 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str]) -> Checked:
 
     node(plan, frozenset())
     try:
-        return Checked(text, sorted(used), spelled(text, calls, likes))
+        return Checked(text, sorted(used), spelled(text, calls, likes, globs))
     except Unsupported as e:
         raise NotAllowed(f"Not allowed: {e}") from None

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import math
 import threading
 import uuid
@@ -14,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import typeof
 from ..operators import tabular
-from .guard import NotAllowed, check
+from . import table_functions as table_functions_
+from .guard import Checked, NotAllowed, check
+from .lenient import Unsupported, typed
 
 # Rows by default and at most, seconds, and the size from which whole numbers go as text.
 ROWS, MAX_ROWS, SECONDS, EXACT = 200, 1000, 5.0, 2**53
@@ -41,30 +42,33 @@ def json_safe(value):
     return str(value)
 
 
-@contextlib.contextmanager
-def lenient(spark: SparkSession):
-    """While a statement is analysed: division by zero, bad casts and comparisons of unlike types give NULL, not errors."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
-
-
 class Tables:
-    """Named DataFrames that SQL may read, and nothing else."""
+    """Named DataFrames that SQL may read, and nothing else.
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        self.spark, self.tables = spark, dict(tables)
+    Statements run in a session of their own, a clone in which division by zero, bad casts and comparisons of unlike types give
+    NULL, not errors; the given session and what runs in it keep their settings. With ``table_functions`` they may also stand in FROM.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], table_functions: bool = False):
+        self.tables, self.functions = dict(tables), table_functions_.NAMES if table_functions else ()
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
+        self.spark = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+        self.spark.conf.set("spark.sql.ansi.enabled", "false")
+        if table_functions:
+            table_functions_.register(self.spark)
 
     def frame(self, sql: str) -> DataFrame:
         """The checked statement as a DataFrame; Catalyst does the rest."""
-        checked = check(self.spark, sql, self.tables)
-        with lenient(self.spark):
-            return self.spark.sql(checked.spark_sql)
+        return self._frame(check(self.spark, sql, self.tables, self.functions))
+
+    def _frame(self, checked: Checked) -> DataFrame:
+        cast = self.spark._jvm.org.apache.spark.sql.catalyst.expressions.Cast.USER_SPECIFIED_CAST()
+        analysed = lambda text: self.spark.sql(text)._jdf.queryExecution().analyzed()
+        try:
+            return self.spark.sql(typed(checked.spark_sql, analysed, cast))
+        except Unsupported as e:
+            raise NotAllowed(f"Not allowed: {e}") from None
 
     def schema(self) -> list[dict]:
         """Per table its row count, columns with short type names, categories, and three sample rows."""
@@ -78,7 +82,7 @@ class Tables:
 
     def query(self, sql: str, max_rows: int = ROWS, seconds: float = SECONDS) -> Result:
         """Run one checked statement; one row more than asked for is fetched, to tell whether there are more."""
-        checked = check(self.spark, sql, self.tables)
+        checked = check(self.spark, sql, self.tables, self.functions)
         most = max(1, min(int(max_rows), MAX_ROWS))
         context, group, late = self.spark.sparkContext, f"leafmill-{uuid.uuid4().hex}", threading.Event()
 
@@ -88,13 +92,14 @@ class Tables:
 
         timer = threading.Timer(seconds, stop)
         context.setJobGroup(group, "question in SQL", True)
-        timer.start()
         try:
-            with lenient(self.spark):
-                df = self.spark.sql(checked.spark_sql)
-                rows = df.limit(most + 1).collect()
+            df = self._frame(checked)
+            timer.start()  # the limit is for running, not for planning
+            rows = df.limit(most + 1).collect()
         except AnalysisException as e:
             raise NotAllowed(self._clean(e, checked.tables)) from None
+        except NotAllowed:
+            raise
         except PySparkException as e:
             raise NotAllowed(f"The query took longer than {seconds:g} seconds" if late.is_set() else str(e).splitlines()[0][:300]) from None
         except Exception as e:
@@ -122,8 +127,14 @@ def to_csv(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *[csv_cell(F.col(c)) for c in df.columns]).alias("line"))
 
 
+def markdown_header(columns: list[str]) -> list[str]:
+    """The two lines above a Markdown table's body."""
+    names = [c.replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ") for c in columns]
+    return [f"| {' | '.join(names)} |", f"| {' | '.join(['---'] * len(names))} |"]
+
+
 def to_markdown(df: DataFrame) -> DataFrame:
-    """``line`` for each row of a Markdown table's body."""
+    """``line`` for each row of a Markdown table's body; ``markdown_header`` gives what stands above it."""
     from ..functions.text import markdown_cell
 
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[markdown_cell(F.col(c)) for c in df.columns]), F.lit(" |")).alias("line"))

@@ -11,6 +11,7 @@ from leafmill.functions import vectors as vx
 from leafmill.operators import chunking, ingest, search, tabular
 from leafmill.plans import guard
 from leafmill.plans import index as index_module
+from leafmill.plans import tables as tables_module
 from leafmill.plans.index import Index
 from leafmill.plans.tables import Tables, markdown_result, to_csv, to_markdown
 from leafmill.sources import files, workbook
@@ -326,7 +327,7 @@ def test_spreadsheet_documents(spark, tmp_path):
     ("SELECT date(d), strftime('%Y', d) FROM t WHERE s = 'Cx'", [[None, None]]), ("SELECT n / 0, n % 0, sqrt(-1), CAST('x' AS INT) FROM t WHERE n = 1", [[None, None, None, None]]),
     ("SELECT s FROM t WHERE s LIKE 'c%' OR glob('[a]', s) ORDER BY s", [["Cx"], ["a"]]), ("SELECT s FROM t WHERE s NOT LIKE 'A' AND like('B', s)", [["b"]]),
     ("SELECT printf('%05.1f|%s', v, s), format('%d', n), trim('xxaxx', 'x'), ltrim('xa', 'x'), rtrim('ax', 'x') FROM t WHERE n = 1", [["005.0|b", "1", "a", "a", "a"]]),
-    ("SELECT s, total(v) OVER (ORDER BY s) FROM t ORDER BY s", [["Cx", 2.5], ["a", 2.5], ["b", 7.5]]), ("SELECT max(n), min(s), abs(-2), round(2.5), substr('abc', -2), instr('abc', 'c'), replace('aa', 'a', 'b'), ifnull(NULL, 1), sign(-3), power(2, 3) FROM t", [[2, "Cx", 2, "3", "bc", 3, "bb", 1, -1.0, 8.0]]),
+    ("SELECT s, total(v) OVER (ORDER BY s) FROM t ORDER BY s", [["Cx", 2.5], ["a", 2.5], ["b", 7.5]]), ("SELECT max(n), min(s), abs(-2), round(2.5), substr('abc', -2), instr('abc', 'c'), replace('aa', 'a', 'b'), ifnull(NULL, 1), sign(-3), power(2, 3) FROM t", [[2, "Cx", 2, 3.0, "bc", 3, "bb", 1, -1.0, 8.0]]),
 ])
 def test_sql_surface(spark, sql, want):
     """Every function that the sandbox lets through runs, as the embedded engine has it."""
@@ -420,3 +421,66 @@ def test_results_come_in_plan_order(spark):
     plan = spark.createDataFrame([(f"f{i}", 9 - i) for i in range(10)], "path string, place int")
     done = spark.createDataFrame([(f"f{i}",) for i in (3, 7, 1)], "path string")
     assert [r.path for r in watch.in_plan_order(done, plan, "path", "place").collect()] == ["f7", "f3", "f1"]
+
+
+STATEMENTS = [
+    ("SELECT count(*) FROM region", True), ("WITH r AS (SELECT * FROM region) SELECT r_name FROM r", True), ("SELECT r_name FROM region;", True), ("-- note\nSELECT 1 AS x", True),
+    ("SELECT * FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)", True), ("DROP TABLE region", False), ("INSERT INTO region VALUES (9, 'x')", False), ("SELECT * FROM parquet.`/tmp/x`", False),
+    ("SELECT reflect('java.lang.System', 'exit', 0)", False), ("SELECT current_date", False), ("SELECT rand()", False), ("SELECT * FROM range(5)", False), ("SELECT 1; SELECT 2", False), ("", False), ("SHOW TABLES", False),
+    ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t) SELECT n FROM t", False), ("SELECT * FROM lineitem", False), ("SELECT r_name FROM region WHERE r_name RLIKE 'A'", False), ("SELECT nth_value(r_name, 1) OVER (ORDER BY r_name) FROM region", False),
+    ("SELECT explode(array(1, 2))", False), ("SELECT r_name FROM region LATERAL VIEW explode(array(1)) t AS x", False), ("SELECT (SELECT max(x.v) FROM secret x) FROM region", False),
+]
+
+
+def test_what_the_sandbox_lets_through(spark):
+    def allowed(sql, functions=()):
+        try:
+            guard.check(spark, sql, ["region", "nation"], functions)
+            return True
+        except guard.NotAllowed:
+            return False
+
+    assert [allowed(sql) for sql, _ in STATEMENTS] == [ok for _, ok in STATEMENTS]
+    lateral = "SELECT j.key FROM region r, LATERAL json_each(r.r_name) j"
+    assert not allowed(lateral) and allowed(lateral, ["json_each"]) and not allowed("SELECT * FROM range(5)", ["json_each"]) and not allowed("SELECT j.key FROM region r, LATERAL json_each((SELECT max(x.v) FROM secret x)) j", ["json_each"])
+    sql = "WITH c AS (SELECT c_nationkey FROM customer) SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)"
+    assert guard.check(spark, sql, ["customer", "nation", "orders"]).tables == ["customer", "nation"]
+
+
+#: As an embedded engine answers them, computed by it.
+DIALECT = [
+    "SELECT n/2, (n+1)/2/2, n/2*1.0, v/2, n/v, 7/2, -7/2, n/0 FROM t ORDER BY n", "SELECT CASE WHEN n/2 > 1 THEN n/3 ELSE 10 / CASE WHEN n/7 = 1 THEN 3 ELSE 4 END END FROM t ORDER BY n", "SELECT typeof(n/2), typeof(v/2), count(*)/3 FROM t GROUP BY 1,2 ORDER BY 1,2",
+    "SELECT CAST(c AS INTEGER), CAST(c AS REAL), CAST(n AS TEXT), CAST(v AS INTEGER), CAST(CAST(c AS INTEGER)/5 AS TEXT) FROM t ORDER BY n", "SELECT CAST('12abc' AS INT) / 5, CAST('x' AS REAL) FROM t LIMIT 1", "SELECT s FROM t WHERE s COLLATE NOCASE = 'b' ORDER BY s COLLATE NOCASE, n",
+    "SELECT s FROM t WHERE s GLOB '[aB]' ORDER BY s", "SELECT s FROM t WHERE s NOT GLOB 'a*' ORDER BY s", "SELECT s, s GLOB g, s GLOB lower(g) FROM t ORDER BY n", "SELECT s FROM t WHERE s GLOB trim('xBx','x')", "SELECT printf('%05.2f|%d|%s|%5s|%-4d|%%|%x', n, v, s, s, n, 255) FROM t WHERE n > 0 ORDER BY n",
+    "SELECT printf('%.1f %d %s', NULL, NULL, NULL) FROM t LIMIT 1", "SELECT printf('%d', '12abc') FROM t LIMIT 1", "SELECT strftime(f, d) FROM t ORDER BY n", "SELECT max(n)/2 FROM t HAVING max(n)/2 = 3", "SELECT n FROM t WHERE n/2 = (SELECT max(n)/2 FROM t) ORDER BY n", "SELECT n -- 1/2 / 'x' GLOB\n / 2 /* n / v */ AS x FROM t ORDER BY n",
+    "WITH a AS (SELECT n/2 AS h FROM t) SELECT h/2 FROM a WHERE h IS NOT NULL ORDER BY h", "SELECT sum(n) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) / 2 FROM t WHERE n IS NOT NULL ORDER BY n", "SELECT '1/2', \"n\" / 2 FROM t WHERE s <> 'GLOB' ORDER BY n",
+]
+
+
+def test_the_dialect_as_an_embedded_engine_answers(spark):
+    import sqlite3
+
+    rows = [(1, "a", 2.5, "12abc", "%Y/%m", "2024-01-31", "a*"), (7, "B", None, " 3.9x", "%d.%%", "2024-02-01", "[B]"), (-7, "b", -1.5, "x", "%H", "bad", "?"), (None, None, 0.0, "-9999999999999999999999", None, None, None)]
+    tables = Tables(spark, {"t": spark.createDataFrame(rows, "n bigint, s string, v double, c string, f string, d string, g string")})
+    with sqlite3.connect(":memory:") as db:
+        db.execute("CREATE TABLE t (n INTEGER, s TEXT, v REAL, c TEXT, f TEXT, d TEXT, g TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?, ?)", rows)
+        for sql in DIALECT:
+            want = [[tables_module.json_safe(x) for x in r] for r in db.execute(sql)]
+            got = [[int(x) if isinstance(x, bool) else x for x in r] for r in tables.query(sql, seconds=60).rows]
+            assert got == want, sql
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"  # the given session keeps its settings
+
+
+def test_table_functions(spark):
+    rows = [(1, '[1, "x", null]', "para one.\n\n" * 200), (2, '{"a": 5, "b": [1]}', None), (3, None, " "), (4, "bad", "short"), (5, "[]", "")]
+    df = spark.createDataFrame(rows, "id int, j string, x string")
+    tables = Tables(spark, {"t": df}, table_functions=True)
+    got = tables.query("SELECT t.id, e.key, e.value FROM t, LATERAL json_each(t.j) e ORDER BY 1, 2", seconds=60).rows
+    assert got == [[1, "0", "1"], [1, "1", "x"], [1, "2", None], [2, "a", "5"], [2, "b", "[1]"]]
+    plan = tables.frame("SELECT t.id, e.key FROM t, LATERAL json_each(t.j) e")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Join" not in plan and "Python" not in plan
+    cut = tables.query("SELECT t.id, s.ordinal, s.text FROM t, LATERAL split_text(t.x) s ORDER BY 1, 2", seconds=60).rows
+    assert [r[2] for r in cut if r[0] == 1] == chunking.split_text(rows[0][2]) and [r for r in cut if r[0] != 1] == [[4, 0, "short"]]
+    with pytest.raises(guard.NotAllowed):
+        Tables(spark, {"t": df}).query("SELECT e.key FROM t, LATERAL json_each(t.j) e")
