@@ -201,9 +201,9 @@ def cell_number(cell: Column) -> Column:
 
 
 # The forms of dates that cells show.
-_ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?Z?$"
-_SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([AaPp][Mm]))?)?$"
-_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
+_ISO = r"^(?!0000)(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:(?<=:\d{2}:\d{2})\.\d+)?)?Z?$"
+_SLASHED = r"^(\d{1,2})/(\d{1,2})/(?!0000)(\d{2}|\d{4})(?:\s+(\d{1,2}):(\d{2})(:\d{2})?(?:\s*([AaPp][Mm]))?)?$"
+_YEAR_FIRST = r"^(?!0000)(\d{4})/(\d{1,2})/(\d{1,2})$"
 
 
 def cell_date(cell: Column) -> Column:
@@ -211,27 +211,28 @@ def cell_date(cell: Column) -> Column:
 
     Forms are ``y-m-d`` with or without a time, ``y/m/d``, and ``m/d/y`` (``d/m/y`` where only that can be) with or without a time,
     also of twelve hours. Two-digit years up to 69 are of this century. A date that does not exist gives null.
+
+    Each form is put into the order of a timestamp by one replacement, and Spark's cast tells whether it exists; so the expression stays
+    small, and in generated code.
     """
     text = F.trim(cell)
-    part = lambda pattern, k: F.coalesce(F.regexp_extract(text, pattern, k).try_cast("int"), F.lit(0))
-
-    def made(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
-        real = (year >= 1) & (hour < 24) & (minute < 60) & (second < 60)
-        at = F.when(real, F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(8,6)"))).cast("string")
-        return F.when(at.endswith(" 00:00:00"), F.substring(at, 1, 10)).otherwise(at)
-
-    a, b, y = part(_SLASHED, 1), part(_SLASHED, 2), part(_SLASHED, 3)
-    day_first = (a > 12) & (b <= 12)
-    short = F.length(F.regexp_extract(text, _SLASHED, 3)) == 2
-    year = F.when(short & (y < 70), y + 2000).when(short, y + 1900).otherwise(y)
-    half = F.lower(F.regexp_extract(text, _SLASHED, 7))
-    hour = F.when(half == "", part(_SLASHED, 4)).otherwise(part(_SLASHED, 4) % 12 + F.when(half == "pm", 12).otherwise(0))
-    zero = F.lit(0)
-    return (
-        F.when(text.rlike(_ISO), made(*[part(_ISO, k) for k in range(1, 7)]))
-        .when(text.rlike(_SLASHED), made(year, F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b), hour, part(_SLASHED, 5), part(_SLASHED, 6)))
-        .when(text.rlike(_YEAR_FIRST), made(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3), zero, zero, zero))
+    # two-digit years get their century first, so that all years have four digits
+    full = F.regexp_replace(F.regexp_replace(text, r"^(\d+/\d+/)([0-6]\d)(?!\d)", "$120$2"), r"^(\d+/\d+/)([7-9]\d)(?!\d)", "$119$2")
+    with_time, of_twelve = F.contains(text, F.lit(":")), F.lower(F.right(text, F.lit(1))) == "m"
+
+    def slashed(order: str) -> Column:
+        hour = F.regexp_extract(text, _SLASHED, 4).try_cast("int") % 12 + F.when(F.lower(F.right(text, F.lit(2))) == "pm", 12).otherwise(0)
+        twelve = F.concat(F.regexp_replace(full, _SLASHED, f"{order} "), hour.cast("string"), F.regexp_replace(full, _SLASHED, ":$5$6"))
+        return F.when(of_twelve, twelve).when(with_time, F.regexp_replace(full, _SLASHED, f"{order} $4:$5$6")).otherwise(F.regexp_replace(full, _SLASHED, order))
+
+    is_slashed = text.rlike(_SLASHED)
+    ordered = (
+        F.when(text.rlike(_ISO), F.when(with_time, F.regexp_replace(text, _ISO, "$1 $2$3")).otherwise(F.regexp_replace(text, _ISO, "$1")))
+        .when(text.rlike(_YEAR_FIRST), F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3")).when(is_slashed, slashed("$3-$1-$2"))
     )
+    # a first number over 12 can only be a day; otherwise the second order gives a month that does not exist either
+    at = F.coalesce(ordered.try_cast("timestamp_ntz"), F.when(is_slashed, slashed("$3-$2-$1")).try_cast("timestamp_ntz"))
+    return F.regexp_replace(at.cast("string"), " 00:00:00$", "")
 
 
 def cell_kind(cell: Column) -> Column:
