@@ -47,6 +47,8 @@ HIDDEN = 16
 #: Taken from the score of a span's first label when texts are decoded: clean text is far more common there than among the
 #: labelled sentences.
 CAUTION = 4.0
+#: Positions, about, whose scores are summed at once.
+CACHED = 8192
 #: Labelled sentences for training, and passes over them; code points of a training window.
 SENTENCES, PASSES, BATCH, LESSON = 6000, 10, 128, 96
 
@@ -128,14 +130,16 @@ class Tagger:
         for t in range(steps):
             np.matmul(h, wh, out=a)
             a += np.take(table, ids[t], axis=0, out=x, mode="clip")
-            np.clip(a, 0.0, 1.0, out=a)
+            np.maximum(a, 0.0, out=a)
+            np.minimum(a, 1.0, out=a)
             before = c.copy() if keep is not None else None
             np.multiply(g, 2.0, out=new)
             new -= 1.0
             new *= i
             c *= f
             c += new
-            tc = np.clip(c, -1.0, 1.0, out=out[t])
+            tc = np.maximum(c, -1.0, out=out[t])
+            np.minimum(tc, 1.0, out=tc)
             if keep is not None:
                 keep.append((a[:, : 3 * size].copy(), 2 * g - 1, before, tc.copy(), h))
             tc *= o
@@ -261,19 +265,25 @@ class Tagger:
                 out[k] = labels[: size[j], j]
         return out
 
-    def _open(self, e: np.ndarray) -> np.ndarray:
-        """Positions that a span of a best path can cover.
-
-        A span pays only if its labels' scores, with the best transitions that it can have, exceed those of O in its place; otherwise
-        the path with O there is as good. The best span through a position follows from running sums and maxima.
-        """
+    def _gains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The I labels, and for each kind the best that transitions can add when a span is entered, goes on and is left, over O in its place."""
         trans, n = self.p["trans"].astype(np.float64), len(LABELS)
         inner = np.arange(2, n, 2)
         others = [k for k in range(n) if not LABELS[k].startswith("I")]
         enter = (trans[:, inner - 1] - trans[:, :1]).max(0)
         stay = np.maximum(trans[inner - 1, inner], trans[inner, inner]) - trans[0, 0]
         leave = np.maximum((trans[inner - 1][:, others] - trans[0, others]).max(1), (trans[inner][:, others] - trans[0, others]).max(1))
-        over = np.ascontiguousarray((e - e[:, :1]).T).astype(np.float64)  # in rows of labels
+        return inner, enter, stay, leave
+
+    def _open(self, e: np.ndarray) -> np.ndarray:
+        """Positions that a span of a best path can cover.
+
+        A span pays only if its labels' scores, with the best transitions that it can have, exceed those of O in its place; otherwise
+        the path with O there is as good. The best span through a position follows from running sums and maxima.
+        """
+        inner, enter, stay, leave = self._gains()
+        over = e.T.astype(np.float64)  # in rows of labels
+        over -= over[0]
         sums = np.cumsum(over[inner] + stay[:, None], 1)
         start = np.maximum.accumulate(over[inner - 1] + enter[:, None] - sums, 1)
         rest = np.maximum.accumulate(sums[:, ::-1], 1)[:, ::-1]
@@ -289,7 +299,14 @@ class Tagger:
         border = np.full((1, len(LABELS)), -1e4, np.float32)
         border[0, 0] = 0.0
         e = np.concatenate([border, *(x for part in emitted for x in (part, border))])
-        edge = np.flatnonzero(np.diff(np.r_[False, self._open(e), False].astype(np.int8)))
+        # a few texts at a time, whose arrays stay in the processor's cache
+        ends, cuts = np.cumsum([len(x) + 1 for x in emitted]), [0]
+        for end in ends.tolist():
+            if end - cuts[-1] >= CACHED:
+                cuts.append(end)
+        cuts = [*cuts, len(e)] if cuts[-1] < len(e) else cuts
+        open_ = np.concatenate([self._open(e[a:b]) for a, b in zip(cuts, cuts[1:])])
+        edge = np.flatnonzero(np.diff(np.r_[False, open_, False].astype(np.int8)))
         ends = [(max(0, a - 1), min(len(e), b + 1)) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         out = np.zeros(len(e), np.int64)
         for (a, b), labels in zip(ends, self.viterbi([e[a:b] for a, b in ends])):
