@@ -8,7 +8,7 @@ rescans every blob for that rule alone.
 
 A rule is a pattern whose matches are taken leftmost and non-overlapping; a match stays if its checked group
 is long enough. Spans count code points, end exclusive: they follow from the lengths of the matches
-(``regexp_extract_all``) and of the text between them (``split``).
+(``regexp_extract_all``) and of the text between them (``split``), summed by a window over the matches of a blob.
 
 Defined results: null text counts as empty and has no findings. Repeated rows, and the same content at other paths, all get
 the findings of their blob. Of matches at one place the longer pattern of a rule stays, as its expression says; spans of different
@@ -21,7 +21,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -54,22 +54,26 @@ RULES = BASE + FURTHER
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Spans of a rule's matches in ``text``; the expression is only evaluated where the pattern occurs."""
-    pattern = F.lit(rule.pattern)
+MATCHES = "array<struct<b:int,f:int,c:int>>"
+
+
+def matches(text: Column, rule: Rule) -> Column:
+    """Of each match of a rule in ``text`` the code points between it and the match before it (b), its own (f), and those of the checked
+    group (c); null where the pattern does not occur. All in one pass each."""
     lengths = lambda a: F.transform(a, F.length)
-    between, found = lengths(F.split(text, rule.pattern, -1)), lengths(F.regexp_extract_all(text, pattern, F.lit(0)))
-    checked = lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))) if rule.group else found
-    rows = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"), checked.alias("c"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    between, found = lengths(F.split(text, rule.pattern, -1)), lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    checked = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else found
+    return F.when(text.rlike(rule.pattern), F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"), checked.alias("c")).cast(MATCHES))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["b"]
-        end = first + x["f"]
-        kept = F.array(F.struct(first.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["c"] >= rule.least, F.concat(acc["out"], kept)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+def located(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, kind, version, spans`` from ``blob, kind, version, matches``: where each match lies follows from the running sum of what comes
+    before it, taken by a window, so that a text with very many matches costs no more for each of them."""
+    least = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.least))])
+    each = found.select("blob", "kind", "version", F.posexplode("matches").alias("nth", "m")).select("blob", "kind", "version", "nth", "m.*")
+    end = F.sum(F.col("b") + F.col("f")).over(Window.partitionBy("blob", "kind", "version").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    kept = each.withColumn("end", end).where(F.col("c") >= least[F.col("kind")])
+    return kept.groupBy("blob", "kind", "version").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("f")).alias("start"), "end"))).cast(SPANS).alias("spans"))
 
 
 def open_ledger(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -99,9 +103,9 @@ def update_ledger(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RU
     ).where(F.size("todo") > 0)
     k, t = keyed.alias("k"), todo.alias("t")
     unseen = k.join(t, F.col("k.path").eqNullSafe(F.col("t.path")) & F.col("k.version").eqNullSafe(F.col("t.version")) & (F.col("k.blob") == F.col("t.blob"))).select("k.blob", "k.text", "t.todo")
-    per_rule = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.array_contains("todo", r.kind), spans(F.col("text"), r)).alias("spans")) for r in rules]
-    found = unseen.select("blob", F.filter(F.array(*per_rule), lambda x: F.size(x["spans"]) > 0).alias("found")).where(F.size("found") > 0)
-    found.select("blob", F.explode("found").alias("x")).select("blob", "x.*").write.mode("append").parquet(f"{folder}/findings")
+    per_rule = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.array_contains("todo", r.kind), matches(F.col("text"), r)).alias("matches")) for r in rules]
+    found = unseen.select("blob", F.filter(F.array(*per_rule), lambda x: F.size(x["matches"]) > 0).alias("found")).where(F.size("found") > 0)
+    located(found.select("blob", F.explode("found").alias("x")).select("blob", "x.*"), rules).write.mode("append").parquet(f"{folder}/findings")
     versions_of = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
     todo.select("blob", F.explode("todo").alias("kind")).withColumn("version", versions_of[F.col("kind")]).write.mode("append").parquet(f"{folder}/scanned")
 

@@ -536,10 +536,20 @@ def test_secret_spans(spark):
     from pyspark.sql import functions as F
 
     plain = [(0, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), (1, r"AKIA[A-Z0-9]+", 0, 20), (2, r"[0-9a-f]+", 0, 24)]
-    rows = df.select("i", *[secrets_ledger.spans(F.col("text"), rule).alias(rule.kind) for rule in secrets_ledger.BASE]).collect()
-    for row in rows:
+    of = lambda rule: F.struct(F.lit(rule.kind).alias("kind"), F.lit(1).alias("version"), secrets_ledger.matches(F.col("text"), rule).alias("matches"))
+    found = df.select(F.col("i").alias("blob"), F.explode(F.array(*map(of, secrets_ledger.BASE))).alias("x")).select("blob", "x.*").where("matches is not null")
+    spans = {(r.blob, r.kind): [tuple(s) for s in r.spans] for r in secrets_ledger.located(found, secrets_ledger.BASE).collect()}
+    for i, text in enumerate(texts):
         for k, pattern, group, least in plain:
-            assert [tuple(s) for s in row[k + 1]] == [m.span() for m in re.finditer(pattern, texts[row.i]) if len(m[group]) >= least]
+            assert spans.get((i, secrets_ledger.BASE[k].kind), []) == [m.span() for m in re.finditer(pattern, text) if len(m[group]) >= least]
+
+
+def test_very_many_secrets_in_one_text(spark, tmp_path):
+    text = "0123456789abcdef01234567 " * 80_000
+    spark.createDataFrame([(1, text), (2, "x"), (3, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op5_secret_scan"](spark, str(tmp_path)).collect()}
+    spans = ",".join(f"hex:{25 * i}:{25 * i + 24}" for i in range(80_000))
+    assert (got[1].n_hex, got[1].spans, got[1].base_sha256) == (80_000, spans, sha(spans)) and got[3].spans == spans and got[2].spans == ""
 
 
 # 6 ----------------------------------------------------------------------------------------------
