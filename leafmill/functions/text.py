@@ -181,7 +181,7 @@ def header_score(cells: Column) -> Column:
 # Cells ------------------------------------------------------------------------------------------
 
 #: Texts that mean "no value".
-NULL_TOKENS = ("n/a", "na", "null", "none", "nan", "-", "--", "#n/a", "#div/0!", "#value!", "#ref!", "#name?", "#num!", "#null!")
+NULL_TOKENS = ("n/a", "na", "null", "none", "nan", "-", "--", "#n/a", "#null!", "#div/0!", "#value!", "#ref!", "#name?", "#num!")
 _NUMBER = r"^\(?[+-]?[$€£]?[+-]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)?(\.[0-9]+)?([eE][+-]?[0-9]+)?\)?$"
 
 

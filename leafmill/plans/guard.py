@@ -15,10 +15,12 @@ from pyspark.sql import SparkSession
 from .lenient import Unsupported, spelled, words
 
 MAX_LENGTH = 8000
-# Functions of the SQL surface, and Spark's names for those that it spells differently.
+# Functions of the SQL surface (aggregates, scalars, dates, window functions), and Spark's names for those that it spells differently.
 FUNCTIONS = frozenset(
-    "count sum avg min max total group_concat abs round coalesce ifnull nullif iif lower upper trim ltrim rtrim length replace instr substr substring typeof like glob printf format "
-    "sign floor ceil ceiling sqrt power strftime date datetime time julianday row_number rank dense_rank ntile lag lead first_value last_value".split()
+    "count sum avg min max total group_concat "
+    "round abs coalesce nullif ifnull iif lower upper trim ltrim rtrim substr substring length replace instr typeof like glob printf format floor ceil ceiling sqrt power sign "
+    "strftime date datetime time julianday "
+    "row_number rank dense_rank lag lead first_value last_value ntile".split()
 )
 SPARK_FORMS = frozenset("if listagg string_agg concat greatest least try_divide div format_string date_format to_date try_to_timestamp year month day dayofweek dayofyear date_add date_sub datediff trunc date_trunc unix_date ilike isnull isnotnull between".split())
 #: Plan nodes of a SELECT; a local relation is what VALUES becomes.
