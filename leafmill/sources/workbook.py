@@ -1,8 +1,7 @@
-"""Sheets as typed tables: an XLSX and CSV reader as a Python data source, and the typing of its columns."""
+"""Sheets as typed tables: an XLSX reader as a Python data source, CSV files by ranges, and the typing of their columns."""
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import zipfile
@@ -14,11 +13,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as tx
 from ..operators import tabular
+from . import csv_ranges
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 MAX_ROWS = 500_000
-DELIMITERS = ",;\t|"
 _DATE_FORMATS = frozenset(range(14, 23)) | {45, 46, 47}
 
 
@@ -77,27 +76,6 @@ def xlsx_rows(content: bytes):
                     row.clear()
 
 
-def csv_rows(content: bytes):
-    """("", line number, cells) with the delimiter that the first line holds most of; comma wins ties."""
-    try:
-        text = content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        text = content.decode("cp1252", "replace")
-    head = text.split("\n", 1)[0]
-    delimiter = max(DELIMITERS, key=lambda d: (head.count(d), -DELIMITERS.index(d)))
-    reader, line = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1
-    for row in reader:
-        at, line = line, reader.line_num + 1
-        while row and not row[-1].strip():
-            row.pop()
-        if row:
-            yield "", at, row
-
-
-def rows_of(path: str, content: bytes):
-    return csv_rows(content) if path.lower().endswith(".csv") else xlsx_rows(content)
-
-
 # Workbooks as documents ---------------------------------------------------------------------------
 
 # Rows up to which each is a chunk of its own, characters of a packed chunk, chunks of a sheet at most, rows in which
@@ -218,13 +196,19 @@ class _SheetReader(DataSourceReader):
         from .files import content_of
 
         content = content_of(partition.value)
-        for sheet, n, cells in rows_of(partition.value, content):
+        for sheet, n, cells in xlsx_rows(content):
             yield partition.value, sheet, n, cells
 
 
 def read_sheets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, sheet, row_num, cells`` of all rows of the given workbooks, a task each, and CSV files, a task for each range of bytes."""
+    texts, books = ([p for p in paths if p.lower().endswith(".csv") == csv] for csv in (True, False))
     spark.dataSource.register(SheetSource)
-    return spark.read.format("leafmill_sheets").option("paths", "\n".join(paths)).load()
+    rows = spark.read.format("leafmill_sheets").option("paths", "\n".join(books)).load() if books or not texts else None
+    if texts:
+        lines = csv_ranges.read_csv(spark, spark.createDataFrame([(p,) for p in texts], "path string"))
+        rows = lines if rows is None else rows.unionByName(lines)
+    return rows
 
 
 def sheet_columns(headers: list[str | None]) -> list[str]:
