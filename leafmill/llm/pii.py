@@ -47,6 +47,8 @@ HIDDEN = 16
 #: Taken from the score of a span's first label when texts are decoded: clean text is far more common there than among the
 #: labelled sentences.
 CAUTION = 4.0
+#: Rows of a matrix product: so few that the linear algebra library does not share it among threads, whose waiting costs twice the time.
+BLAS_ROWS = 240
 #: Positions, about, whose scores are summed at once.
 CACHED = 8192
 #: Labelled sentences for training, and passes over them; code points of a training window.
@@ -128,7 +130,8 @@ class Tagger:
         out = np.empty((steps, n, size), np.float32)
         i, f, o, g = (a[:, k * size : (k + 1) * size] for k in range(4))
         for t in range(steps):
-            np.matmul(h, wh, out=a)
+            for k in range(0, n, BLAS_ROWS):
+                np.matmul(h[k : k + BLAS_ROWS], wh, out=a[k : k + BLAS_ROWS])
             a += np.take(table, ids[t], axis=0, out=x, mode="clip")
             np.maximum(a, 0.0, out=a)
             np.minimum(a, 1.0, out=a)
@@ -504,7 +507,7 @@ def trained(spark: SparkSession, n: int | None = None, seed: int = 0) -> Tagger:
 _TENT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def emitted(tagger: Tagger, texts: list[str], most: int = 512) -> list[np.ndarray]:
+def emitted(tagger: Tagger, texts: list[str], most: int = 480) -> list[np.ndarray]:
     """Emission scores of every code point of each text; windows of all texts go through the network together, ``most`` at a time."""
     sums = [np.zeros((len(t), len(LABELS)), np.float32) for t in texts]
     weight = [np.zeros(len(t), np.float32) for t in texts]
