@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import ORACLES, QUERIES, answers, index_queries, relational, scalar  # noqa: F401  the modules register their queries
+from .catalog import ORACLES, QUERIES, answers, built, index_queries, relational, scalar  # noqa: F401  the modules register their queries
 from .functions import text as tx
 from .operators import chunking, search
 
