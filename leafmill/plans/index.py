@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import answers, chunking, ingest, search
+from ..sources import assets as visuals
 from ..sources import files as source
 from ..sources.filters import Rules
 from ..sources.legacy import legacy_tables
@@ -514,6 +515,13 @@ class Index:
         self._drop_unused(before, manifest)
         return manifest
 
+    def visual_assets(self, document_ids: list[str] | None = None, most: int | None = None) -> DataFrame:
+        """The visual assets of the documents, opened: their bytes, formats, sizes and hashes (see ``assets.resolve``)."""
+        documents = self.read("documents")
+        documents = documents.where(F.col("relative_path").isin(*document_ids)) if document_ids else documents
+        listed = documents.select("relative_path", F.posexplode("assets").alias("at", "a")).select("a.kind", "relative_path", "a.page", "a.media")
+        return visuals.resolve(self.spark, self.root, listed, most)
+
     def missing_documents(self) -> DataFrame:
         return ingest.missing(self.read("files"), self.read("documents"), "relative_path")
 

@@ -22,7 +22,9 @@ from ..functions import text as tx
 from .filters import Rules, ignored, size_reason, skip_reason
 
 TEXT_SUFFIXES = frozenset("txt md markdown rst log csv tsv json jsonl xml html htm yaml yml toml ini cfg conf py js ts tsx jsx java c h cpp hpp cs go rs rb php sh sql css scala kt r".split())
-UNSUPPORTED = {"pdf": "PDF needs a library that is not installed", "xls": "XLS needs a library that is not installed"} | dict.fromkeys(tx.VISUAL_SUFFIXES, "Images need a library that is not installed")
+UNSUPPORTED = {"pdf": "PDF needs a library that is not installed", "xls": "XLS needs a library that is not installed"}
+#: Images whose headers are read; drawings (svg) are text.
+IMAGES = tuple(x for x in tx.VISUAL_SUFFIXES if x != "svg")
 
 
 def discover(spark: SparkSession, root: str, rules: Rules = Rules(), max_mb: float = 50.0) -> DataFrame:
@@ -176,6 +178,11 @@ def document(path: str, content: bytes) -> dict:
     if suffix in ("docx", "docm") or (suffix == "doc" and content[:2] == b"PK"):
         text, assets = docx_document(content)
         return {"text": text, "parser": "docx", "assets": assets or None}
+    if suffix in IMAGES:
+        from .assets import image_document
+
+        text, assets = image_document(path.replace("\\", "/").rpartition("/")[2], content)
+        return {"text": text, "parser": "image", "assets": assets}
     text, parser = extract(path, content)
     return {"text": text, "parser": parser}
 
