@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ingest
 
 # Signals of a question that needs a calculation, phrases with "by" that are none, and other intents.
 PASSIVE_BY = r"\b(written|signed|approved|created|prepared|submitted|authored|sent|owned|reviewed|issued|made|modified|updated|edited|followed|caused|driven|covered|governed|required)\s+by\b"
@@ -247,9 +248,11 @@ def added_only(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def placed(rows: DataFrame, by: str | None, *order: Column) -> DataFrame:
-    """``rows`` with their ``place`` in an order, within each ``by``: threads by last change, messages by time."""
-    window = Window.partitionBy(by) if by else Window
-    return rows.withColumn("place", F.row_number().over(window.orderBy(*order)))
+    """``rows`` with their ``place`` in an order, within each ``by``: threads by last change, messages by time. The places of a whole table
+    are those of its ranges, so no task numbers all rows."""
+    if by is None:
+        return ingest.dense_ids(rows, 0, *order).withColumnRenamed("id", "place")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
 def setting(meta: DataFrame, changes: DataFrame) -> DataFrame:

@@ -86,12 +86,12 @@ def cost_batches(files: DataFrame, seconds: float, shards: int | None = None) ->
     return files.withColumn("shard", shard).withColumn("batch", F.floor(running / int(seconds * 1_000_000)).cast("int"))
 
 
-def dense_ids(rows: DataFrame, start: int, order: str) -> DataFrame:
+def dense_ids(rows: DataFrame, start: int, *order: str | Column) -> DataFrame:
     """``id`` = start + 1, start + 2, ... in ``order``: numbers within sorted partitions plus the sizes of those before.
 
     Only one row a partition is summed, so no task sees all rows.
     """
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
     first = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
     offsets = first.select("__part", "__low", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
     return ranged.join(offsets, "__part").withColumn("id", F.col("__at") - F.col("__low") + F.coalesce("__before", F.lit(0)) + F.lit(start + 1)).drop("__part", "__at", "__low", "__before")

@@ -62,9 +62,12 @@ def header_row(rows: DataFrame, by: list[str], nth: str, cells_column: str, firs
 def pie_fold(rows: DataFrame, name: str, value: str, slices: int = 8) -> DataFrame:
     """Names and sums for a pie: with more than ``slices`` names the largest ``slices - 1``, and the rest as ``Other``."""
     sums = rows.groupBy(name).agg(F.sum(value).alias("value"))
-    ranked = sums.withColumn("n", F.row_number().over(Window.orderBy(F.desc("value"), name))).withColumn("names", F.count("*").over(Window.partitionBy()))
-    shown = F.when((F.col("names") <= slices) | (F.col("n") < slices), F.col(name)).otherwise("Other")
-    return ranked.groupBy(shown.alias("slice")).agg(F.sum("value").alias("value"))
+    order = [F.desc("value"), F.col(name)]
+    # of all names only as many as can be shown, and one more, are numbered
+    first = sums.orderBy(*order).limit(slices + 1).withColumn("n", F.row_number().over(Window.orderBy(*order))).withColumn("names", F.count("*").over(Window.partitionBy()))
+    kept = first.where((F.col("names") <= slices) | (F.col("n") < slices)).select(F.col(name).alias("__kept"), F.lit(True).alias("__shown"))
+    both = sums.join(F.broadcast(kept), F.col(name).eqNullSafe(F.col("__kept")), "left")
+    return both.groupBy(F.when(F.col("__shown"), F.col(name)).otherwise("Other").alias("slice")).agg(F.sum("value").alias("value"))
 
 
 def channel_status(files: DataFrame, by: str, status: Column, cancelled: Column | None = None) -> DataFrame:
