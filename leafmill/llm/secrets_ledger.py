@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import scratch
 
 
 @dataclass(frozen=True)
@@ -135,10 +135,10 @@ def joined(found: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """Every document is a path with one version; the ledger starts empty, in the shared folder."""
+    """Every document is a path with one version; the ledger starts empty, in the application's own folder of the shared one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
-    folder = f"{shared_dir(spark)}/leafmill/ledger-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/ledger-{uuid.uuid4().hex}"
     update_ledger(versions, folder)
     found = F.coalesce(F.col("found"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{SPANS}>")))
     counts = [F.coalesce(F.size(found[r.kind]), F.lit(0)) for r in BASE]
