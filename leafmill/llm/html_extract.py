@@ -245,10 +245,10 @@ def _what_follows(out: list[list]) -> None:
     holds the heading. Such a heading is a heading element, or a block of its own, of eight words at most.
 
     One that counts comments or asks for one is such wherever it stands. One that only has such a name can also be a section of the
-    article: it counts where it is the first block of what holds it, and until the next heading there.
+    article: it counts where no block stands before it in what holds it (elements with blocks of their own may), and until the next heading there.
     """
     depth, until, named, at, heading = 0, None, False, 0, False
-    filled = [0]  # blocks so far in each open holder
+    filled = [0]  # blocks so far that stand in each open holder itself
     for k in range(len(out) + 1):
         kind, border = (out[k][0].removesuffix(":in"), out[k][2] == "\0") if k < len(out) else ("", True)
         if not border:
@@ -261,7 +261,7 @@ def _what_follows(out: list[list]) -> None:
                 until = None
             if until is None and free and words <= 8 and (heading or depth):
                 counted = COUNTED.fullmatch(text)
-                if counted or (not filled[-1] and depth and NAMED.fullmatch(text)):
+                if counted or (not filled[-1] and NAMED.fullmatch(text)):
                     until, named = depth, not counted
             new = "word:after" if until is not None else "word:notice" if free and words <= 40 and NOTICE.match(text) else None
             for t in block if new else ():
@@ -275,7 +275,6 @@ def _what_follows(out: list[list]) -> None:
             depth -= 1
             if len(filled) > 1:
                 filled.pop()
-            filled[-1] += 1
             if until is not None and depth < until:
                 until = None
 
