@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pieces, rows, written
+from .common import mix64, passing, pieces, rows, written
 from .fingerprints import _powers
 from .graph import arrays_of, crowded, linked, named_classes
 
@@ -144,7 +144,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their component; of rows with one id all or none."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    with passing(docs.sparkSession) as keep:
+        gone = keep(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
