@@ -1,10 +1,13 @@
-"""What passes by the shared folder."""
+"""What passes by the shared folder, what workers hold, and what line dedup leaves to the stage after it."""
 
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from leafmill.llm import line_dedup, minmax_dedup
+from leafmill.llm import graph, line_dedup, minmax_dedup
 from leafmill.llm.common import passing, scratch, written
 
 
@@ -45,3 +48,26 @@ def test_a_write_leaves_no_shuffle_files(spark):
     before = files()
     written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
     assert not {f for f in files() - before if f.startswith("shuffle_")}
+
+
+def peak(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_full_blocks_and_tasks():
+    rng = np.random.default_rng(0)
+    base = [rng.integers(0, 1 << 60, 470) for _ in range(16)]
+    arrays = [np.unique(np.r_[base[k % 16], rng.integers(0, 1 << 60, 20)]) for k in range(2048)]
+    a, b = np.arange(1024), np.arange(1024, 2048)
+    found = []
+    assert peak(lambda: found.append(graph.overlapping(arrays, a, b, 80))) < 75
+    i, j = found[0]
+    assert len(i) == 1024 * 64 and (i % 16 == j % 16).all()
+    x = rng.integers(0, 1 << 40, graph.EDGES)
+    batch = pa.RecordBatch.from_arrays([pa.array(x), pa.array(x - rng.integers(1, 1000, len(x)))], names=["a", "b"])
+    assert peak(lambda: list(graph._stars(iter([batch])))) < 100
