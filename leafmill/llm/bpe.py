@@ -31,8 +31,11 @@ from pyspark.sql import types as T
 
 from .common import pieces, rows
 
-#: Entries of the per-worker memory of words and of token pairs; emptied when full.
-MEMO = 300_000
+#: Entries of the per-worker memory of token pairs, emptied when full, and of words: of those met lately and of those before (some
+#: 20 MB for pairs and for words).
+MEMO, WORDS = 300_000, 65_000
+#: Bytes of text that are encoded at once.
+PIECE = 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -89,7 +92,8 @@ class Encoder:
                     break
         self.lengths = [len(t) for t in tokens]
         self.pairs: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # of a word its ids, packed: a third of what a tuple of numbers takes
+        self.older: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of token a followed by token b leaves just these two tokens."""
@@ -149,16 +153,18 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> array.array:
-        ids, memo = array.array("i"), self.memo
+        ids, memo, older = array.array("i"), self.memo, self.older
         for word in self.split(text):
             got = memo.get(word)
             if got is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = tuple(self.encode_piece(word.encode()))
+                got = older.get(word)
+                if got is None:
+                    got = array.array("i", self.encode_piece(word.encode())).tobytes()
                 if len(word) <= 64:
+                    if len(memo) >= WORDS:
+                        self.older, self.memo = older, memo = memo, {}
                     memo[word] = got
-            ids.extend(got)
+            ids.frombytes(got)
         return ids
 
 
@@ -191,7 +197,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_i
         if (vocabulary, pattern) not in _ENCODERS:
             _ENCODERS[vocabulary, pattern] = Encoder(*tables.value, pattern)
         encoder = _ENCODERS[vocabulary, pattern]
-        for batch in pieces(batches, text_column, 4 << 20):
+        for batch in pieces(batches, text_column, PIECE):
             values, offsets, back = array.array("i"), [0], []
             for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text) if text else ()
