@@ -71,3 +71,15 @@ def test_memory_of_full_blocks_and_tasks():
     x = rng.integers(0, 1 << 40, graph.EDGES)
     batch = pa.RecordBatch.from_arrays([pa.array(x), pa.array(x - rng.integers(1, 1000, len(x)))], names=["a", "b"])
     assert peak(lambda: list(graph._stars(iter([batch])))) < 100
+
+
+def test_every_repeat_goes_but_those_of_copies(spark):
+    """A line that occurs twice goes from a document of its own; a copy keeps its lines for the stage that compares documents."""
+    own = lambda k, n=8: "\n".join(f"{'abcdefgh'[j] * 3} sentence {j} of text {k} about matter {k * 91 + j * 17} and nothing else {j * k}" for j in range(n))
+    shared = "a sentence that stands in two texts which have little else in common"
+    rows = [(1, own(1) + "\n" + shared), (2, own(2) + "\n" + shared), (3, own(3)), (4, own(3)), (5, own(5) + "\ntwice here, and nowhere else in the corpus\ntwice here, and nowhere else in the corpus")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs, 7, emptied=False).collect()}
+    assert shared in out[1].text and out[2].text == own(2) and out[2].n_chars == len(own(2))
+    assert out[3].text == out[4].text == own(3) and out[4].n_chars == len(own(3))
+    assert out[5].text == own(5) + "\ntwice here, and nowhere else in the corpus"
