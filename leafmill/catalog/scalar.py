@@ -177,7 +177,7 @@ e AS (SELECT doc_id, list_transform(CASE WHEN len(hs) > 0 THEN hs[1:6] ELSE ls[1
 u AS (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS i FROM e), f AS (SELECT doc_id, v[i] AS x, min(i) AS i FROM u GROUP BY ALL)
 SELECT d.doc_id, coalesce(string_agg(x, '|' ORDER BY i), '') AS hints FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
 def section_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.section_hints(F.col("text")), "|").alias("hints"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.array_join(tx.section_hints(F.col("text")), "|"), F.lit("")).alias("hints"))
 
 
 @query("SELECT sha256(text) AS h, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY text")

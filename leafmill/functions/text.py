@@ -73,7 +73,7 @@ def is_heading(line: Column) -> Column:
 
 def section_hints(text: Column, most: int = 6) -> Column:
     """The first ``most`` heading lines, cut to 120 characters, each once; where there are none, the first lines."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) > 0)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)  # a bare F.trim would take the line's number as what to trim
     heads = F.filter(lines, is_heading)
     chosen = F.slice(F.when(F.size(heads) > 0, heads).otherwise(lines), 1, most)
     return F.array_distinct(F.transform(chosen, lambda x: summary(x, 120)))
