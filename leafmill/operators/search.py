@@ -8,6 +8,8 @@ chunk with partial sums, ranked by ``TakeOrderedAndProject``, and only the winne
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +59,19 @@ def bm25_scores(posting_rows: DataFrame, stats: DataFrame, words: Sequence[str])
 
     A term that half of the chunks or more hold has the floor as its weight. Statistics are the whole corpus's.
     """
-    found = posting_rows.where(F.col("term").isin(list(words))) if words else posting_rows.limit(0)
+    path = ["relative_path"] if "relative_path" in posting_rows.columns else []
+    if not words:
+        return posting_rows.limit(0).select("chunk_id", F.lit(0.0).alias("text_score"), *path)
+    found = posting_rows.where(F.col("term").isin(list(words)))
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
     weighed = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # and one row of statistics
     idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))), F.lit(IDF_FLOOR))
     tf = F.col("tf").cast("double")
     score = idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    path = [F.first("relative_path").alias("relative_path")] if "relative_path" in found.columns else []
-    return weighed.groupBy("chunk_id").agg(F.sum(score).alias("text_score"), *path)
+    # a sum for each word, added in the words' order, so that equal chunks have equal scores however their rows arrive
+    by_word = [F.sum(F.when(F.col("term") == w, score)).alias(f"__{i}") for i, w in enumerate(words)]
+    sums = weighed.groupBy("chunk_id").agg(*by_word, *[F.first(c).alias(c) for c in path])
+    return sums.select("chunk_id", reduce(add, [F.coalesce(f"__{i}", F.lit(0.0)) for i in range(len(words))]).alias("text_score"), *path)
 
 
 def path_bonus(path: Column, words: Sequence[str]) -> Column:
@@ -89,25 +96,21 @@ def ranked(chunks: DataFrame, posting_rows: DataFrame, stats: DataFrame, query:
     wanted = document_ids.select("relative_path").distinct() if document_ids is not None else None
     of = lambda df: df if wanted is None else df.join(wanted, "relative_path", "left_semi")
     narrow = chunks.select("chunk_id", "relative_path", "has_visual")
-    # candidates: the best hits of the postings, and the chunks that a bonus brings in; no other chunk is joined
+    # candidates: all hits of the postings, and the chunks that a bonus brings in; no other chunk is joined
     hits = bm25_scores(posting_rows, stats, words)
     if wanted is not None:
         hits = of(hits) if "relative_path" in hits.columns else hits.join(of(narrow).select("chunk_id"), "chunk_id", "left_semi")
-    hits = hits.select("chunk_id", "text_score")
-    if k is not None:
-        hits = hits.orderBy(F.desc("text_score"), "chunk_id").limit(max(TEXT_CANDIDATES, 25 * k))
-    by_path, by_visual = path_bonus(F.col("relative_path"), words), visual_bonus(F.col("has_visual"), words)
+    by_path, by_visual = path_bonus(F.col("relative_path"), words).alias("by_path"), visual_bonus(F.col("has_visual"), words).alias("by_visual")
     if files is None:
-        lifted = of(narrow.withColumn("bonus", by_path + by_visual).where("bonus > 0"))
-    elif VISUAL_TERMS & set(words):  # a path's bonus is found once for each path, not for each chunk
-        paths = of(files.select("relative_path").withColumn("p", by_path).where("p > 0"))
-        seen = of(narrow.where("has_visual")).join(paths, "relative_path", "left_anti").select("chunk_id", by_visual.alias("bonus"))
-        lifted = narrow.join(paths, "relative_path").select("chunk_id", (F.col("p") + by_visual).alias("bonus")).unionByName(seen)
-    else:
-        paths = of(files.select("relative_path").withColumn("bonus", by_path).where("bonus > 0"))
-        lifted = narrow.join(paths, "relative_path")
-    score = F.coalesce("text_score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
-    best = hits.join(lifted.select("chunk_id", "bonus"), "chunk_id", "full_outer").select("chunk_id", score.alias("score")).where("score > 0")
+        lifted = of(narrow.select("chunk_id", "relative_path", by_path, by_visual).where("by_path > 0 OR by_visual > 0"))
+    else:  # a path's bonus is found once for each path, not for each chunk
+        paths = of(files.select("relative_path", by_path).where("by_path > 0"))
+        lifted = narrow.join(paths, "relative_path").select("chunk_id", "by_path", by_visual)
+        if VISUAL_TERMS & set(words):
+            seen = of(narrow.where("has_visual")).join(paths, "relative_path", "left_anti")
+            lifted = lifted.unionByName(seen.select("chunk_id", F.lit(0.0).alias("by_path"), by_visual))
+    score = F.coalesce("text_score", F.lit(0.0)) + F.coalesce("by_path", F.lit(0.0)) + F.coalesce("by_visual", F.lit(0.0))
+    best = hits.select("chunk_id", "text_score").join(lifted.select("chunk_id", "by_path", "by_visual"), "chunk_id", "full_outer").select("chunk_id", score.alias("score")).where("score > 0")
     return best if k is None else best.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
@@ -117,10 +120,6 @@ def hybrid(chunks: DataFrame, posting_rows: DataFrame, stats: DataFrame, query:
     return chunks.join(best, "chunk_id").select("chunk_id", "relative_path", "score", tx.snippet(F.col("text")).alias("snippet"), "text").orderBy(F.desc("score"), "chunk_id")
 
 
-#: Hits of the postings that are ranked on, at least (a fixed value).
-TEXT_CANDIDATES = 200
-
-
 def code_top(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     """``chunk_id, score`` of the ``k`` vectors (chunk_id, dim, codes) of the largest cosine with the query: int8 codes by their norm,
     cut off at 0, ties by id. A zero query finds nothing; a vector of another length is an error."""

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.operators import search
 
 
 def test_section_hints_lose_no_digits(spark):
     """A line's number was taken as the characters to trim: line 1 lost the digit 1 at its ends, and no line its spaces."""
     df = spark.createDataFrame([("0 first 0\n123 second 11\n   \n  third  ",)], "t string")
     assert df.select(tx.section_hints(F.col("t"))).first()[0] == ["0 first 0", "123 second 11", "third"]
+
+
+def test_a_chunk_keeps_its_text_score_however_many_match_better(spark):
+    """Of two chunks whose path counts alike, the one whose text matches too is first, also behind 300 better texts."""
+    texts = {f"x/{i}.txt": "apple apple pear" for i in range(300)} | {f"y/{i}.txt": "plum" for i in range(400)}
+    texts |= {"beta/b.txt": "apple " + "filler " * 40, "beta/a.txt": "filler " * 41}
+    c = spark.createDataFrame([(p, p, t, False) for p, t in texts.items()], "chunk_id string, relative_path string, text string, has_visual boolean")
+    stats = search.statistics(search.lengths(c))
+    every = {r.chunk_id: r.score for r in search.ranked(c, search.postings(c), stats, "apple beta", None).collect()}
+    best = search.hybrid(c, search.postings(c), stats, "apple beta", 8).collect()
+    want = sorted(every.items(), key=lambda x: (-x[1], x[0]))[:8]
+    assert [(r.chunk_id, pytest.approx(r.score)) for r in best] == want
+    assert every["beta/b.txt"] > 0.75 and [p for p, _ in want if p.startswith("beta")][:1] == ["beta/b.txt"]
