@@ -6,6 +6,7 @@ some were changed and some removed. So each query sees what two builds left.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 from collections.abc import Sequence
@@ -29,19 +30,27 @@ def letter_counts(texts: Sequence[str]) -> list[list[float]]:
     return [[float(t.count(c)) for c in LETTERS] for t in texts]
 
 
-def _write_files(rows: DataFrame, root: str) -> None:
-    """A file for each row (path, text), written by the tasks."""
+def _put_files(rows: DataFrame, root: str) -> None:
+    """A file for each row (path, text), written by the tasks; a null text deletes it."""
 
-    def write(part) -> None:
+    def put(part) -> None:
         from pyarrow import fs
 
         system, at = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", root)) if re.match(r"[a-z0-9]+:", root) else (fs.LocalFileSystem(), root)
+        made = set()
         for path, text in part:
-            system.create_dir(f"{at}/{path.rpartition('/')[0]}", recursive=True)
+            if text is None:
+                with contextlib.suppress(FileNotFoundError):
+                    system.delete_file(f"{at}/{path}")
+                continue
+            folder = path.rpartition("/")[0]
+            if folder not in made:
+                made.add(folder)
+                system.create_dir(f"{at}/{folder}", recursive=True)
             with system.open_output_stream(f"{at}/{path}") as f:
-                f.write((text or "").encode())
+                f.write(text.encode())
 
-    rows.foreachPartition(write)
+    rows.foreachPartition(put)
 
 
 _BUILT: dict[tuple[str, str], tuple[Index, dict]] = {}
@@ -53,16 +62,13 @@ def built(spark: SparkSession, sf_dir: str) -> tuple[Index, dict]:
     if key not in _BUILT:
         folder = f"{shared_folder(spark)}/leafmill/built-{uuid.uuid4().hex}"
         root = f"{folder}/files"
-        docs = read(spark, sf_dir, "documents").select("doc_id", file_path().alias("path"), "text")
-        _write_files(docs.where(f"NOT ({ADDED})").select("path", "text"), root)
+        docs = read(spark, sf_dir, "documents").select("doc_id", file_path().alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+        _put_files(docs.where(f"NOT ({ADDED})").select("path", "text"), root)
         index = Index(spark, root, f"{folder}/index", embedder=Embedder(letter_counts, "letters"))
         index.build()
-        _write_files(docs.where(f"({ADDED}) AND NOT ({REMOVED})").select("path", "text"), root)
-        _write_files(docs.where(f"({CHANGED}) AND NOT ({REMOVED})").select("path", F.concat(F.coalesce("text", F.lit("")), F.lit(MORE)).alias("text")), root)
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        for r in docs.where(f"({REMOVED}) AND NOT ({ADDED})").select("path").toLocalIterator():
-            fs.delete(path(f"{root}/{r.path}"), False)
+        _put_files(docs.where(f"({ADDED}) AND NOT ({REMOVED})").select("path", "text"), root)
+        _put_files(docs.where(f"({CHANGED}) AND NOT ({REMOVED})").select("path", F.concat("text", F.lit(MORE)).alias("text")), root)
+        _put_files(docs.where(f"({REMOVED}) AND NOT ({ADDED})").select("path", F.lit(None).cast("string").alias("text")), root)
         _BUILT[key] = index, index.build(mode="vector")
     return _BUILT[key]
 

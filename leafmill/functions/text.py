@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +41,22 @@ def index_terms(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.lower(text)), F.lit(TERM), F.lit(0))
 
 
+@cache
+def _folds() -> dict[int, str | None]:
+    """``fold`` as a table for ``str.translate``: letters without their marks, and the marks themselves away."""
+    marks = {c: None for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn"}
+    return marks | {ord(a): b for a, b in zip(_MARKED, _PLAIN)}
+
+
+_TERMS = re.compile(r"[^\W_]+")
+
+
+def terms_of(text: str) -> list[str]:
+    """The terms of ``index_terms``, for a text in Python."""
+    low = text.lower()
+    return _TERMS.findall(low if low.isascii() else low.translate(_folds()))
+
+
 def terms(text: Column, least: int = 1) -> Column:
     """Lower-cased runs of letters and digits, in order, of ``least`` characters or more."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))

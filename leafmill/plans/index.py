@@ -23,10 +23,12 @@ function from texts to vectors, called in Arrow batches. If it fails, the build
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -92,6 +94,33 @@ def hashed_words(texts: Sequence[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
+#: Chunks with their terms, as a build holds them.
+CUT = f"{SCHEMAS['chunks']}, terms array<struct<term:string,tf:bigint>>"
+
+
+def _cut(texts: list[list], arrow: pa.Schema) -> pa.RecordBatch:
+    """CUT rows of documents (relative_path, text, chunks, assets)."""
+    rows: list[tuple] = []
+    terms, times, ends = [], [], [0]
+    for path, text, given, assets in texts:
+        parts = given or [{"text": t} for t in chunking.split_text(text)]
+        for ordinal, c in enumerate(parts):
+            t = c["text"] or ""
+            digest = hashlib.sha256(t.encode()).hexdigest()
+            held = [a for a in assets or () if a["anchor"] and a["anchor"] in t]
+            found = tx.terms_of(t)
+            counted = Counter(found)
+            terms += counted.keys()
+            times += counted.values()
+            ends.append(len(terms))
+            tail = hashlib.sha256(f"{path}{ordinal}{digest}".encode()).hexdigest()[:8]
+            rows.append((f"{path}:{ordinal}:{tail}", path, ordinal, t, digest, bool(held), c.get("chunk_type"), c.get("sheet_name"), c.get("row_number"), held or None, len(found)))
+    columns = list(zip(*rows)) if rows else [()] * (len(arrow) - 1)
+    pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(times, pa.int64())], fields=list(arrow.field("terms").type.value_type))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, type=arrow.field("terms").type)
+    return pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(columns, arrow)], lists], schema=arrow)
+
+
 class Index:
     def __init__(self, spark: SparkSession, root: str, folder: str, rules: Rules = Rules(), max_mb: float = 50.0, embedder: Embedder | None = None):
         self.spark, self.root, self.folder, self.rules, self.max_mb, self.embedder = spark, root.rstrip("/"), folder.rstrip("/"), rules, max_mb, embedder
@@ -270,11 +299,12 @@ class Index:
         if before.get("version") != str(VERSION):  # built anew from the files
             before = before | {"segments": [], "totals": {"chunks": 0, "terms": 0}}
         known = self.read("files", before)
-        found = source.discover(self.spark, self.root, self.rules, self.max_mb)
-        planned = ingest.plan(found, known if not force else known.withColumn("mtime", F.lit(-1.0)), int(self.max_mb * 1024 * 1024))
         stage = f"{self.folder}/build-{uuid.uuid4().hex}"
         made: list[dict] = []
         try:
+            # the folder is listed once for a build; every later step reads the list
+            found = self._kept(source.discover(self.spark, self.root, self.rules, self.max_mb), f"{stage}/found")
+            planned = ingest.plan(found, known if not force else known.withColumn("mtime", F.lit(-1.0)), int(self.max_mb * 1024 * 1024))
             return self._staged(stage, before, wanted, known, found, planned, force, mode, rounds, retain, made)
         except Exception:
             self._delete(made)
@@ -304,7 +334,7 @@ class Index:
                         stats[name] += here.get(name, 0)
                     stats["failed"] += done.where("status = 'failed'").count()
                     if any(here.get(name) for name in ("added", "updated", "unchanged")):
-                        made.append(self._segment(before, settled, done, found, known, bool(here.get("unchanged"))))
+                        made.append(self._segment(f"{stage}/cut{nth}", before, settled, done, found, known, bool(here.get("unchanged"))))
                 except Exception:
                     if self._cancelled.is_set():
                         break
@@ -352,8 +382,9 @@ class Index:
 
         def write(table: str, df: DataFrame) -> None:
             # postings are sorted by term and chunks by id within their files, so that terms and ids prune row groups
-            by = {"postings": "term", "chunks": "chunk_id"}.get(table)
-            df = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
+            # (a term that very many chunks hold is dealt to several files)
+            by = {"postings": ["term", "chunk_id"], "chunks": ["chunk_id"]}.get(table)
+            df = df.repartitionByRange(*by).sortWithinPartitions(by[0]) if by else df
             df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{table}")
 
         with ThreadPoolExecutor(len(tables) or 1) as pool:
@@ -361,58 +392,63 @@ class Index:
                 done.result()
         return {"name": name, "tables": sorted(tables)}
 
-    def _segment(self, before: dict, settled: DataFrame, done: DataFrame, found: DataFrame, known: DataFrame, carry: bool) -> dict:
+    def _segment(self, stage: str, before: dict, settled: DataFrame, done: DataFrame, found: DataFrame, known: DataFrame, carry: bool) -> dict:
         """Rows of the files that are new or changed; of files whose content is the known one only their size and time (``carry``)."""
-        name = f"s-{uuid.uuid4().hex}"
         fresh = settled.where(F.col("category").isin("added", "updated")).select("relative_path")
-        new = done.join(fresh, "relative_path", "left_semi")
+        new = done.join(fresh, "relative_path", "left_semi") if carry else done
         texts = new.where("status = 'indexed'")
         same = settled.where("category = 'unchanged'").select("relative_path")
         of_same = lambda table: self.read(table, before).join(same, "relative_path", "left_semi")
         both = lambda df, table: df.unionByName(of_same(table)) if carry else df
-        self._write({"chunks": both(self._chunks(texts), "chunks")}, name)
-        # chunks are cut once; what follows reads them where they are
-        cut = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{self.folder}/{name}/chunks")
-        cut = cut.join(same, "relative_path", "left_anti") if carry else cut
+        # texts are cut into chunks and terms once; what follows reads them where they are
+        cut = self._kept(self._chunks(texts), stage)
         per_file = cut.groupBy("relative_path").agg(F.count("*").cast("int").alias("n"), F.sum("dl").alias("terms"))
         stat = found.select("relative_path", "size", "mtime")
-        of = texts.join(stat, "relative_path").join(per_file, "relative_path", "left")
         names = F.coalesce(F.col("structure.sheet_names"), F.array().cast("array<string>"))
         columns = F.coalesce(F.col("structure.column_hints"), F.array().cast("array<string>"))
         is_sheet = F.col("structure").isNotNull()
         hints = F.slice(F.flatten(F.transform("structure.sheets", lambda s: F.filter(F.array(F.concat(F.lit("Sheet: "), s["name"]), F.when(F.size(s["header_hints"]) > 0, F.concat(F.lit("Columns: "), F.array_join(F.slice(s["header_hints"], 1, 4), " | ")))), lambda x: x.isNotNull()))), 1, 6)
         note = answers.header_note(F.col("relative_path"), F.col("structure.sheet_count"), F.col("structure.row_count"), names, columns)
-        documents = of.select(
-            "relative_path", "parser", "size", "mtime", "content_hash", F.coalesce("n", F.lit(0)).alias("chunks"), tx.token_estimate(F.col("text")).alias("token_estimate"),
+        shown = texts.select(
+            "relative_path", "parser", "content_hash", tx.token_estimate(F.col("text")).alias("token_estimate"),
             F.when(is_sheet, note).otherwise(tx.summary(F.col("text"), 420)).alias("summary"), F.when(is_sheet, hints).otherwise(tx.section_hints(F.col("text"))).alias("section_hints"),
             "structure", F.slice("assets", 1, DOCUMENT_ASSETS).alias("assets"),
         )
+        # joined without texts
+        documents = shown.join(stat, "relative_path").join(per_file, "relative_path", "left").withColumn("chunks", F.coalesce("n", F.lit(0))).select(*T._parse_datatype_string(SCHEMAS["documents"]).fieldNames())
         own = new.drop("chunks").join(stat, "relative_path").join(per_file, "relative_path", "left").select("relative_path", "status", "size", "mtime", "parser", F.coalesce("n", F.lit(0)).alias("chunks"), F.coalesce("terms", F.lit(0)).alias("terms"), "content_hash", "error_reason")
         touched = ingest.refreshed(known.join(same, "relative_path", "left_semi"), stat, "relative_path", "size", "mtime")
-        postings = search.postings(cut).join(cut.select("chunk_id", "relative_path"), "chunk_id").select("term", "chunk_id", "relative_path", "tf", "dl")
+        postings = cut.select(F.explode("terms").alias("t"), "chunk_id", "relative_path", "dl").select("t.term", "chunk_id", "relative_path", "t.tf", "dl")
         tables = {
+            "chunks": both(cut.drop("terms"), "chunks"),
             "files": own.unionByName(touched) if carry else own, "documents": both(documents, "documents"), "postings": both(postings, "postings"),
             "gone": settled.where(F.col("category").isin("added", "updated", "unchanged")).select("relative_path"),
         }
         if carry and any("vectors" in s["tables"] for s in before["segments"]):
             tables["vectors"] = of_same("vectors")
-        self._write(tables, name)
-        return {"name": name, "tables": sorted({*tables, "chunks"})}
+        return self._write(tables)
 
     @staticmethod
     def _chunks(texts: DataFrame) -> DataFrame:
-        """A document's chunks: those that its format gives, else its text in windows; each with the visual assets whose anchor it holds."""
-        given = F.coalesce(F.size("chunks"), F.lit(0)) > 0
-        structured = texts.where(given).select("relative_path", F.posexplode("chunks").alias("ordinal", "c")).select("relative_path", "ordinal", "c.*").withColumn("chunk_hash", F.sha2("text", 256))
-        windows = chunking.chunks(texts.where(~given), "relative_path", "text")
-        cut = structured.unionByName(windows, allowMissingColumns=True)
-        with_assets = texts.where(F.size("assets") > 0).select("relative_path", "assets")
-        cut = cut.join(with_assets, "relative_path", "left")
-        held = F.filter("assets", lambda a: (F.length(a["anchor"]) > 0) & F.contains(F.col("text"), a["anchor"]))
-        return cut.select(
-            chunking.chunk_id(F.col("relative_path"), F.col("ordinal"), F.col("chunk_hash")).alias("chunk_id"), "relative_path", "ordinal", "text", "chunk_hash",
-            F.coalesce(F.size(held) > 0, F.lit(False)).alias("has_visual"), "chunk_type", "sheet_name", "row_number", F.when(F.size(held) > 0, held).alias("assets"), F.size(tx.index_terms(F.col("text"))).alias("dl"),
-        )
+        """A document's chunks: those that its format gives, else its text in windows; each with the visual assets whose anchor it holds, and
+        its terms with how often each occurs. One pass, no shuffle."""
+        schema = T._parse_datatype_string(CUT)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            arrow = to_arrow_schema(schema)
+            for batch in batches:
+                at = 0
+                while at < batch.num_rows:  # a few texts at a time
+                    part, size = [], 0
+                    while at < batch.num_rows and size < source.BATCH:
+                        part.append([batch.column(c)[at].as_py() for c in range(4)])
+                        size += len(part[-1][1])
+                        at += 1
+                    yield _cut(part, arrow)
+
+        return texts.select("relative_path", "text", "chunks", "assets").mapInArrow(run, schema)
 
     def _sweep(self, planned: DataFrame, found: DataFrame, known: DataFrame) -> dict | None:
         """A segment for files that went, and for the list of those that a rule skips; None where neither changed."""

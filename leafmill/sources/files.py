@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import math
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -27,13 +29,75 @@ UNSUPPORTED = {"pdf": "PDF needs a library that is not installed", "xls": "XLS n
 IMAGES = tuple(x for x in tx.VISUAL_SUFFIXES if x != "svg")
 
 
+#: Folders from which on the tasks list what is below them; fewer are opened on the driver, for their folders alone.
+FOLDERS = 64
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's own listing leaves out."""
+    return not name.startswith(("_metadata", "_common_metadata")) and (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name))
+
+
+def _entries(folder: str) -> tuple[list[str], list[os.DirEntry]]:
+    """Folders and files in a local folder."""
+    folders, files = [], []
+    with os.scandir(folder or "/") as found:
+        for e in found:
+            if not _hidden(e.name):
+                if e.is_dir():
+                    folders.append(f"{folder}/{e.name}")
+                else:
+                    files.append(e)
+    return folders, files
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """``relative_path, path, size, mtime`` of the files below a local or mounted folder, listed by tasks; the driver holds names of folders alone."""
+    folders, todo = [root], []
+    while folders and len(folders) + len(todo) < FOLDERS:
+        below = []
+        for folder in folders:
+            inner, files = _entries(folder)
+            below += inner
+            todo += [(folder, False)] if files else []
+        folders = below
+    todo += [(folder, True) for folder in folders]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stack = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            while stack:
+                folder, deep = stack.pop()
+                inner, files = _entries(folder)
+                stack += [(x, True) for x in inner] if deep else []
+                rows = []
+                for e in files:
+                    try:
+                        at = e.stat()
+                    except FileNotFoundError:  # gone meanwhile, or a link to nothing
+                        continue
+                    path = f"{folder}/{e.name}".encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+                    rows.append((path[len(root) + 1 :], path, at.st_size, at.st_mtime_ns // 1_000_000 / 1000))
+                for k in range(0, len(rows), 10_000):
+                    columns = zip(*rows[k : k + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.float64()))], names=["relative_path", "path", "size", "mtime"])
+
+    return spark.createDataFrame(todo, "folder string, deep boolean").mapInArrow(run, "relative_path string, path string, size bigint, mtime double")
+
+
 def discover(spark: SparkSession, root: str, rules: Rules = Rules(), max_mb: float = 50.0) -> DataFrame:
-    """``relative_path, path, size, mtime, reason`` of the files below ``root``; column pruning keeps content unread."""
+    """``relative_path, path, size, mtime, reason`` of the files below ``root``; no content is read.
+
+    A local or mounted folder is listed by tasks, any other by Spark on the driver.
+    """
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length", "modificationTime")
     plain = re.sub(r"^[a-z]+:/*", "/", base) if ":" in base else base
-    rel = F.element_at(F.split(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), re.escape(plain), 2), 2)
-    found = files.select(rel.alias("relative_path"), "path", F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"))
+    if base.startswith("file:") or not re.match(r"[a-z0-9]+:", base):
+        found = _listed(spark, os.path.abspath(plain).rstrip("/"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length", "modificationTime")
+        rel = F.element_at(F.split(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), re.escape(plain), 2), 2)
+        found = files.select(rel.alias("relative_path"), "path", F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"))
     path = F.col("relative_path")
     return found.where(~ignored(path)).withColumn("reason", F.coalesce(skip_reason(path, rules), size_reason(F.col("size"), max_mb)))
 
@@ -198,13 +262,17 @@ def extracted(spark: SparkSession, files: DataFrame) -> DataFrame:
     from ..operators import ingest
 
     costed = files.where("reason IS NULL").select("relative_path", "path", "size", ingest.cost(tx.extension(F.col("relative_path")), F.col("size")).alias("cost"))
-    dealt = ingest.cost_batches(costed, TASK_SECONDS).repartition("shard", "batch")
+    # a number of its own, since adaptive execution would put all of these short rows into one task
+    total = costed.agg(F.sum("cost")).first()[0] or 0.0
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_SECONDS))
+    dealt = ingest.cost_batches(costed, max(0.05, min(TASK_SECONDS, total / tasks / 64))).repartition(tasks, "shard", "batch")
     schema = T._parse_datatype_string(EXTRACTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        rows, held = [], 0
         for batch in batches:
             for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 row = dict.fromkeys(arrow.names) | {"relative_path": name}
@@ -215,10 +283,18 @@ def extracted(spark: SparkSession, files: DataFrame) -> DataFrame:
                     row |= {"status": "indexed"} if row["text"].strip() else {"status": "failed", "text": None, "error_reason": "No text found"}
                 except Exception as e:  # any broken file is a failed row, with its reason
                     row |= {"status": "failed", "error_reason": str(e)[:300] or type(e).__name__}
-                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+                rows.append(row)
+                held += len(row["text"] or "")
+                if held >= BATCH or len(rows) == 1000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return dealt.select("relative_path", "path").mapInArrow(run, schema)
 
 
+#: Characters of a batch of texts.
+BATCH = 1 << 20
 #: Estimated seconds of a task's files.
 TASK_SECONDS = 10.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
 from leafmill.operators import search
+from leafmill.sources import files as source
 
 
 def test_section_hints_lose_no_digits(spark):
@@ -26,3 +27,28 @@ def test_a_chunk_keeps_its_text_score_however_many_match_better(spark):
     want = sorted(every.items(), key=lambda x: (-x[1], x[0]))[:8]
     assert [(r.chunk_id, pytest.approx(r.score)) for r in best] == want
     assert every["beta/b.txt"] > 0.75 and [p for p, _ in want if p.startswith("beta")][:1] == ["beta/b.txt"]
+
+
+def test_files_are_listed_and_extracted_by_several_tasks(spark, tmp_path):
+    """The short list of files went to one task, which opened them all."""
+    for i in range(60):
+        folder = tmp_path / f"a{i % 3}" / "b c%20"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"ü{i}.txt").write_text(f"text {i}")
+    for hidden in (".x.txt", "_x.txt", "_dir/y.txt", "a0/.git/y.txt"):
+        (tmp_path / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / hidden).write_text("hidden")
+    found = source.discover(spark, str(tmp_path))
+    rows = {r.relative_path: r for r in found.collect()}
+    assert sorted(rows) == sorted(f"a{i % 3}/b c%20/ü{i}.txt" for i in range(60))
+    spark_lists = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("length", F.col("modificationTime").cast("double"))
+    assert sorted(map(tuple, spark_lists.collect())) == sorted((r["size"], r["mtime"]) for r in rows.values())
+    assert {r.relative_path for r in source.discover(spark, f"file://{tmp_path}/").collect()} == set(rows)
+    done = source.extracted(spark, found).select("status", "text", F.spark_partition_id().alias("task")).collect()
+    assert {r.text for r in done} == {f"text {i}" for i in range(60)} and len({r.task for r in done}) > 1
+
+
+def test_terms_of_a_build_are_those_of_the_columns(spark):
+    texts = ["".join(chr(c) for c in range(a, a + 64)) + " İstanbul ΑΣ Å-ñ_x ½ a\u0301b" for a in range(0x20, 0x530, 64)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.index_terms(F.col("t")).alias("terms")).collect()
+    assert all(r.terms == tx.terms_of(r.t) for r in got)
