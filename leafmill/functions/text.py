@@ -48,13 +48,13 @@ def _folds() -> dict[int, str | None]:
     return marks | {ord(a): b for a, b in zip(_MARKED, _PLAIN)}
 
 
-_TERMS = re.compile(r"[^\W_]+")
+_TERMS, _BEYOND_ASCII = re.compile(r"[^\W_]+"), re.compile(r"[^\x00-\x7f]+")
 
 
 def terms_of(text: str) -> list[str]:
     """The terms of ``index_terms``, for a text in Python."""
-    low = text.lower()
-    return _TERMS.findall(low if low.isascii() else low.translate(_folds()))
+    low, folds = text.lower(), _folds()
+    return _TERMS.findall(low if low.isascii() else _BEYOND_ASCII.sub(lambda m: m[0].translate(folds), low))
 
 
 def terms(text: Column, least: int = 1) -> Column:

@@ -28,12 +28,13 @@ import json
 import threading
 import time
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,31 +95,40 @@ def hashed_words(texts: Sequence[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
-#: Chunks with their terms, as a build holds them.
-CUT = f"{SCHEMAS['chunks']}, terms array<struct<term:string,tf:bigint>>"
+#: Chunks with their terms in order, between spaces, as a build holds them.
+CUT = f"{SCHEMAS['chunks']}, words string"
+#: A term with its postings in some megabytes of chunks.
+BLOCKS = "term string, rows array<struct<chunk_id:string,relative_path:string,tf:bigint,dl:int>>"
 
 
 def _cut(texts: list[list], arrow: pa.Schema) -> pa.RecordBatch:
     """CUT rows of documents (relative_path, text, chunks, assets)."""
-    rows: list[tuple] = []
-    terms, times, ends = [], [], [0]
+    rows = []
     for path, text, given, assets in texts:
-        parts = given or [{"text": t} for t in chunking.split_text(text)]
-        for ordinal, c in enumerate(parts):
+        for ordinal, c in enumerate(given or [{"text": t} for t in chunking.split_text(text)]):
             t = c["text"] or ""
             digest = hashlib.sha256(t.encode()).hexdigest()
             held = [a for a in assets or () if a["anchor"] and a["anchor"] in t]
             found = tx.terms_of(t)
-            counted = Counter(found)
-            terms += counted.keys()
-            times += counted.values()
-            ends.append(len(terms))
             tail = hashlib.sha256(f"{path}{ordinal}{digest}".encode()).hexdigest()[:8]
-            rows.append((f"{path}:{ordinal}:{tail}", path, ordinal, t, digest, bool(held), c.get("chunk_type"), c.get("sheet_name"), c.get("row_number"), held or None, len(found)))
-    columns = list(zip(*rows)) if rows else [()] * (len(arrow) - 1)
-    pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(times, pa.int64())], fields=list(arrow.field("terms").type.value_type))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, type=arrow.field("terms").type)
-    return pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(columns, arrow)], lists], schema=arrow)
+            rows.append((f"{path}:{ordinal}:{tail}", path, ordinal, t, digest, bool(held), c.get("chunk_type"), c.get("sheet_name"), c.get("row_number"), held or None, len(found), " ".join(found)))
+    columns = list(zip(*rows)) if rows else [()] * len(arrow)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+
+def _inverted(chunks: pa.Table, arrow: pa.Schema) -> pa.RecordBatch:
+    """BLOCKS rows of chunks (chunk_id, relative_path, dl, words): terms are numbered, and (term, chunk) pairs counted in arrays."""
+    ids, paths, lengths = (chunks.column(n).combine_chunks() for n in ("chunk_id", "relative_path", "dl"))
+    words = pa.array([" ".join(w for w in chunks.column("words").to_pylist() if w)], pa.large_string())
+    coded = pc.split_pattern(words, " ").flatten().dictionary_encode()
+    n = chunks.num_rows
+    owner = np.repeat(np.arange(n), lengths.to_numpy(zero_copy_only=False))
+    pairs, times = np.unique(coded.indices.to_numpy().astype(np.int64) * n + owner, return_counts=True)
+    at, of = pa.array(pairs % n), pairs // n
+    ends = np.searchsorted(of, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+    kind = arrow.field("rows").type
+    held = pa.StructArray.from_arrays([ids.take(at), paths.take(at), pa.array(times.astype(np.int64)), lengths.take(at)], fields=list(kind.value_type))
+    return pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), held, type=kind)], schema=arrow)
 
 
 class Index:
@@ -376,15 +386,15 @@ class Index:
             return planned.withColumn("category", F.when(F.col("category") == "changed", "updated").otherwise(F.col("category")))
         return ingest.settled(planned, done.select("relative_path", "content_hash"), known)
 
-    def _write(self, tables: dict[str, DataFrame], name: str | None = None) -> dict:
-        """Write a segment's tables, side by side, under a name of its own."""
+    def _write(self, tables: dict[str, DataFrame], name: str | None = None, in_order: Sequence[str] = ()) -> dict:
+        """Write a segment's tables, side by side, under a name of its own; those in ``in_order`` are sorted already."""
         name = name or f"s-{uuid.uuid4().hex}"
 
         def write(table: str, df: DataFrame) -> None:
             # postings are sorted by term and chunks by id within their files, so that terms and ids prune row groups
             # (a term that very many chunks hold is dealt to several files)
             by = {"postings": ["term", "chunk_id"], "chunks": ["chunk_id"]}.get(table)
-            df = df.repartitionByRange(*by).sortWithinPartitions(by[0]) if by else df
+            df = df.repartitionByRange(*by).sortWithinPartitions(by[0]) if by and table not in in_order else df
             df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{table}")
 
         with ThreadPoolExecutor(len(tables) or 1) as pool:
@@ -418,20 +428,49 @@ class Index:
         documents = shown.join(stat, "relative_path").join(per_file, "relative_path", "left").withColumn("chunks", F.coalesce("n", F.lit(0))).select(*T._parse_datatype_string(SCHEMAS["documents"]).fieldNames())
         own = new.drop("chunks").join(stat, "relative_path").join(per_file, "relative_path", "left").select("relative_path", "status", "size", "mtime", "parser", F.coalesce("n", F.lit(0)).alias("chunks"), F.coalesce("terms", F.lit(0)).alias("terms"), "content_hash", "error_reason")
         touched = ingest.refreshed(known.join(same, "relative_path", "left_semi"), stat, "relative_path", "size", "mtime")
-        postings = cut.select(F.explode("terms").alias("t"), "chunk_id", "relative_path", "dl").select("t.term", "chunk_id", "relative_path", "t.tf", "dl")
+        blocks = self._kept(self._blocks(cut), f"{stage}-blocks")
+        if carry:
+            blocks = blocks.unionByName(of_same("postings").select("term", F.array(F.struct("chunk_id", "relative_path", "tf", "dl")).alias("rows")))
+        # blocks are sorted, not postings; a term that very many chunks hold is dealt to several files
+        sorted_blocks = blocks.repartitionByRange("term", F.col("rows")[0]["chunk_id"]).sortWithinPartitions("term")
+        postings = sorted_blocks.select("term", F.explode("rows").alias("r")).select("term", "r.*")
         tables = {
-            "chunks": both(cut.drop("terms"), "chunks"),
-            "files": own.unionByName(touched) if carry else own, "documents": both(documents, "documents"), "postings": both(postings, "postings"),
+            "chunks": both(cut.drop("words"), "chunks"),
+            "files": own.unionByName(touched) if carry else own, "documents": both(documents, "documents"), "postings": postings,
             "gone": settled.where(F.col("category").isin("added", "updated", "unchanged")).select("relative_path"),
         }
         if carry and any("vectors" in s["tables"] for s in before["segments"]):
             tables["vectors"] = of_same("vectors")
-        return self._write(tables)
+        return self._write(tables, in_order=("postings",))
+
+    @staticmethod
+    def _blocks(cut: DataFrame) -> DataFrame:
+        """The postings of chunks, by term within some megabytes of text."""
+        schema = T._parse_datatype_string(BLOCKS)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            arrow = to_arrow_schema(schema)
+            held, size = [], 0
+            for batch in batches:
+                # a batch may be large itself, so it is taken in parts
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    held.append(part)
+                    size += pc.sum(pc.binary_length(part.column(3))).as_py() or 0
+                    if size >= 4 * source.BATCH:
+                        yield _inverted(pa.Table.from_batches(held), arrow)
+                        held, size = [], 0
+            if size:
+                yield _inverted(pa.Table.from_batches(held), arrow)
+
+        return cut.select("chunk_id", "relative_path", "dl", "words").mapInArrow(run, schema)
 
     @staticmethod
     def _chunks(texts: DataFrame) -> DataFrame:
         """A document's chunks: those that its format gives, else its text in windows; each with the visual assets whose anchor it holds, and
-        its terms with how often each occurs. One pass, no shuffle."""
+        its terms. One pass, no shuffle."""
         schema = T._parse_datatype_string(CUT)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
 from leafmill.operators import search
+from leafmill.plans.index import Index
 from leafmill.sources import files as source
 
 
@@ -52,3 +53,20 @@ def test_terms_of_a_build_are_those_of_the_columns(spark):
     texts = ["".join(chr(c) for c in range(a, a + 64)) + " İstanbul ΑΣ Å-ñ_x ½ a\u0301b" for a in range(0x20, 0x530, 64)]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.index_terms(F.col("t")).alias("terms")).collect()
     assert all(r.terms == tx.terms_of(r.t) for r in got)
+
+
+def test_postings_of_a_build_count_every_term_of_every_chunk(spark, tmp_path):
+    """Blocks of postings give the rows that grouping all terms gives, chunks without a term and files whose content is the old one too."""
+    root = tmp_path / "root"
+    root.mkdir()
+    for i in range(30):
+        (root / f"f{i}.txt").write_text("... !!! ---" if i % 10 == 0 else f"w{i % 4} É w{i % 7} und_w{i} " * (1 + i * 9))
+    index = Index(spark, str(root), str(tmp_path / "index"))
+    index.build()
+    (root / "f1.txt").write_text((root / "f1.txt").read_text())
+    (root / "f2.txt").write_text("changed w1")
+    assert index.build()["updated"] == 1
+    chunks = index.read("chunks")
+    want = search.postings(chunks).join(chunks.select("chunk_id", "relative_path"), "chunk_id").select("term", "chunk_id", "relative_path", "tf", "dl")
+    got = index.read("postings")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
